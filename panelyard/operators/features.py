@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions.calendar import TURKEY, HolidayCalendar, calendar_features
@@ -95,8 +95,17 @@ def horizon_block(
     return out if state is None else attach_state(out, state)
 
 
+def block_number(date: Column, cuts: Sequence[tuple[str, str, str]]) -> Column:
+    """0-based number of the target window holding a date; the cuts are a short parameter list."""
+    out = F.lit(None).cast("int")
+    for i, (_, start, end) in enumerate(cuts):
+        inside = (date >= F.to_date(F.lit(start))) & (date < F.to_date(F.lit(end)))
+        out = F.when(inside, F.lit(i)).otherwise(out)
+    return out
+
+
 def blocks_by_cut(panel: DataFrame, cuts: Sequence[tuple[str, str, str]], **options) -> DataFrame:
-    """Union of snapshot blocks with their 0-based number in ``block``; the list of cuts is a short parameter."""
+    """Union of snapshot blocks with their 0-based number in ``block``."""
     parts = [
         snapshot_block(panel, cut, start, end, **options).withColumn("block", F.lit(i)) for i, (cut, start, end) in enumerate(cuts)
     ]
@@ -107,7 +116,7 @@ def blocks_by_cut(panel: DataFrame, cuts: Sequence[tuple[str, str, str]], **opti
 
 
 def leakage_audit(blocks: DataFrame) -> DataFrame:
-    """Per block its date range and whether it starts after the previous block ended."""
+    """Per block its date range and whether it starts after the previous block ended. Needs block and date."""
     spans = blocks.groupBy("block").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("rows"))
     # One row per block: the number of blocks is the length of a parameter list.
     previous = F.max("last").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))

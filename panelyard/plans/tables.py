@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from panelyard.functions.calendar import HolidayCalendar
 from panelyard.functions.text import parse_location
+from panelyard.functions.weather import weather_basic
 from panelyard.operators import history as H
+from panelyard.operators.evaluate import fold_number
 from panelyard.operators.scale import attach, with_totals
 from panelyard.plans.registry import cte
+from panelyard.session import staged
 
 CUT, END = "2000-04-01", "2000-08-01"
 RATINGS = (50, 100, 160, 250, 400, 630, 800, 1000, 1250, 1600)
@@ -113,6 +116,11 @@ def train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.before_cutoff(panel(spark, sf_dir), CUT).where(~F.col("is_new"))
 
 
+def stored_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as a stored table, for queries that read them more than once."""
+    return staged(train(spark, sf_dir))
+
+
 def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.target_window(panel(spark, sf_dir), CUT, END)
 
@@ -189,12 +197,10 @@ FROM train t LEFT JOIN weather_basic w ON w.district = t.district AND w.date = t
 
 def hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows with the weather columns the history operators use."""
-    from panelyard.functions.weather import weather_basic
-
     wx = weather_basic(weather(spark, sf_dir)).select(
         "district", "date", "temperature_2m_mean", "cdd22", "cdd_log", "hdd18"
     )
-    return train(spark, sf_dir).join(wx, ["district", "date"], "left")
+    return staged(train(spark, sf_dir).join(wx, ["district", "date"], "left"))
 
 
 cte(
@@ -284,9 +290,7 @@ VERSIONS = ("v1", "v2", "v3")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from panelyard.operators.evaluate import fold_number
-
-    past = train(spark, sf_dir)
+    past = stored_train(spark, sf_dir)
     own = past.groupBy("entity_id").agg(F.avg("log_value").alias("_e"))
     place = past.groupBy("district").agg(F.avg("log_value").alias("_d"))
     fleet = past.agg(F.avg("log_value").alias("_f"))
@@ -304,7 +308,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
             "pred_b": level + 0.15 * F.sin(horizon / 10),
             "pred_c": 0.8 * level + 0.2 * F.coalesce("_d", "_f"),
         }
-    ).drop("_e", "_d", "_f", "log_value", "is_pos")
+    ).drop("_e", "_d", "_f", "log_value", "is_pos").transform(staged)
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ SELECT DISTINCT entity_id, len(list_filter(edges, lambda e: e <= ln(1 + capacity
 FROM panel, cap_edges""",
 )
 def capacity_bucket_quantile(spark, d):
-    edges = G.capacity_edges(T.train(spark, d))
+    edges = G.capacity_edges(T.stored_train(spark, d))
     rows = T.panel(spark, d).select("entity_id", "capacity").distinct()
     return G.with_capacity_bucket(rows, edges, "bucket")
 
