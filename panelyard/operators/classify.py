@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions.calendar import in_dates
+from panelyard.functions.rounding import rounded
 from panelyard.functions.text import numeric_id
 from panelyard.operators.history import avg_where
 from panelyard.operators.scale import attach, nearest_within
@@ -321,11 +322,11 @@ def load_type_mart(entities: DataFrame, classified: DataFrame, metrics: DataFram
         {
             "load_type": F.coalesce("load_type", F.lit(RESIDENTIAL)),
             "load_type_local": F.coalesce("load_type_local", F.lit(LOCAL_NAMES[RESIDENTIAL])),
-            "confidence": F.round(F.coalesce("confidence", F.lit(0.70)), 2),
+            "confidence": rounded(F.coalesce("confidence", F.lit(0.70)), 2),
             "explanation": F.coalesce("explanation", F.lit("default for distribution units")),
             "train_days": F.coalesce("train_days", F.lit(0)),
             "train_mean": F.coalesce("train_mean", F.lit(0.0)),
             "pred_mean": F.coalesce("pred_mean", F.lit(0.0)),
-            **{c: F.round(c, d) for c, d in digits.items()},
+            **{c: rounded(c, d) for c, d in digits.items()},
         }
     )

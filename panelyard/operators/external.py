@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.functions.clock import local_midnight
 from panelyard.functions.text import norm_place
 from panelyard.operators.scale import keep_one
 
@@ -85,13 +86,6 @@ OUTAGE_KINDS = ("planned", "unplanned")
 OUTAGE_METRICS = ("n", "minutes", "subscribers", "kwh_lost", "sub_minutes")
 
 
-def local_midnight(date: Column, offset_hours: int) -> Column:
-    """The instant a day starts at a fixed UTC offset, whatever the session time zone."""
-    zero = F.lit(0)
-    zone = F.lit(f"{offset_hours:+03d}:00")
-    return F.make_timestamp(F.year(date), F.month(date), F.dayofmonth(date), zero, zero, zero.cast("decimal(16,6)"), zone)
-
-
 def outage_rows(raw: DataFrame, offset_hours: int = 3) -> DataFrame:
     """Clip every outage to its reporting day (local midnight to midnight) and derive the losses.
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.functions.rounding import rounded
 from panelyard.functions.text import day_label
 from panelyard.operators.scale import attach
 
@@ -36,13 +37,13 @@ def entity_master(train: DataFrame, test: DataFrame, forecasts: DataFrame, versi
     hist = train.groupBy("entity_id").agg(
         F.count(v).alias("train_days"),
         F.avg(v).alias("_mean"),
-        F.round(F.stddev_samp(v), 2).alias("train_std"),
-        F.round(F.min(v), 2).alias("train_min"),
-        F.round(F.max(v), 2).alias("train_max"),
-        F.round(F.sum(v), 2).alias("train_sum"),
+        rounded(F.stddev_samp(v), 2).alias("train_std"),
+        rounded(F.min(v), 2).alias("train_min"),
+        rounded(F.max(v), 2).alias("train_max"),
+        rounded(F.sum(v), 2).alias("train_sum"),
     )
     ahead = forecasts.where(F.col("version") == version).groupBy("entity_id").agg(
-        F.avg(p).alias("_pred"), F.round(F.max(p), 2).alias("pred_max"), F.round(F.sum(p), 2).alias("pred_sum")
+        F.avg(p).alias("_pred"), rounded(F.max(p), 2).alias("pred_max"), rounded(F.sum(p), 2).alias("pred_sum")
     )
     change = F.when(F.col("_mean") > 0, (F.col("_pred") - F.col("_mean")) / F.col("_mean") * 100)
     return (
@@ -52,9 +53,9 @@ def entity_master(train: DataFrame, test: DataFrame, forecasts: DataFrame, versi
         .withColumns(
             {
                 "train_days": F.coalesce("train_days", F.lit(0)),
-                "train_mean": F.round("_mean", 2),
-                "pred_mean": F.round("_pred", 2),
-                "yoy_pct": F.round(change, 2),
+                "train_mean": rounded("_mean", 2),
+                "pred_mean": rounded("_pred", 2),
+                "yoy_pct": rounded(change, 2),
             }
         )
         .drop("_mean", "_pred")
@@ -74,11 +75,11 @@ def district_history(train: DataFrame, seen: DataFrame) -> DataFrame:
     """District-day totals of all and of seen entities in one pass."""
     v, s = F.col("value"), F.col("is_seen")
     return with_seen(train, seen).groupBy("province", "district", "date").agg(
-        F.round(F.sum(v), 2).alias("total"),
-        F.round(F.avg(v), 2).alias("average"),
+        rounded(F.sum(v), 2).alias("total"),
+        rounded(F.avg(v), 2).alias("average"),
         F.count(v).alias("n"),
-        F.round(F.coalesce(F.sum(F.when(s, v)), F.lit(0.0)), 2).alias("seen_total"),
-        F.round(F.coalesce(F.avg(F.when(s, v)), F.lit(0.0)), 2).alias("seen_average"),
+        rounded(F.coalesce(F.sum(F.when(s, v)), F.lit(0.0)), 2).alias("seen_total"),
+        rounded(F.coalesce(F.avg(F.when(s, v)), F.lit(0.0)), 2).alias("seen_average"),
         F.count(F.when(s, v)).alias("seen_n"),
     )
 
@@ -100,12 +101,12 @@ def district_forecasts(forecasts: DataFrame, seen: DataFrame, versions: Sequence
     )
     columns: dict[str, Column] = {}
     for version in versions:
-        total = F.round(F.col(f"_{version}"), 2)
-        part = F.round(F.coalesce(F.col(f"_{version}_seen"), F.lit(0.0)), 2)
+        total = rounded(F.col(f"_{version}"), 2)
+        part = rounded(F.coalesce(F.col(f"_{version}_seen"), F.lit(0.0)), 2)
         columns[version] = total
         columns[f"{version}_seen"] = part
-        columns[f"{version}_avg"] = F.round(total / F.col("n"), 2)
-        columns[f"{version}_seen_avg"] = F.when(F.col("seen_n") > 0, F.round(part / F.col("seen_n"), 2)).otherwise(F.lit(0.0))
+        columns[f"{version}_avg"] = rounded(total / F.col("n"), 2)
+        columns[f"{version}_seen_avg"] = F.when(F.col("seen_n") > 0, rounded(part / F.col("seen_n"), 2)).otherwise(F.lit(0.0))
     return out.select("province", "district", "date", "n", "seen_n", *[c.alias(n) for n, c in columns.items()])
 
 
@@ -113,9 +114,9 @@ def version_stats(forecasts: DataFrame) -> DataFrame:
     p = F.col("pred")
     return forecasts.groupBy("version").agg(
         F.count("*").alias("row_count"),
-        F.round(F.avg(p), 4).alias("mean_pred"),
-        F.round(F.max(p), 4).alias("max_pred"),
-        F.round(F.sum(p), 2).alias("sum_pred"),
+        rounded(F.avg(p), 4).alias("mean_pred"),
+        rounded(F.max(p), 4).alias("max_pred"),
+        rounded(F.sum(p), 2).alias("sum_pred"),
     )
 
 
@@ -225,7 +226,7 @@ def entity_timeline(entity_id: str, train: DataFrame, forecasts: DataFrame, weat
     )
     rows = hist.unionByName(ahead).join(weather.select("district", "date", "temp_mean"), ["district", "date"], "left")
     return rows.select(
-        "date", "series", day_label(F.col("date")).alias("day_label"), F.round("value", 2).alias("value"),
+        "date", "series", day_label(F.col("date")).alias("day_label"), rounded("value", 2).alias("value"),
         F.col("temp_mean").alias("temp"),
     )
 
@@ -241,7 +242,7 @@ def yoy_alignment(forecasts: DataFrame, train: DataFrame, weather: DataFrame) ->
 
     Both weather joins are keyed by district and day, the history join by entity and day.
     """
-    before = train.select("entity_id", F.col("date").alias("hist_date"), F.round("value", 2).alias("hist_val"))
+    before = train.select("entity_id", F.col("date").alias("hist_date"), rounded("value", 2).alias("hist_val"))
     temps = weather.select("district", "date", F.col("temp_mean").alias("pred_temp"))
     old_temps = weather.select("district", F.col("date").alias("hist_date"), F.col("temp_mean").alias("hist_temp"))
     rows = forecasts.withColumn("hist_date", same_day_a_year_before(F.col("date")))
@@ -257,7 +258,7 @@ def yoy_alignment(forecasts: DataFrame, train: DataFrame, weather: DataFrame) ->
             day_label(F.col("date")).alias("day_label"),
             day_label(F.col("hist_date")).alias("hist_day_label"),
             "hist_val",
-            F.round("pred", 2).alias("pred"),
+            rounded("pred", 2).alias("pred"),
             "pred_temp",
             "hist_temp",
         )
@@ -272,11 +273,11 @@ def comparison_table(forecasts: DataFrame, train: DataFrame, weather: DataFrame,
     temps = weather.select("district", "date", F.col("temp_mean").alias("temp"))
     none = F.lit(None).cast("double")
     past = recent.join(temps, ["district", "date"], "left").select(
-        "entity_id", "date", F.lit("Historical").alias("period"), "temp", F.round("value", 2).alias("hist_val"),
+        "entity_id", "date", F.lit("Historical").alias("period"), "temp", rounded("value", 2).alias("hist_val"),
         none.alias("pred"), none.alias("delta_pct"),
     )
     aligned = yoy_alignment(forecasts.where(F.col("version") == version), train, weather)
-    change = F.when(F.col("hist_val") > 0, F.round((F.col("pred") - F.col("hist_val")) / F.col("hist_val") * 100, 1))
+    change = F.when(F.col("hist_val") > 0, rounded((F.col("pred") - F.col("hist_val")) / F.col("hist_val") * 100, 1))
     future = aligned.select(
         "entity_id", "date", F.lit("Forecast").alias("period"), F.col("pred_temp").alias("temp"), "hist_val", "pred",
         F.when(F.col("pred") != 0, change).alias("delta_pct"),
@@ -291,15 +292,15 @@ def monthly_summary(train: DataFrame, forecasts: DataFrame, weather: DataFrame,
     """
     month = F.date_format("date", "yyyy-MM")
     hist = train.groupBy("entity_id", month.alias("month")).agg(
-        F.round(F.avg("value"), 2).alias("hist_avg"), F.round(F.sum("value"), 2).alias("hist_sum")
+        rounded(F.avg("value"), 2).alias("hist_avg"), rounded(F.sum("value"), 2).alias("hist_sum")
     )
     aggs = []
     for v in versions:
         mine = F.when(F.col("version") == v, F.col("pred"))
-        aggs += [F.round(F.avg(mine), 2).alias(f"{v}_avg"), F.round(F.sum(mine), 2).alias(f"{v}_sum")]
+        aggs += [rounded(F.avg(mine), 2).alias(f"{v}_avg"), rounded(F.sum(mine), 2).alias(f"{v}_sum")]
     ahead = forecasts.where(F.col("version").isin(*versions)).groupBy("entity_id", month.alias("month")).agg(*aggs)
     home = first_meta(train).select("entity_id", "district").union(first_meta(forecasts).select("entity_id", "district")).distinct()
-    temps = weather.groupBy("district", month.alias("month")).agg(F.round(F.avg("temp_mean"), 1).alias("temp_avg"))
+    temps = weather.groupBy("district", month.alias("month")).agg(rounded(F.avg("temp_mean"), 1).alias("temp_avg"))
     placed = attach(home, temps, "district").drop("district").where("month IS NOT NULL")
     return hist.join(ahead, ["entity_id", "month"], "full_outer").join(placed, ["entity_id", "month"], "full_outer")
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelyard.functions.rounding import rounded
+
 METHODS = ("shewhart", "ewma", "cusum", "nelson")
 # Fixed value: mean moving range of two standard normal draws.
 MOVING_RANGE_D2 = 1.128
@@ -325,8 +327,8 @@ def spc_summary(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     flagged = F.col("is_anomaly").cast("int")
     return results.groupBy(*keys).agg(
         F.sum(flagged).alias("anomaly_count"),
-        F.round(F.avg(flagged), 4).alias("anomaly_rate"),
-        F.round(F.avg("n_methods_flagged"), 4).alias("avg_methods_flagged"),
+        rounded(F.avg(flagged), 4).alias("anomaly_rate"),
+        rounded(F.avg("n_methods_flagged"), 4).alias("avg_methods_flagged"),
         F.max("n_methods_flagged").alias("max_methods_flagged"),
     )
 

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelyard.functions.rounding import nudge, rounded
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -33,11 +35,6 @@ class Query:
         return f"SELECT {', '.join(sql_column(n, k) for n, k in self.columns)} FROM (\n{self.sql}\n) AS result"
 
 
-def half(digits: int) -> float:
-    """A nudge far below the last digit: it moves exact ties, which engines round differently, off the edge."""
-    return 10.0 ** -(digits + 3)
-
-
 def spark_column(name: str, kind: str) -> Column:
     c = F.col(name)
     if kind == "s":
@@ -46,7 +43,7 @@ def spark_column(name: str, kind: str) -> Column:
         return c.cast("date").cast("string").alias(name)
     if kind == "i":
         return c.cast("bigint").alias(name)
-    return F.round(c.cast("double") + half(int(kind)), int(kind)).alias(name)
+    return rounded(c, int(kind)).alias(name)
 
 
 def sql_column(name: str, kind: str) -> str:
@@ -56,7 +53,7 @@ def sql_column(name: str, kind: str) -> str:
         return f"CAST(CAST({name} AS DATE) AS VARCHAR) AS {name}"
     if kind == "i":
         return f"CAST({name} AS BIGINT) AS {name}"
-    return f"round(CAST({name} AS DOUBLE) + {half(int(kind))!r}, {kind}) + CAST(0 AS DOUBLE) AS {name}"
+    return f"round(CAST({name} AS DOUBLE) + {nudge(int(kind))!r}, {kind}) + CAST(0 AS DOUBLE) AS {name}"
 
 
 CTES: dict[str, str] = {}

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from panelyard.functions import weather as WX
+from panelyard.functions.clock import utc_date, utc_instant
 from panelyard.operators import external as X
 from panelyard.operators import wake as WK
 from panelyard.operators import weather_daily as WD
@@ -210,14 +211,14 @@ FROM events WHERE event_type IN ('signup', 'error')""",
 
 def outage_raw(spark, d):
     events = T.table(spark, d, "events").where(F.col("event_type").isin("signup", "error"))
-    start = F.col("ts").cast("timestamp")
+    start = utc_instant(F.col("ts"))
     seconds = F.round(F.col("value") * 600).cast("bigint")
     end = F.timestamp_micros(F.unix_micros(start) + seconds * 1_000_000)
     return events.select(
         F.when(F.col("event_type") == "signup", "planned").otherwise("unplanned").alias("kind"),
         F.lit("İzmir").alias("province"),
         F.concat(F.lit("bölge-"), (F.col("user_id") % 20).cast("string")).alias("district"),
-        F.to_date(F.timestamp_micros(F.unix_micros(start) + 3 * 3600 * 1_000_000)).alias("date"),
+        utc_date(F.timestamp_micros(F.unix_micros(start) + 3 * 3600 * 1_000_000)).alias("date"),
         start.alias("start_time"),
         F.when(F.col("event_id") % 7 != 0, end).alias("end_time"),
         F.col("user_id").alias("subscribers"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from panelyard.functions.clock import utc_date, utc_instant
 from panelyard.operators.spc import SPCConfig, cusum_scale, cusum_step
 
 
@@ -100,12 +101,15 @@ def stream_score_stateful(
 
 
 def stream_daily_panel(events: DataFrame, key: str, time: str, value: str, late: str = "1 day") -> DataFrame:
-    """Daily totals per series, emitted once the watermark has passed the day."""
+    """Totals per series and UTC day, emitted once the watermark has passed the day."""
+    zoneless = dict(events.dtypes)[time] == "timestamp_ntz"
+    moment = utc_instant(F.col(time)) if zoneless else F.col(time)
     return (
-        events.withWatermark(time, late)
+        events.withColumn(time, moment)
+        .withWatermark(time, late)
         .groupBy(key, F.window(time, "1 day").alias("w"))
         .agg(F.sum(value).alias("value"), F.count("*").alias("readings"))
-        .select(key, F.to_date("w.start").alias("date"), "value", "readings")
+        .select(key, utc_date(F.col("w.start")).alias("date"), "value", "readings")
     )
 
 
