@@ -217,16 +217,19 @@ def global_stats(entities: DataFrame, train: DataFrame, test: DataFrame) -> Data
     return counts.withColumns({"history_range": span(train), "forecast_range": span(test)})
 
 
-def entity_timeline(entity_id: str, train: DataFrame, forecasts: DataFrame, weather: DataFrame, versions: Sequence[str]) -> DataFrame:
-    """History and the chosen forecast versions of one entity by date, with temperature and day label."""
-    mine = F.col("entity_id") == entity_id
-    hist = train.where(mine).select("district", "date", F.lit("history").alias("series"), F.col("value"))
+def entity_timeline(
+    train: DataFrame, forecasts: DataFrame, weather: DataFrame, versions: Sequence[str], entity_id: str | None = None
+) -> DataFrame:
+    """History and the chosen forecast versions by entity and date, with temperature and day label; of one
+    entity if its id is given."""
+    mine = F.lit(True) if entity_id is None else F.col("entity_id") == entity_id
+    hist = train.where(mine).select("entity_id", "district", "date", F.lit("history").alias("series"), F.col("value"))
     ahead = forecasts.where(mine & F.col("version").isin(*versions)).select(
-        "district", "date", F.col("version").alias("series"), F.col("pred").alias("value")
+        "entity_id", "district", "date", F.col("version").alias("series"), F.col("pred").alias("value")
     )
     rows = hist.unionByName(ahead).join(weather.select("district", "date", "temp_mean"), ["district", "date"], "left")
     return rows.select(
-        "date", "series", day_label(F.col("date")).alias("day_label"), rounded("value", 2).alias("value"),
+        "entity_id", "date", "series", day_label(F.col("date")).alias("day_label"), rounded("value", 2).alias("value"),
         F.col("temp_mean").alias("temp"),
     )
 

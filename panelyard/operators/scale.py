@@ -154,7 +154,8 @@ def keep_one(df: DataFrame, keys: Sequence[str], *order: Column, largest: bool =
 def nearest_before(left: DataFrame, right: DataFrame, by: str, on: str, columns: Sequence[str]) -> DataFrame:
     """As-of join backward: for each left row the last right row of the same key at or before it.
 
-    One union and one running ``last`` per key, so the cost is a single sort instead of a range join.
+    One union and one running ``last`` per key, so the cost is a single sort instead of a range join. Both
+    sides are unique by (by, on), so a key is as long as its calendar.
     """
     marked_left = left.withColumn("_side", F.lit(1))
     types = dict(right.dtypes)
@@ -170,22 +171,26 @@ def nearest_before(left: DataFrame, right: DataFrame, by: str, on: str, columns:
 def nearest_within(left: DataFrame, right: DataFrame, by: str, on: str, reach: int, columns: Mapping[str, str]) -> DataFrame:
     """For each left row the closest right row of the same key with ``|on - on'| <= reach``.
 
-    Both sides keep only the candidates that can win: the last right row at or before and the first at or
-    after, found by two running windows over bins of width ``reach``. Bins make the work per task bounded
-    by the bin, not by the key; each right row is copied to its own bin and the two beside it. Ties go to
-    the smaller right value.
+    Ties go to the smaller right value. Both sides first collapse to their distinct (by, on) positions, on
+    the map side, so repeated positions cost nothing. Positions are cut into bins of width ``reach`` and each
+    right position is copied to its own bin and the two beside it; a window partition then holds at most
+    four times ``reach`` positions, however large the key is. Inside a bin only the last right position at or
+    before and the first at or after a left one can win. The answers join back to the left rows by
+    position, where AQE splits a hot one.
     """
     bin_of = F.floor(F.col("_on") / reach)
-    queries = left.withColumn("_on", F.col(on)).withColumn("_bin", bin_of).withColumn("_side", F.lit(1))
+    asked = (
+        left.select(by, F.col(on).alias("_on")).where(F.col("_on").isNotNull()).distinct()
+        .withColumn("_bin", bin_of).withColumn("_side", F.lit(1))
+    )
     packed = F.struct(F.col(on).alias("_at"), *[F.col(c).alias(n) for n, c in columns.items()])
     points = (
-        right.select(F.col(by), F.col(on).alias("_on"), packed.alias("_hit"))
-        .where(F.col("_on").isNotNull())
+        right.where(F.col(on).isNotNull())
+        .groupBy(F.col(by), F.col(on).alias("_on")).agg(F.min(packed).alias("_hit"))
         .withColumn("_bin", F.explode(F.array(*[bin_of + i for i in (-1, 0, 1)])))
-        .groupBy(by, "_bin", "_on").agg(F.min("_hit").alias("_hit"))
         .withColumn("_side", F.lit(0))
     )
-    both = queries.unionByName(points, allowMissingColumns=True)
+    both = asked.unionByName(points, allowMissingColumns=True)
     keys = Window.partitionBy(by, "_bin")
     before = keys.orderBy("_on", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = keys.orderBy(F.col("_on"), F.col("_side").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -197,9 +202,7 @@ def nearest_within(left: DataFrame, right: DataFrame, by: str, on: str, reach: i
     best = F.when(use_below & (gap_below <= reach), F.col("_below")).when(
         ~use_below & (gap_above <= reach), F.col("_above")
     )
-    return (
-        filled.where(F.col("_side") == 1)
-        .withColumn("_best", best)
-        .withColumns({n: F.col(f"_best.{n}") for n in columns})
-        .select(*left.columns, *columns)
+    answers = filled.where(F.col("_side") == 1).withColumn("_best", best).select(
+        by, F.col("_on").alias(on), *[F.col(f"_best.{n}").alias(n) for n in columns]
     )
+    return left.join(answers, [by, on], "left").select(*left.columns, *columns)

@@ -402,19 +402,17 @@ def version_stats(spark, d):
     return M.version_stats(T.forecasts(spark, d))
 
 
-# The first meter with history, by id, stands for the entity a user opens.
 @register(
     "entity_timeline",
-    "date d, series s, day_label s, value 2, temp 2",
+    "entity_id s, date d, series s, day_label s, value 2, temp 2",
     """
-SELECT x.date, series, strftime(x.date, '%d-%m (') || lower(strftime(x.date, '%a')) || ')' AS day_label, value, w.temp_mean AS temp
-FROM (SELECT district, date, 'history' AS series, value FROM train WHERE entity_id = (SELECT min(entity_id) FROM train)
-      UNION ALL SELECT district, date, version, pred FROM forecasts WHERE entity_id = (SELECT min(entity_id) FROM train) AND version IN ('v1', 'v3')) x
+SELECT x.entity_id, x.date, series, strftime(x.date, '%d-%m (') || lower(strftime(x.date, '%a')) || ')' AS day_label, value, w.temp_mean AS temp
+FROM (SELECT entity_id, district, date, 'history' AS series, value FROM train
+      UNION ALL SELECT entity_id, district, date, version, pred FROM forecasts WHERE version IN ('v1', 'v3')) x
 LEFT JOIN served_weather w ON w.district = x.district AND w.date = x.date""",
 )
 def entity_timeline(spark, d):
-    chosen = T.train(spark, d).agg(F.min("entity_id")).first()[0]
-    return M.entity_timeline(chosen, T.train(spark, d), T.forecasts(spark, d), T.served_weather(spark, d), ["v1", "v3"])
+    return M.entity_timeline(T.train(spark, d), T.forecasts(spark, d), T.served_weather(spark, d), ["v1", "v3"])
 
 
 cte(

@@ -5,9 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelyard.operators import features as FT
+from panelyard.operators import history as H
 from panelyard.operators import regime as R
 from panelyard.operators.scale import latest_date, nearest_before
 from panelyard.plans import tables as T
+from panelyard.plans.history_queries import MATRIX, enriched, entity_history_sql, matrix_sql
 from panelyard.plans.registry import cte, register
 from panelyard.session import staged
 
@@ -172,3 +175,30 @@ FROM test_rows t ASOF LEFT JOIN train h ON h.entity_id = t.entity_id AND h.date
 def asof_backward(spark, d):
     known = T.train(spark, d).select("entity_id", "date", F.col("date").alias("last_value_date"), F.col("value").alias("last_value"))
     return nearest_before(T.test_rows(spark, d).select("entity_id", "date"), known, "entity_id", "date", ["last_value_date", "last_value"])
+
+
+cte(
+    "norm_hist",
+    """
+SELECT p.* REPLACE (r.value * f.to_current AS value, ln(1 + r.value * f.to_current) AS log_value, CASE WHEN r.value * f.to_current > 0 THEN 1 ELSE 0 END AS is_pos),
+       month(p.date) AS month, isodow(p.date) - 1 AS dow, w.temperature_2m_mean, w.cdd22, w.cdd_log,
+       r.value * f.to_current / (greatest(p.capacity, 1) * 24) AS lf, date_diff('day', p.date, (SELECT max(date) FROM planted)) AS age
+FROM train p JOIN segmented r ON r.entity_id = p.entity_id AND r.date = p.date
+JOIN seg_factors f ON f.entity_id = r.entity_id AND f.seg = r.seg
+LEFT JOIN weather_basic w ON w.district = p.district AND w.date = p.date""",
+)
+
+
+@register(
+    "horizon_block",
+    f"{MATRIX}, regime_n_breaks i, regime_last_ratio 4, regime_scale_to_current 5, regime_last_break i",
+    "SELECT m.*, coalesce(regime_n_breaks, 0) AS regime_n_breaks, coalesce(regime_last_ratio, 1) AS regime_last_ratio, "
+    "coalesce(regime_scale_to_current, 1) AS regime_scale_to_current, "
+    "coalesce(list_position(['step', 'scale', 'wake', 'sleep'], regime_last_break), 0) AS regime_last_break FROM ("
+    + matrix_sql("test_rows", "norm_hist", entity_history_sql("norm_hist"))
+    + ") m LEFT JOIN regime_states s ON s.entity_id = m.entity_id",
+)
+def horizon_block(spark, d):
+    rows = enriched(spark, d)
+    history = H.before_cutoff(rows, T.CUT).where(~F.col("is_new")).withColumn("value", F.round(F.col("value") * F.expr(PLANT), 2))
+    return FT.horizon_block(staged(history), H.target_window(rows, T.CUT, T.END), T.CUT, regime=True)
