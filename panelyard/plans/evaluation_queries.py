@@ -79,7 +79,7 @@ FROM (SELECT *, CASE WHEN segment = 'test_comp' AND delta > -{E.MIN_GAIN} THEN '
                      WHEN segment IN ('seen', 'unseen') AND delta > {E.MAX_SEGMENT_REGRESSION} THEN 'regress:' || segment
                      WHEN segment LIKE 'fold_%' AND delta > 0 THEN 'fold:' || substr(segment, 6)
                      WHEN segment SIMILAR TO 'h[0-9].*' AND delta > 0 THEN 'horizon:' || segment END AS reason
-      FROM (SELECT a.segment, c.value - a.value AS delta FROM segments_a a JOIN segments_c c ON c.segment = a.segment))""",
+      FROM (SELECT a.segment, round(c.value - a.value, 12) AS delta FROM segments_a a JOIN segments_c c ON c.segment = a.segment))""",
 )
 def acceptance_gate(spark, d):
     rows = T.scored(spark, d)
