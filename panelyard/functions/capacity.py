@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from panelyard.functions.weather import floor_zero
+
 # Right-closed capacity class edges in kVA.
 CAPACITY_EDGES = (0, 100, 250, 400, 630, 1000, 1600, 1_000_000_000)
 
@@ -34,8 +36,8 @@ def load_factor(value: Column, capacity: Column) -> Column:
 
 
 def forecast_invert(log_prediction: Column) -> Column:
-    """Back from log space, never negative."""
-    return F.greatest(F.expm1(log_prediction), F.lit(0.0))
+    """Back from log space, never negative; a missing prediction stays missing."""
+    return floor_zero(F.expm1(log_prediction))
 
 
 def hurdle_dampen(log_prediction: Column, p_active: Column, seen: Column, threshold: float = 0.90) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.functions.capacity import hurdle_dampen
+from panelyard.functions.weather import floor_zero
 
 # Unseen share of the scored rows, gate thresholds and horizon bands in days.
 UNSEEN_SHARE = 0.2216
@@ -281,7 +282,7 @@ def apply_hurdle(rows: DataFrame, pred: str = "pred", p_active: str = "p_active"
 def shift_segments(rows: DataFrame, shifts: DataFrame, keys: Sequence[str], pred: str = "pred") -> DataFrame:
     """Add a per-segment constant (column ``shift``) to the log prediction, never below zero."""
     out = rows.join(shifts, list(keys), "left")
-    moved = F.greatest(F.col(pred) + F.coalesce("shift", F.lit(0.0)), F.lit(0.0))
+    moved = floor_zero(F.col(pred) + F.coalesce("shift", F.lit(0.0)))
     return out.withColumn(pred, moved).drop("shift")
 
 

@@ -79,9 +79,8 @@ def winsorized(hist: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFr
     keys = ["region", "capacity"]
     limits = measured(exact_quantiles(hist, keys, "log_value", {"_lo": low, "_hi": high}))
     joined = hist.join(limits, null_safe(hist, limits, keys), "left").select(hist["*"], "_lo", "_hi")
-    return joined.withColumn(
-        "log_value", F.greatest("_lo", F.least("_hi", "log_value"))
-    ).drop("_lo", "_hi")
+    clipped = F.when(F.col("log_value").isNotNull(), F.greatest("_lo", F.least("_hi", "log_value")))
+    return joined.withColumn("log_value", clipped).drop("_lo", "_hi")
 
 
 def cold_prior_winsor(hist: DataFrame, k: float = 5.0, low: float = 0.05, high: float = 0.95) -> DataFrame:

@@ -398,7 +398,8 @@ def apply_anomaly_strategy(
     """Remove flagged rows, clip values to the Shewhart limits, or add the flag. Needs baseline columns."""
     if strategy == "clip":
         out = shewhart(df, keys, order, value, config)
-        return out.withColumn(value, F.greatest("shewhart_lower", F.least("shewhart_upper", value))).select(df.columns)
+        clipped = F.greatest("shewhart_lower", F.least("shewhart_upper", value))
+        return out.withColumn(value, F.when(F.col(value).isNotNull(), clipped)).select(df.columns)
     scored = spc_detect(df, keys, order, value, METHODS, "any", config).select(*df.columns, "is_anomaly")
     if strategy == "remove":
         return scored.where(~F.col("is_anomaly")).drop("is_anomaly")

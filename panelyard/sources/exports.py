@@ -132,7 +132,7 @@ def read_json_reports(spark: SparkSession, path: str, keys: Sequence[str] = HEAD
 
     A file that is not JSON is skipped.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(
+    raw = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_modification_time").alias("modified"),

@@ -78,7 +78,7 @@ def serving_weather(weather: DataFrame) -> DataFrame:
 
 def read_coords(spark: SparkSession, path: str) -> DataFrame:
     """JSON map name -> [lat, lon] as rows district, lat, lon; entries of any other shape are NULL."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return coords_rows(text, "value")
 
 
