@@ -5,11 +5,12 @@ from __future__ import annotations
 from bisect import insort
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelyard.operators.scale import scan_in_order
+
 # Amplification rates of current and voltage transformers, ascending.
 AMPLIFICATION_RATES = (
     5, 10, 15, 20, 25, 30, 40, 50, 60, 75, 80, 100, 120, 125, 150, 160, 200, 240, 250, 300, 315, 345, 350,
@@ -17,36 +18,32 @@ AMPLIFICATION_RATES = (
 )
 
 
-def running_prior_median(values: np.ndarray) -> np.ndarray:
-    """Median of the present values before each position, zero while there are none: one sorted insert a step."""
-    out = np.zeros(len(values))
+def prior_median_step():
+    """Median of a key's present values before each row, zero while there are none: one sorted insert a row."""
     seen: list[float] = []
-    for i, value in enumerate(values):
-        n = len(seen)
-        if n:
-            out[i] = (seen[(n - 1) // 2] + seen[n // 2]) / 2
-        if not np.isnan(value):
-            insort(seen, value)
-    return out
+
+    def step(position: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+        out = np.zeros(len(values))
+        for i, (at, value) in enumerate(zip(position.tolist(), values.tolist())):
+            if at == 1:
+                seen.clear()
+            n = len(seen)
+            if n:
+                out[i] = (seen[(n - 1) // 2] + seen[n // 2]) / 2
+            if value == value:
+                insort(seen, value)
+        return [out]
+
+    return step
 
 
 def expanding_prior_median(df: DataFrame, value: Column, name: str = "prior_median") -> DataFrame:
     """Median of the strictly earlier readings of the same entity; zero when there are none.
 
-    A framed exact percentile sorts the whole prefix again at every row. The grouped map keeps the prefix
-    sorted instead; a group is one entity's calendar, and only the columns it needs travel to Python.
+    A framed exact percentile sorts the whole prefix again at every row; the ordered scan keeps it sorted.
     """
-    keyed = df.withColumn("_clean", value)
-    schema = T.StructType([*[keyed.schema[c] for c in ("entity_id", "date")], T.StructField(name, T.DoubleType())])
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("date", kind="stable")
-        medians = running_prior_median(frame["_clean"].to_numpy(float))
-        return pd.DataFrame({"entity_id": frame["entity_id"], "date": frame["date"], name: medians})
-
-    narrow = keyed.select("entity_id", "date", F.col("_clean").cast("double").alias("_clean"))
-    medians = narrow.groupBy("entity_id").applyInPandas(scan, schema)
-    return df.join(medians, ["entity_id", "date"]).select(*df.columns, name)
+    added = [T.StructField(name, T.DoubleType())]
+    return scan_in_order(df.withColumn("_clean", value), ["entity_id"], "date", added, prior_median_step, ["_clean"]).drop("_clean")
 
 
 def nearest_rate(ratio: Column) -> Column:

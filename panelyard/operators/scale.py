@@ -7,10 +7,12 @@ only ever reduced by partial aggregation or split by value.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 
@@ -128,6 +130,38 @@ def exact_quantiles(
     return named.groupBy(*keys).agg(*picks)
 
 
+def scan_in_order(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    added: Sequence[T.StructField],
+    start: Callable[[], Callable[..., list]],
+    inputs: Sequence[str],
+) -> DataFrame:
+    """Append columns computed by one pass over each key's rows in order, with state between rows.
+
+    ``start`` makes a step function; it is called per partition and receives (position, *inputs) arrays of
+    one Arrow batch, where position 1 opens a new key. State travels from batch to batch, so a task holds a
+    batch and the state of one key and never a whole key. Only ``inputs`` are touched in Python; the other
+    columns pass through as Arrow buffers.
+    """
+    names, outputs = df.columns, [*df.columns, *[f.name for f in added]]
+    wanted = ["_pos", *[f"_in{i}" for i in range(len(inputs))]]
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    doubles = {f"_in{i}": F.col(c).cast("double") for i, c in enumerate(inputs)}
+    ordered = df.withColumns({"_pos": position, **doubles}).sortWithinPartitions(*keys, order)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = start()
+        for batch in batches:
+            columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in wanted]
+            made = [pa.array(a, from_pandas=True) for a in step(*columns)]
+            kept = [batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, *made], outputs)
+
+    return ordered.mapInArrow(scan, T.StructType([*df.schema.fields, *added]))
+
+
 def islands(df: DataFrame, keys: Sequence[str], order: str, flag: Column, name: str = "island") -> DataFrame:
     """Number the runs of equal ``flag`` per key in ``order``."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -2,21 +2,22 @@
 
 Series are keyed by ``keys`` and ordered by ``order``, one row per key and order step (a day or an hour), so
 a series is as long as its calendar. Shewhart and Nelson are window expressions. EWMA and CUSUM carry
-state from row to row; one grouped-map kernel per series computes both in a single pass.
+state from row to row; one ordered scan computes both in a single pass.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelyard.functions.rounding import rounded
+from panelyard.operators.scale import scan_in_order
 
 METHODS = ("shewhart", "ewma", "cusum", "nelson")
 # Fixed value: mean moving range of two standard normal draws.
@@ -155,73 +156,64 @@ def shewhart(df: DataFrame, keys: Sequence[str], order: str, value: str, config:
     )
 
 
-def ewma_path(x: np.ndarray, lam: float) -> np.ndarray:
-    """e0 = x0, then lam*x + (1-lam)*previous; a missing value carries the previous one."""
-    out = np.empty(len(x))
-    level = np.nan
-    for i, v in enumerate(x):
-        level = v if i == 0 else (level if np.isnan(v) else lam * v + (1 - lam) * level)
-        out[i] = level
-    return out
-
-
 def cusum_step(up: float, down: float, z: float, k: float, h: float) -> tuple[float, float, float, float]:
     """One update: (positive, negative, next positive, next negative); a signal restarts both sides."""
     pos, neg = max(0.0, up + z - k), min(0.0, down + z + k)
     return (pos, neg, 0.0, 0.0) if pos > h or neg < -h else (pos, neg, pos, neg)
 
 
-def cusum_path(z: np.ndarray, k: float, h: float) -> np.ndarray:
-    """|C+| + |C-| per row; a missing score carries the running sums."""
-    out = np.empty(len(z))
-    up = down = 0.0
-    for i, score in enumerate(z):
-        if np.isnan(score):
-            pos, neg = up, down
-        else:
-            pos, neg, up, down = cusum_step(up, down, score, k, h)
-        out[i] = abs(pos) + abs(neg)
-    return out
-
-
 def cusum_scale(config: SPCConfig, sigma):
     return sigma if config.cusum_units == "reference" else 1.0
 
 
+def chart_step(config: SPCConfig):
+    """EWMA and CUSUM of one row after the other.
+
+    e0 = x0, then lam*x + (1-lam)*previous; a missing value carries the EWMA and both running sums on.
+    """
+    lam = config.ewma_lambda
+
+    def start():
+        level, up, down = math.nan, 0.0, 0.0
+
+        def step(position, values, means, sigmas) -> list[np.ndarray]:
+            nonlocal level, up, down
+            ewma, total = np.empty(len(values)), np.empty(len(values))
+            rows = zip(position.tolist(), values.tolist(), means.tolist(), sigmas.tolist())
+            for i, (at, x, mean, sigma) in enumerate(rows):
+                if at == 1:
+                    level, up, down = x, 0.0, 0.0
+                elif x == x:
+                    level = lam * x + (1 - lam) * level
+                if x == x:
+                    scale = cusum_scale(config, sigma)
+                    z = (x - mean) / sigma if sigma > 0 else 0.0
+                    pos, neg, up, down = cusum_step(up, down, z, config.cusum_k * scale, config.cusum_h * scale)
+                else:
+                    pos, neg = up, down
+                ewma[i], total[i] = level, abs(pos) + abs(neg)
+            shrink = np.sqrt(lam / (2 - lam) * (1 - (1 - lam) ** (2.0 * position)))
+            reach = config.ewma_multiplier * sigmas * shrink
+            limit = config.cusum_h * cusum_scale(config, sigmas) * np.ones(len(values))
+            with np.errstate(invalid="ignore"):
+                return [
+                    ewma, means + reach, means - reach, (ewma > means + reach) | (ewma < means - reach), total, limit, total > limit,
+                ]
+
+        return step
+
+    return start
+
+
+CHART_COLUMNS = ("ewma", "ewma_upper", "ewma_lower", "ewma_anomaly", "cusum", "cusum_limit", "cusum_anomaly")
+
+
 def sequential_charts(
     df: DataFrame, keys: Sequence[str], order: str, value: str, config: SPCConfig = SPCConfig()
 ) -> DataFrame:
-    """EWMA and CUSUM statistics, limits and flags. Needs the baseline columns; one pass per series."""
-
-    def score(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        x = frame[value].to_numpy(float)
-        mean, sigma = float(frame["baseline_mean"].iloc[0]), float(frame["baseline_std"].iloc[0])
-        lam = config.ewma_lambda
-        steps = np.arange(1, len(x) + 1)
-        reach = config.ewma_multiplier * sigma * np.sqrt(lam / (2 - lam) * (1 - (1 - lam) ** (2 * steps)))
-        z = (x - mean) / sigma if sigma > 0 else np.where(np.isnan(x), np.nan, 0.0)
-        scale = cusum_scale(config, sigma)
-        ewma = ewma_path(x, lam)
-        cusum = cusum_path(z, config.cusum_k * scale, config.cusum_h * scale)
-        with np.errstate(invalid="ignore"):
-            return frame.assign(
-                ewma=ewma,
-                ewma_upper=mean + reach,
-                ewma_lower=mean - reach,
-                ewma_anomaly=(ewma > mean + reach) | (ewma < mean - reach),
-                cusum=cusum,
-                cusum_limit=config.cusum_h * scale,
-                cusum_anomaly=cusum > config.cusum_h * scale,
-            )
-
-    added = [
-        T.StructField(n, T.BooleanType() if n.endswith("anomaly") else T.DoubleType())
-        for n in ("ewma", "ewma_upper", "ewma_lower", "ewma_anomaly", "cusum", "cusum_limit", "cusum_anomaly")
-    ]
-    out = df.groupBy(*keys).applyInPandas(score, T.StructType([*df.schema.fields, *added]))
-    # pandas marks a missing statistic as NaN; the engine's missing value is NULL.
-    return out.withColumn("ewma", F.when(~F.isnan("ewma"), F.col("ewma")))
+    """EWMA and CUSUM statistics, limits and flags. Needs the baseline columns; one ordered pass for both."""
+    added = [T.StructField(n, T.BooleanType() if n.endswith("anomaly") else T.DoubleType()) for n in CHART_COLUMNS]
+    return scan_in_order(df, keys, order, added, chart_step(config), [value, "baseline_mean", "baseline_std"])
 
 
 def ewma(df: DataFrame, keys: Sequence[str], order: str, value: str, config: SPCConfig = SPCConfig()) -> DataFrame:
@@ -314,13 +306,10 @@ def spc_detect_multi(
     aggregate: str = "majority",
     config: SPCConfig = SPCConfig(),
 ) -> DataFrame:
-    """Score every series; rows of series without a baseline are kept and never flagged."""
-    fitted = spc_detect(df.join(baselines, list(keys)), keys, order, value, methods, aggregate, config)
-    flags = [f"{m}_anomaly" for m in methods]
-    unfitted = df.join(baselines, list(keys), "left_anti").withColumns({c: F.lit(False) for c in flags})
-    unfitted = unfitted.withColumns({"n_methods_flagged": F.lit(0), "is_anomaly": F.lit(False)})
-    columns = [*df.columns, *flags, "n_methods_flagged", "is_anomaly"]
-    return fitted.select(*columns).unionByName(unfitted.select(*columns))
+    """Score every series in one pass; rows of series without a baseline are kept and never flagged, because
+    no chart can compare with a missing limit."""
+    scored = spc_detect(df.join(baselines, list(keys), "left"), keys, order, value, methods, aggregate, config)
+    return scored.select(*df.columns, *[f"{m}_anomaly" for m in methods], "n_methods_flagged", "is_anomaly")
 
 
 def spc_summary(results: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -30,7 +30,11 @@ def test_running_median_equals_numpy():
     rng = np.random.default_rng(5)
     values = np.round(rng.normal(10, 3, 200), 1)
     values[rng.random(200) < 0.1] = np.nan
-    got = clean.running_prior_median(values)
+    step = clean.prior_median_step()
+    position = np.arange(1, 201)
+    # Two batches of one key, then a second key: state continues and then restarts.
+    got = np.concatenate([step(position[:70], values[:70])[0], step(position[70:], values[70:])[0]])
+    assert step(np.array([1, 2]), np.array([4.0, 6.0]))[0].tolist() == [0.0, 4.0]
     for i in range(200):
         seen = values[:i][~np.isnan(values[:i])]
         assert np.isclose(got[i], np.median(seen) if len(seen) else 0.0)
