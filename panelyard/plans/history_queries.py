@@ -193,7 +193,7 @@ FROM (SELECT unnest([4, 9]) AS length, * FROM life), LATERAL (SELECT left(entity
 # Household ids share their first three characters, so prefixes one digit into the number are used.
 @register("prefix_rates", "length i, prefix s, dead 6, level 6, n 6", "SELECT * FROM prefixes")
 def prefix_rates(spark, d):
-    past, _ = T.household_split(spark, d)
+    past, _ = T.household_split(spark, d, stored=True)
     return G.prefix_rates(past, (4, 9))
 
 
@@ -209,7 +209,7 @@ LEFT JOIN prefixes b ON b.length = 9 AND b.prefix = left(e.entity_id, 9)
 CROSS JOIN (SELECT avg(dead) AS d, avg(lvl) AS l FROM life) g""",
 )
 def prefix_attach(spark, d):
-    past, _ = T.household_split(spark, d)
+    past, _ = T.household_split(spark, d, stored=True)
     ids = T.household(spark, d).select("entity_id").union(T.readings(spark, d).select("entity_id")).distinct()
     return G.attach_prefix(ids, past, (4, 9))
 

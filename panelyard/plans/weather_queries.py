@@ -14,7 +14,7 @@ from panelyard.operators import weather_daily as WD
 from panelyard.operators.scale import keep_one
 from panelyard.plans import tables as T
 from panelyard.plans.registry import cte, register
-from panelyard.session import shared_dir, staged
+from panelyard.session import shared_dir
 from panelyard.sources import panel as SP
 
 
@@ -324,8 +324,8 @@ cte("wake_fit", "\nUNION ALL ".join(wake_scope(n, k, m) for n, (k, m) in SCOPES.
 
 @register("seasonal_wake_fit", "scope s, key s, month i, n i, p 6, level 6, p_level 6", "SELECT * FROM wake_fit")
 def seasonal_wake_fit(spark, d):
-    past, _ = T.household_split(spark, d)
-    return WK.seasonal_wake_fit(staged(past), T.CUT)
+    past, _ = T.household_split(spark, d, stored=True)
+    return WK.seasonal_wake_fit(past, T.CUT)
 
 
 # Orders are rare, so the gate is lowered; with the default nothing would ever be emitted.
@@ -346,8 +346,8 @@ LEFT JOIN wake_fit en ON en.scope = 'entity' AND en.key = f.entity_id AND en.mon
 LEFT JOIN wake_fit fl ON fl.scope = 'fleet'""",
 )
 def seasonal_wake_apply(spark, d):
-    past, future = T.household_split(spark, d)
-    return WK.seasonal_wake_apply(future, staged(past), T.CUT, WK.WakeParams(min_wake_p=GATE))
+    past, future = T.household_split(spark, d, stored=True)
+    return WK.seasonal_wake_apply(future, past, T.CUT, WK.WakeParams(min_wake_p=GATE))
 
 
 @register(
