@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelyard.functions.calendar import calendar_features
 from panelyard.functions.weather import weather_basic
 from panelyard.operators import clean
 from panelyard.operators import features as FT

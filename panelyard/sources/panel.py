@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelyard.functions.text import parse_location
+from panelyard.functions.rounding import rounded
+from panelyard.functions.text import day_label, parse_location
 from panelyard.operators.clean import declip
 
 # Column names of the public panel export and their engine names.
@@ -66,14 +67,12 @@ def read_weather(spark: SparkSession, path: str) -> DataFrame:
 
 def serving_weather(weather: DataFrame) -> DataFrame:
     """Rounded columns the serving tables show."""
-    from panelyard.functions.text import day_label
-
     digits = {
         "temp_mean": ("temperature_2m_mean", 2), "temp_min": ("temperature_2m_min", 2), "temp_max": ("temperature_2m_max", 2),
         "apparent_temp": ("apparent_temperature_mean", 2), "humidity": ("relative_humidity_2m_mean", 1),
         "precipitation": ("precipitation_sum", 2),
     }
-    return weather.withColumns({"day_label": day_label(F.col("date")), **{n: F.round(c, d) for n, (c, d) in digits.items()}})
+    return weather.withColumns({"day_label": day_label(F.col("date")), **{n: rounded(c, d) for n, (c, d) in digits.items()}})
 
 
 def read_coords(spark: SparkSession, path: str) -> DataFrame:
