@@ -1,4 +1,4 @@
-"""Session settings and lineage cuts."""
+"""Session settings and the shared folder for derived tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FALLBACK: dict[str, str] = {}
+
 
 def build_session(app: str = "panelyard", cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark. On a cluster, pass your own session instead."""
@@ -25,35 +27,42 @@ def build_session(app: str = "panelyard", cpus: str | int = "*", shuffle_partiti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """This application's folder below the one every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster a machine-local path would
-    vanish with its executor.
+    Only a single-process master may fall back to a temporary folder: on a cluster a machine-local path would vanish
+    with its executor. The folder goes when the application's JVM ends.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = tempfile.mkdtemp(prefix="panelyard-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the written copy."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _FALLBACK:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+            named = tempfile.mkdtemp(prefix="panelyard-")
+        folder = f"{named.rstrip('/')}/panelyard-{app}-{uuid.uuid4().hex[:8]}"
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _FALLBACK[app] = folder
+    return _FALLBACK[app]
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and continue from the table.
 
     For a derived panel that several aggregates read: each of them then scans only its own columns, Catalyst
     knows the true size, and a lost executor costs a re-read instead of a recomputation.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``staged`` returned, once no later plan reads it."""
+    context = df.sparkSession.sparkContext
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
