@@ -132,7 +132,7 @@ def fit(docs: DataFrame, p: Codes | None = None) -> Model:
     sample = known.where(F.col("_lang").isin(names)).withColumn("at", place("lang", F.col("_id"))).withColumn("turn", turn).where(F.col("turn") <= each)
     ids = sample.groupBy("_id", "_lang", "at").agg(F.count("*").alias("n")).drop("n")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").alias("lang"), "text").where(F.col("text").isNotNull())
-    joined = texts.join(F.broadcast(ids), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("at", "id", "lang", "text")
+    joined = texts.join(F.broadcast(ids), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("at", "id", "lang", "text", F.lit(0).alias("all"))
     numbers = {name: k for k, name in enumerate(names)}
 
     def learn(rows: pa.Table) -> pa.Table:
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, p: Codes | None = None) -> Model:
         return pa.table({"part": ["weights", "trust"], "data": pa.array([w.astype("<f4").tobytes(), right.astype("<f8").tobytes()], pa.binary())})
 
     if codes.shape[1]:
-        made = {r["part"]: r["data"] for r in joined.groupBy(F.lit(0)).applyInArrow(learn, "part string, data binary").collect()}
+        made = {r["part"]: r["data"] for r in joined.groupBy("all").applyInArrow(learn, "part string, data binary").collect()}
         weights = np.frombuffer(made["weights"], "<f4").reshape(-1, codes.shape[1])
         trust = np.frombuffer(made["trust"], "<f8")
     else:

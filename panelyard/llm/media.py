@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelyard.session import staged
 
@@ -145,12 +146,12 @@ def picture_features(media: DataFrame) -> DataFrame:
     Columns: height, width, samples (bytes of all samples), payload_sha256, tail_crc32 (of the last 16 sample bytes),
     media_bytes, media_sha256, dhash, tile. A null picture or one that cannot be read gets nulls, never an error.
     """
-    added = "height int, width int, samples long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary"
-    names = [p.split()[0] for p in added.split(", ")]
+    added = T.StructType.fromDDL(
+        "height int, width int, samples long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary"
+    )
+    names = added.names
     kept = [c for c in media.columns if c != "media"]
-    schema = media.select(*kept).schema
-    for part in added.split(", "):
-        schema = schema.add(*part.split())
+    schema = T.StructType([*media.select(*kept).schema.fields, *added.fields])
 
     def look(data: bytes | None) -> tuple:
         if data is None:

@@ -43,11 +43,11 @@ def with_range(df: DataFrame, at: str, bits: int) -> DataFrame:
 
 
 def range_offsets(df: DataFrame, keys: Sequence[str], at: str, value: str, bits: int) -> DataFrame:
-    """Per group and range of places the sum of ``value`` in all earlier ranges of the group, as (_k0.., _r, _before)."""
+    """Per group and range of places the sum of ``value`` in all earlier ranges of the group, as (_k0.., _r, _offset)."""
     totals = with_range(df, at, bits).groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-    return offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_before")
+    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    return offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_offset")
 
 
 def add_totals(
@@ -59,8 +59,8 @@ def add_totals(
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     joined = with_range(df, at, bits).join(offsets, same).drop("_r", *[f"_k{i}" for i in range(len(keys))])
     inside = Window.partitionBy(*keys, "_range").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))
-    return joined.withColumn(out, before).drop("_before", "_range")
+    before = F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return joined.withColumn(out, before).drop("_offset", "_range")
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], value: str, out: str) -> DataFrame:

@@ -29,6 +29,10 @@ GOOD = (
     "https://museum.example.org/es/visita", "https://science.example.edu/journal/vol3/paper.pdf", "https://www.example.org/de/511#top", "http://blog.example.net/es/883?page=2",
     "https://forum.example.com/thread/88/reply", "https://recipes.example.net/fr/soupe", "https://city.example.gov/services/water", "https://school.example.edu/lessons/math",
     "https://weather.example.net/forecast/today", "https://music.example.org/artists/list", "http://garden.example.com/tips/roses", "https://travel.example.net/en/guide/coast",
+    "http://ththre.example.com/fr/825?page=2&ref=x", "https://m.ththth.example.net/en/25", "https://blog.tionsh.example.net/en/27", "https://www.thernd.example.org/de/12.html",
+    "http://tionsh.example.net/en/217#top", "https://blog.ththre.example.org/es/304/", "https://m.tiontion.example.com/en/99", "http://www.eronth.example.org/en/685",
+    "https://ouingha.example.net/de/58", "https://m.stanre.example.org/fr/611/", "http://blog.heation.example.net/en/8.html", "https://www.orblean.example.com/de/370?utm_source=feed",
+    "https://anthed.example.org/en/444", "http://m.ndreer.example.net/en/501", "https://blog.inthes.example.org/es/77", "https://erlyat.example.org/fr/930#top",
     "https://health.example.gov/advice/sleep", "https://maps.example.org/route/north", "https://code.example.com/project/readme", "https://photos.example.net/album/9",
 )
 BAD = (
