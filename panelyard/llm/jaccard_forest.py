@@ -98,10 +98,13 @@ def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
 def groups(texts: DataFrame, forest: Forest) -> DataFrame:
     """(key, homes, blocks): for each text that meets another one its group per tree (0: none) and its groups' block counts."""
     met = texts.select("key", "grams", F.posexplode("nodes").alias("tree", "node"))
+    # most nodes hold one text: they are counted first, so that only the others meet the rest of the work
+    shared = met.groupBy("node").agg(F.count("*").alias("texts")).where(F.col("texts") > 1).select(F.col("node").alias("_node"))
+    met = staged(met.join(shared, F.col("node") == F.col("_node")).drop("_node"), "met")
     nodes = met.groupBy("node").agg(
         F.count("*").alias("texts"), F.sum("grams").alias("weight"), F.min("key").alias("low"),
-        F.bit_xor(F.xxhash64("key")).alias("mark"), F.sum(F.xxhash64("key", F.lit(7)).cast("decimal(38,0)")).alias("check"),
-    ).where(F.col("texts") > 1)
+        F.bit_xor(F.xxhash64("key")).alias("mark"), F.bit_xor(F.xxhash64("key", F.lit(7))).alias("check"),
+    )
     blocks = F.greatest(F.ceil(F.col("texts") / forest.block_texts), F.ceil(F.col("weight") / forest.block_grams))
     same = ["texts", "low", "mark", "check"]
     # a bounded list: one set of members is a node of each tree at most

@@ -101,3 +101,44 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {}
+
+SQL["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT coalesce(text, '') AS body, min(doc_id) AS copy_id, count(*) AS copies, row_number() OVER (ORDER BY md5(coalesce(text, ''))) AS t
+  FROM documents GROUP BY coalesce(text, '')
+), worded AS (
+  SELECT t, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM texts
+), grams AS (
+  SELECT t, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM worded
+), sizes AS (SELECT t, count(*) AS n FROM grams GROUP BY t
+), common AS (SELECT a.t AS a, b.t AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.t <> b.t GROUP BY a.t, b.t
+), near AS (
+  SELECT a, b FROM common JOIN sizes x ON x.t = a JOIN sizes y ON y.t = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9
+), reach AS (
+  SELECT t AS a, t AS b FROM texts UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b
+), classes AS (SELECT reach.a AS t, min(copy_id) AS class_id FROM reach JOIN texts ON texts.t = reach.b GROUP BY reach.a
+), links AS (SELECT near.a AS t, sum(copies) AS n FROM near JOIN texts ON texts.t = near.b GROUP BY near.a)
+SELECT d.doc_id, c.class_id, x.copy_id, x.copies, CAST(x.copies - 1 + coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM documents d JOIN texts x ON x.body = coalesce(d.text, '') JOIN classes c ON c.t = x.t LEFT JOIN links l ON l.t = x.t
+"""
+
+SQL["op9_source_mixing"] = r"""
+WITH sizes AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS spot FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0 * sum(size) AS cap,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS w FROM sizes GROUP BY source
+), levels AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM sources WINDOW before AS (ORDER BY CAST(cap AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), open AS (SELECT level FROM levels WHERE level * w < cap ORDER BY CAST(cap AS DOUBLE) / w, source NULLS LAST LIMIT 1
+), targets AS (SELECT source, source_size, CAST(least(cap, coalesce((SELECT level FROM open) * w, cap)) AS DOUBLE) AS target FROM levels
+), placed AS (
+  SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY source ORDER BY spot, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sizes JOIN targets USING (source)
+), cut AS (SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target) / source_size) ELSE 0 END AS epochs FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
+  CAST(epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - before)) AS BIGINT) AS taken FROM cut
+"""

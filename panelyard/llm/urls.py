@@ -37,6 +37,8 @@ GOOD = (
 )
 BAD = (
     "http://spam-farm.example.org/en/1", "https://spam-farm.example.com/es/750?page=2", "http://spam-links.example.net/fr/9", "http://link-farm.example.org/de/buy-links",
+    "http://www.spam-farm.example.net/en/88", "https://blog.spam-links.example.com/de/14", "https://m.link-farm.example.net/fr/5#top", "http://spam-pages.example.org/es/31.html",
+    "https://www.farm-spam.example.net/de/405?page=2", "http://blog.spam-site.example.com/en/61/", "https://m.spam-hub.example.org/fr/17", "http://spam-farm.example.net/es/9",
     "http://casino-bonus.example.com/win/jackpot", "http://free-casino.example.net/slots", "http://cheap-pills.example.org/order/now", "http://pills-online.example.com/buy",
     "http://xxx-videos.example.net/hot", "http://adult-xxx.example.com/cam", "http://poker-bet.example.org/deposit", "http://bet-win.example.net/bonus",
     "http://fast-loan.example.com/apply/cash", "http://free-money.example.org/click/here", "http://click-ads.example.net/track?aff=1", "http://ad-tracker.example.com/popup",
@@ -66,16 +68,13 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 def char_ngrams(host: Column, path: Column) -> Column:
     """All character n-grams of the marked host and of the path, as one array."""
 
-    def grams(text: Column, mark: str) -> Column:
+    def grams(text: Column, mark: str, n: int) -> Column:
         signs = F.split(text, "")
-        return F.concat(
-            *[
-                F.transform(F.sequence(F.lit(1), F.greatest(F.size(signs) - n + 1, F.lit(1))), lambda i, n=n: F.concat(F.lit(mark), F.array_join(F.slice(signs, i, n), "")))
-                for n in SIZES
-            ]
-        )
-
-    return F.concat(grams(F.concat(F.lit("."), host, F.lit(".")), "h"), grams(path, "p"))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(signs) - n, F.lit(0)))
+        return F.transform(starts, lambda i: F.concat_ws("", F.lit(mark), *[F.get(signs, i + k) for k in range(n)]))
+
+    marked = F.concat(F.lit("."), host, F.lit("."))
+    return F.concat(*[grams(marked, "h", n) for n in SIZES], *[grams(path, "p", n) for n in SIZES])
 
 
 def labelled_urls(spark: SparkSession, good: Sequence[str] = GOOD, bad: Sequence[str] = BAD) -> DataFrame:
