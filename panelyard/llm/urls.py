@@ -69,9 +69,12 @@ def char_ngrams(host: Column, path: Column) -> Column:
     """All character n-grams of the marked host and of the path, as one array."""
 
     def grams(text: Column, mark: str, n: int) -> Column:
-        signs = F.split(text, "")
-        starts = F.sequence(F.lit(0), F.greatest(F.size(signs) - n, F.lit(0)))
-        return F.transform(starts, lambda i: F.concat_ws("", F.lit(mark), *[F.get(signs, i + k) for k in range(n)]))
+        def windows(signs: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.greatest(F.size(signs) - n, F.lit(0)))
+            return F.transform(starts, lambda i: F.concat_ws("", F.lit(mark), *[F.get(signs, i + k) for k in range(n)]))
+
+        # as a variable of the outer function the signs are split once, not for every window
+        return F.get(F.transform(F.array(F.split(text, "")), windows), F.lit(0))
 
     marked = F.concat(F.lit("."), host, F.lit("."))
     return F.concat(*[grams(marked, "h", n) for n in SIZES], *[grams(path, "p", n) for n in SIZES])
