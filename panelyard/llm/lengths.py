@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.session import staged
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the splitting pattern that belongs to this vocabulary
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -84,7 +86,8 @@ def with_suffix_sums(counts: DataFrame) -> DataFrame:
 
 def length_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The histogram with its suffix sums, per source. An empty table gives no rows."""
-    return with_suffix_sums(histogram(encoded_lengths(docs, vocabulary)))
+    # stored, because the sums read it twice and encoding is the work
+    return with_suffix_sums(staged(histogram(encoded_lengths(docs, vocabulary)), "lengths"))
 
 
 def totals_at(table: DataFrame, limits: Sequence[int]) -> DataFrame:

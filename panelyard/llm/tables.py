@@ -33,7 +33,7 @@ def place(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, PLACE_DIGITS), 16, 10).cast("long")
 
 
-def range_bits(rows: int, rows_per_range: int = 20_000) -> int:
+def range_bits(rows: int, rows_per_range: int = 4_096) -> int:
     """How many leading bits of a place make ranges of about ``rows_per_range`` rows."""
     return max(0, min(32, (max(rows, 1) // rows_per_range).bit_length()))
 
