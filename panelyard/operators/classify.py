@@ -35,22 +35,14 @@ LOCAL_NAMES = {
 LIGHTING_LOCAL = "Aydınlatma & Şebeke Altyapısı"
 
 
-# District roles of the service area, in alphabetical order.
 @dataclass(frozen=True)
 class DistrictRoles:
-    agro: Sequence[str] = (
-        "AHMETLİ", "AKHİSAR", "ALAŞEHİR", "BAYINDIR", "BERGAMA", "BEYDAĞ", "DEMİRCİ", "GÖLMARMARA", "GÖRDES",
-        "KINIK", "KIRKAĞAÇ", "KULA", "KÖPRÜBAŞI", "KİRAZ", "MENEMEN", "SALİHLİ", "SARIGÖL", "SARUHANLI",
-        "SELENDİ", "TİRE", "ÖDEMİŞ",
-    )
-    tourism: Sequence[str] = (
-        "DİKİLİ", "FOÇA", "GÜZELBAHÇE", "KARABURUN", "SEFERİHİSAR", "SELÇUK", "URLA", "ÇEŞME",
-    )
-    industry: Sequence[str] = ("ALİAĞA", "KEMALPAŞA", "SOMA", "TORBALI", "TURGUTLU", "ÇİĞLİ")
-    metro: Sequence[str] = (
-        "BALÇOVA", "BAYRAKLI", "BORNOVA", "BUCA", "GAZİEMİR", "KARABAĞLAR", "KARŞIYAKA", "KONAK", "NARLIDERE",
-        "YUNUSEMRE", "ŞEHZADELER",
-    )
+    """Which districts of the service area are known for irrigation, tourism, industry and city life."""
+
+    agro: Sequence[str]
+    tourism: Sequence[str]
+    industry: Sequence[str]
+    metro: Sequence[str]
     # Feast days of the reading period that the holiday mean covers.
     feast: Sequence[str] = field(
         default=(
@@ -59,7 +51,7 @@ class DistrictRoles:
     )
 
 
-def load_metrics(hist: DataFrame, roles: DistrictRoles = DistrictRoles()) -> DataFrame:
+def load_metrics(hist: DataFrame, roles: DistrictRoles) -> DataFrame:
     """Behaviour of each entity in one aggregate. ``hist`` carries value, capacity and temp_mean."""
     v, t = F.col("value"), F.col("temp_mean")
     month, dow = F.month("date"), F.weekday("date")
@@ -140,7 +132,7 @@ def either(condition: Column, yes: float, no: float) -> Column:
     return F.when(condition, F.lit(yes)).otherwise(F.lit(no))
 
 
-def classify_load_type(metrics: DataFrame, roles: DistrictRoles = DistrictRoles()) -> DataFrame:
+def classify_load_type(metrics: DataFrame, roles: DistrictRoles) -> DataFrame:
     """Load type of entities with history. ``metrics`` carries the columns of ``load_metrics`` and district."""
 
     def known(name: str, default: float) -> Column:
@@ -254,7 +246,7 @@ def nearest_neighbour_type(cold: DataFrame, classified: DataFrame, reach: int =
     return nearest_within(asked, known, "district", "num_id", reach, {"neighbor_type": "load_type"}).drop("num_id")
 
 
-def classify_cold_load_type(cold: DataFrame, classified: DataFrame, roles: DistrictRoles = DistrictRoles()) -> DataFrame:
+def classify_cold_load_type(cold: DataFrame, classified: DataFrame, roles: DistrictRoles) -> DataFrame:
     """Load type of entities without history, from forecast shape, numbered neighbour and district prior."""
     prior = district_type_prior(classified).groupBy(F.upper("district").alias("_place")).agg(F.max("dominant").alias("dominant"))
     rows = nearest_neighbour_type(cold, classified).withColumn("_place", F.upper("district"))

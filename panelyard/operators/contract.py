@@ -22,10 +22,14 @@ def find_duplicates(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Every copy of every key that occurs more than once.
 
     Counting first and joining back keeps one heavily repeated key spread over its input tasks; AQE splits
-    the join when a key is hot. A window over the key would gather all its copies in one task.
+    the join when a key is hot. A window over the key would gather all its copies in one task. NULL keys are equal.
     """
-    repeated = df.groupBy(*keys).agg(F.count("*").alias("_copies")).where(F.col("_copies") > 1).drop("_copies")
-    return df.join(repeated, list(keys), "left_semi")
+    repeated = df.groupBy(*keys).agg(F.count("*").alias("_copies")).where(F.col("_copies") > 1)
+    repeated = repeated.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return df.join(repeated, same, "left_semi")
 
 
 def canonical_panel(train: DataFrame, test: DataFrame) -> DataFrame:

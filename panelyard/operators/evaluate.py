@@ -7,8 +7,10 @@ mean square of their difference. All row-sized work is one aggregate; verdicts w
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,16 +160,44 @@ def paired_delta(scored: DataFrame, base: str = "pred_a", cand: str = "pred_b",
     )
 
 
-def poisson_one(u: Column, highest: int = 12) -> Column:
-    """Poisson(1) draw from a uniform by inversion, as a CASE over the fixed cumulative table."""
-    cumulative, total = [], 0.0
+def poisson_table(highest: int = 12) -> list[float]:
+    """Cumulative probabilities of a Poisson(1) draw below ``highest``."""
+    total, out = 0.0, []
     for k in range(highest):
         total += math.exp(-1.0) / math.factorial(k)
-        cumulative.append(total)
-    draw = F.lit(highest)
-    for k in range(highest - 1, -1, -1):
-        draw = F.when(u < cumulative[k], F.lit(k)).otherwise(draw)
-    return draw
+        out.append(total)
+    return out
+
+
+# Modulus and steps of the multipliers that turn an entity's hash into its uniform of a resample; the check
+# query computes the same integers.
+PRIME, STEP_TWO, STEP_ONE = 2147483647, 48271, 16807
+
+
+def poisson_weights(hashes: np.ndarray, resamples: int) -> np.ndarray:
+    """(entities, resamples) Poisson(1) counts by inversion of hash x multiplier modulo a prime."""
+    numbers = np.arange(1, resamples + 1, dtype=np.int64)
+    multipliers = (STEP_TWO * numbers * numbers + STEP_ONE * numbers + 1) % PRIME
+    uniform = (hashes[:, None] * multipliers[None, :]) % PRIME / PRIME
+    return np.searchsorted(poisson_table(), uniform, "right")
+
+
+def resample_sums(entities: DataFrame, parts: Sequence[str], resamples: int) -> DataFrame:
+    """Per resample the weighted sums of ``parts``. Every batch of entities sends one row per resample, not one per draw."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in parts], axis=1)
+            hashes = batch.column("h").to_numpy()
+            sums = np.zeros((resamples, len(parts)))
+            for low in range(0, len(hashes), 2000):
+                sums += poisson_weights(hashes[low : low + 2000], resamples).T.astype(float) @ values[low : low + 2000]
+            columns = [pa.array(np.arange(1, resamples + 1)), *[pa.array(sums[:, k]) for k in range(len(parts))]]
+            yield pa.RecordBatch.from_arrays(columns, ["resample", *parts])
+
+    schema = "resample long, " + ", ".join(f"{n} double" for n in parts)
+    per_batch = entities.select("h", *parts).mapInArrow(scan, schema)
+    return per_batch.groupBy("resample").agg(*[F.sum(n).alias(n) for n in parts])
 
 
 def cluster_bootstrap(
@@ -177,9 +207,9 @@ def cluster_bootstrap(
     """95 % interval of the metric difference under resampling of entities.
 
     Each entity's squared errors collapse to six numbers. Every resample then weighs each entity by a
-    Poisson(1) count drawn from a hash of (seed, resample, entity): the distributed form of drawing
-    entities with replacement. Weighted sums per resample are partial aggregates over entities, so
-    nothing is ever gathered beyond ``resamples`` rows.
+    Poisson(1) count drawn from a hash of (seed, entity) and the resample's multiplier: the distributed form of
+    drawing entities with replacement. Weighted sums per resample are formed per batch of entities, so nothing is
+    ever expanded to entities x resamples.
     """
     s = F.col("seen").cast("boolean")
     ea, eb = squared(base), squared(cand)
@@ -192,11 +222,9 @@ def cluster_bootstrap(
         "b_u": F.sum(F.when(~s, eb).otherwise(0.0)),
     }
     entities = scored.groupBy("entity_id").agg(*[c.alias(n) for n, c in parts.items()])
-    draws = entities.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    # 53 hash bits, as many as a double holds, give a uniform in [0, 1).
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("resample"), F.col("entity_id")), 11)
-    weight = poisson_one(bits / float(1 << 53))
-    sums = draws.withColumn("_w", weight).groupBy("resample").agg(*[F.sum(F.col("_w") * F.col(n)).alias(n) for n in parts])
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("entity_id").cast("string")).cast("binary"))
+    hashed = entities.withColumn("h", F.conv(F.substring(digest, 1, 7), 16, 10).cast("long"))
+    sums = resample_sums(hashed, list(parts), resamples)
 
     def score(x: str) -> Column:
         plain = F.sqrt((F.col(f"{x}_s") + F.col(f"{x}_u")) / (F.col("n_s") + F.col("n_u")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions.capacity import bucket_by_edges
 from panelyard.operators.history import avg_where, safe_slope
-from panelyard.operators.scale import attach, exact_quantiles, with_totals
+from panelyard.operators.scale import attach, catalogue_quantiles, measured, with_totals
 
 COHORT_STATS = (
     "coh_mean", "coh_cv", "coh_n", "coh_lf", "coh_cdd_slope", "coh_cddlog_slope", "coh_hdd_slope",
@@ -20,7 +20,7 @@ COHORT_STATS = (
 def capacity_edges(hist: DataFrame, buckets: int = 8) -> DataFrame:
     """One row: the sorted distinct interior quantiles of log capacity over history rows."""
     probs = {f"q{i}": i / buckets for i in range(1, buckets)}
-    edges = exact_quantiles(hist.withColumn("_log_cap", F.log1p("capacity")), [], "_log_cap", probs)
+    edges = catalogue_quantiles(hist.select(F.log1p("capacity").alias("_log_cap")), "_log_cap", probs)
     return edges.select(F.array_sort(F.array_distinct(F.array(*probs))).alias("edges"))
 
 
@@ -111,7 +111,7 @@ def prefix_rates(hist: DataFrame, lengths: Sequence[int] = PREFIX_LENGTHS) -> Da
 
 def attach_prefix(rows: DataFrame, hist: DataFrame, lengths: Sequence[int] = PREFIX_LENGTHS) -> DataFrame:
     """Prefix columns on every row; an unknown prefix gets the fleet values and a zero count."""
-    rates = prefix_rates(hist, lengths).persist()
+    rates = measured(prefix_rates(hist, lengths))
     fleet = entity_life(hist).agg(F.avg("dead").alias("_fd"), F.avg("level").alias("_fl"))
     out = with_totals(rows, fleet)
     for k in lengths:
@@ -121,7 +121,7 @@ def attach_prefix(rows: DataFrame, hist: DataFrame, lengths: Sequence[int] = PRE
             F.col("level").alias(f"pfx{k}_mean"),
             F.col("n").alias(f"pfx{k}_n"),
         )
-        out = attach(out.withColumn("_prefix", F.substring("entity_id", 1, k)), one, "_prefix").drop("_prefix")
+        out = out.withColumn("_prefix", F.substring("entity_id", 1, k)).join(one, "_prefix", "left").drop("_prefix")
         out = out.withColumns(
             {
                 f"pfx{k}_dead": F.coalesce(f"pfx{k}_dead", "_fd"),

@@ -12,6 +12,8 @@ from panelyard.functions.text import day_label
 from panelyard.operators.scale import attach
 
 META = ("capacity", "location", "province", "region", "district")
+# Entities of one mean in a district from which on they are split by the start of their ids, and how long that start is.
+TIED_ENTITIES, ID_START = 10_000, 8
 
 
 def first_meta(rows: DataFrame) -> DataFrame:
@@ -312,14 +314,25 @@ def sibling_nav(entities: DataFrame) -> DataFrame:
     """Previous and next entity of the district by descending mean (NULL means last, ties by id), circular.
 
     Rows are entities, not readings. Districts can be large, so the neighbours come from value buckets of a
-    district: a window per bucket, then the ends of neighbouring buckets are stitched from a small table.
+    district: a window per bucket, then the ends of neighbouring buckets are stitched from a small table. Entities
+    without a mean, and those of one mean, are in order of their ids, so their buckets go by the start of the id.
     """
     rank = F.struct(
         F.col("train_mean").isNull().cast("int").alias("a"), (-F.col("train_mean")).alias("b"), F.col("entity_id").alias("c")
     )
     # Buckets must be ordered like the ranking: a coarse step of the logarithm of the mean, NULLs behind all.
     step = F.when(F.col("train_mean").isNull(), F.lit(2**30)).otherwise(-F.floor(F.log1p(F.greatest(F.col("train_mean"), F.lit(0.0))) * 64).cast("int"))
-    rows = entities.select("entity_id", "district", rank.alias("_r"), step.alias("_b"))
+    # A step in which many share one mean, or have none, is split by the mean itself and the first characters of the id:
+    # that is the order of the ranking, so the parts are in order too.
+    named = entities.select("entity_id", "district", "train_mean", step.alias("_step"))
+    tied = named.groupBy("district", "_step", "train_mean").agg(F.count("*").alias("_n")).where(F.col("_n") > TIED_ENTITIES)
+    crowded = tied.select(F.col("district").alias("_d"), F.col("_step").alias("_s")).distinct().withColumn("_crowded", F.lit(True))
+    known = named.join(crowded, F.col("district").eqNullSafe(F.col("_d")) & (F.col("_step") == F.col("_s")), "left")
+    bucket = F.struct(
+        F.col("_step").alias("step"), F.when(F.col("_crowded"), -F.col("train_mean")).alias("mean"),
+        F.when(F.col("_crowded"), F.substring("entity_id", 1, ID_START)).otherwise(F.lit("")).alias("start"),
+    )
+    rows = known.select("entity_id", "district", rank.alias("_r"), bucket.alias("_b"))
     inside = Window.partitionBy("district", "_b").orderBy("_r")
     near = rows.withColumns({"_prev": F.lag("entity_id").over(inside), "_next": F.lead("entity_id").over(inside)})
     ends = rows.groupBy("district", "_b").agg(

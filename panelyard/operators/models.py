@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -21,6 +21,7 @@ from pyspark.storagelevel import StorageLevel
 from panelyard.functions.capacity import forecast_invert, hurdle_dampen
 from panelyard.operators import evaluate as E
 from panelyard.operators.scale import exact_quantiles
+from panelyard.session import staged
 
 CATEGORIES = ("province", "region", "district")
 
@@ -33,6 +34,8 @@ ACTIVITY_FEATURES = (
 )
 QUANTILE = 0.55
 PROBABILITY_CLIP = (0.001, 0.999)
+CATEGORY_SMOOTHING = 20.0
+OTHER_ARCHETYPE = 6
 
 
 @dataclass(frozen=True)
@@ -51,19 +54,33 @@ def numeric_features(df: DataFrame, wanted: Sequence[str] | None = None) -> list
 
 
 def ready(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Doubles with infinities dropped to NULL, which the imputer then fills."""
+    """Doubles with infinities dropped to NULL, and a 0/1 column per feature that says where it is missing."""
     finite = {c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in features}
-    return df.withColumns(finite)
+    return df.withColumns(finite).withColumns({f"{c}__m": F.col(c).isNull().cast("double") for c in features})
 
 
-def inputs(features: Sequence[str], categories: Sequence[str]) -> list:
+def inputs(features: Sequence[str], categories: Sequence[str], label: str, missing: Sequence[str] = ()) -> list:
+    """Imputed features, flags of the ``missing`` ones, and categories as shrunken label means: any cardinality, no bins."""
     filled = [f"{c}__f" for c in features]
     stages = [Imputer(strategy="mean", inputCols=list(features), outputCols=filled)]
     stages += [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep") for c in categories]
-    columns = filled + [f"{c}__i" for c in categories]
+    if categories:
+        stages.append(
+            TargetEncoder(
+                inputCols=[f"{c}__i" for c in categories], outputCols=[f"{c}__t" for c in categories], labelCol=label, targetType="continuous",
+                smoothing=CATEGORY_SMOOTHING, handleInvalid="keep",
+            )
+        )
+    columns = filled + [f"{c}__t" for c in categories] + [f"{c}__m" for c in missing]
     return [*stages, VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")]
 
 
+def sometimes_missing(train: DataFrame, features: Sequence[str]) -> list[str]:
+    """Features with both present and missing values in training: where they are missing is a signal of its own."""
+    row = train.agg(*[F.sum(f"{c}__m").alias(c) for c in features]).first()
+    return [c for c in features if row[c]]
+
+
 def usable_features(train: DataFrame, features: Sequence[str]) -> list[str]:
     """Columns with at least one value: an all-NULL column cannot be imputed."""
     counts = train.agg(*[F.count(c).alias(c) for c in features]).first()
@@ -75,6 +92,8 @@ class Forecaster:
     model: PipelineModel
     features: tuple[str, ...]
     shift: float
+    categories: tuple[str, ...] = ()
+    missing: tuple[str, ...] = ()
 
     def predict(self, rows: DataFrame, name: str = "pred") -> DataFrame:
         out = self.model.transform(ready(rows, self.features))
@@ -83,7 +102,7 @@ class Forecaster:
 
     def importances(self) -> dict[str, float]:
         tree = self.model.stages[-1]
-        names = [*self.features, *CATEGORIES]
+        names = [*self.features, *self.categories, *[f"{c} missing" for c in self.missing]]
         return dict(sorted(zip(names, tree.featureImportances.toArray()), key=lambda kv: (-kv[1], kv[0])))
 
 
@@ -96,13 +115,14 @@ def fit_forecaster(
     names = usable_features(held, features)
     tree = GBTRegressor(
         labelCol="log_value", featuresCol="features", lossType="absolute", maxIter=params.trees, maxDepth=params.depth,
-        stepSize=params.step, subsamplingRate=params.subsample, seed=seed, maxBins=max(params.bins, 256 if categories else 0),
+        stepSize=params.step, subsamplingRate=params.subsample, seed=seed, maxBins=params.bins,
     )
-    model = Pipeline(stages=[*inputs(names, categories), tree]).fit(held)
+    missing = sometimes_missing(held, names)
+    model = Pipeline(stages=[*inputs(names, categories, "log_value", missing), tree]).fit(held)
     scored = model.transform(held).select((F.col("log_value") - F.col("prediction")).alias("r"))
     shift = exact_quantiles(scored, [], "r", {"q": quantile}).first()["q"]
     held.unpersist()
-    return Forecaster(model, tuple(names), float(shift))
+    return Forecaster(model, tuple(names), float(shift), tuple(categories), tuple(missing))
 
 
 @dataclass(frozen=True)
@@ -126,19 +146,19 @@ def fit_activity(train: DataFrame, seed: int = 42, params: TreeParams = TreePara
         labelCol="label", featuresCol="features", maxIter=params.trees, maxDepth=params.depth, stepSize=params.step,
         subsamplingRate=params.subsample, seed=seed, maxBins=params.bins,
     )
-    model = Pipeline(stages=[*inputs(names, ()), tree]).fit(held)
+    model = Pipeline(stages=[*inputs(names, (), "label", sometimes_missing(held, names)), tree]).fit(held)
     held.unpersist()
     return ActivityClassifier(model, tuple(names))
 
 
 def fit_archetype(train: DataFrame, features: Sequence[str], label: str = "archetype_code", seed: int = 42, params: TreeParams = TreeParams()) -> PipelineModel:
-    """Six-class behaviour probabilities; codes 1..6 become labels 0..5."""
+    """Six-class behaviour probabilities; codes 1..6 become labels 0..5, and a missing code is class 6."""
     forest = RandomForestClassifier(
         labelCol="label", featuresCol="features", numTrees=params.trees, maxDepth=params.depth,
         subsamplingRate=params.subsample, seed=seed, maxBins=params.bins,
     )
-    rows = ready(train, features).withColumn("label", F.col(label) - 1.0).where("label IS NOT NULL")
-    return Pipeline(stages=[*inputs(features, ()), forest]).fit(rows)
+    rows = ready(train, features).withColumn("label", F.coalesce(label, F.lit(OTHER_ARCHETYPE)) - 1.0)
+    return Pipeline(stages=[*inputs(features, (), "label", sometimes_missing(rows, features)), forest]).fit(rows)
 
 
 def predict_archetype(model: PipelineModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -173,8 +193,7 @@ def hurdle_forecast(train: DataFrame, rows: DataFrame, features: Sequence[str],
 def rank_features(train: DataFrame, valid: DataFrame, features: Sequence[str], drops: Sequence[int], params: TreeParams = TreeParams(), seed: int = 42) -> DataFrame:
     """Refit without the least important features: columns dropped, kept, rmsle. ``drops`` is a short list."""
     full = fit_forecaster(train, features, seed, params)
-    ranked = list(full.importances())
-    ranked = [f for f in ranked if f in full.features]
+    ranked = [f for f in full.importances() if f in full.features]
     out = None
     for count in drops:
         kept = ranked[: max(1, len(ranked) - count)]
@@ -205,7 +224,7 @@ def walk_forward(blocks: DataFrame, features: Sequence[str], first_valid: int, v
     Returns scored rows: entity_id, date, fold, horizon, seen, y, one column per variant, pred. The loop is
     over the few block numbers; all data work is distributed.
     """
-    held = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    held = staged(blocks)
     numbers = sorted(r["block"] for r in held.select("block").distinct().collect())
     first, second = list(variants)
 

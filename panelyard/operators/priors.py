@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from panelyard.operators.groups import shrink
 from panelyard.operators.profiles import clip
-from panelyard.operators.scale import attach, exact_quantiles, measured, null_safe, with_totals
+from panelyard.operators.scale import exact_quantiles, measured, null_safe, with_totals
 
 
 def pool_adjacent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -92,8 +92,8 @@ def attach_prior(rows: DataFrame, cells: DataFrame, hist_mean: DataFrame) -> Dat
     """Add ``prior`` by cell, then region, then the fleet mean (a one-row table with column fleet_mean)."""
     cells = measured(cells)
     regions = cells.groupBy("region").agg(F.first("region_mean").alias("_region_mean"))
-    out = attach(rows, cells.select("region", "capacity", F.col("prior").alias("_cell")), ["region", "capacity"])
-    out = with_totals(attach(out, regions, "region"), hist_mean)
+    out = rows.join(cells.select("region", "capacity", F.col("prior").alias("_cell")), ["region", "capacity"], "left")
+    out = with_totals(out.join(regions, "region", "left"), hist_mean)
     return out.withColumn("prior", F.coalesce("_cell", "_region_mean", "fleet_mean")).drop(
         "_cell", "_region_mean", "fleet_mean"
     )

@@ -46,14 +46,16 @@ def regime_shift_features(hist: DataFrame, window_days: int = 60) -> DataFrame:
         F.avg(v).alias("life_mean"),
         avg_where(v, month.isin(*SUMMER)).alias("summer_mean"),
         F.count("*").alias("n"),
-        # All readings, to find how many trail the last one that was not elevated.
-        F.collect_list(F.struct("date", "value")).alias("readings"),
-    )
-    threshold = 1.5 * F.coalesce("life_med", F.lit(1.0))
-    last_calm = F.array_max(F.transform(F.filter("readings", lambda r: r["value"] <= threshold), lambda r: r["date"]))
-    streak = F.when(F.col("last_calm").isNull(), F.col("n")).otherwise(
-        F.size(F.filter("readings", lambda r: r["date"] > F.col("last_calm")))
     )
+    # The trailing streak: readings after the last one that was not elevated, by two aggregates over the same key.
+    limit = base.select(F.col("entity_id").alias("_id"), (1.5 * F.coalesce("life_med", F.lit(1.0))).alias("_limit"))
+    judged = hist.join(limit, F.col("entity_id").eqNullSafe(F.col("_id"))).withColumn("_calm", F.coalesce(v <= F.col("_limit"), F.lit(False)))
+    calm = judged.groupBy("_id").agg(F.max(F.when(F.col("_calm"), F.col("date"))).alias("_last_calm"))
+    after = judged.join(calm.withColumnRenamed("_id", "_c"), F.col("_id").eqNullSafe(F.col("_c")))
+    trailing = F.col("_last_calm").isNull() | (F.col("date") > F.col("_last_calm"))
+    streaks = after.groupBy("_id").agg(F.sum(trailing.cast("int")).alias("_streak"))
+    base = base.join(streaks, F.col("entity_id").eqNullSafe(F.col("_id"))).drop("_id")
+    streak = F.col("_streak")
     # An entity that never had a positive reading has no level to compare and stays NULL.
     known = F.coalesce(F.col("recent_med") / F.col("older_med"), F.col("recent_med") / F.col("life_med"), F.lit(1.0))
     ratio = F.when(F.col("life_med").isNotNull(), known)
@@ -61,8 +63,7 @@ def regime_shift_features(hist: DataFrame, window_days: int = 60) -> DataFrame:
     cv = F.coalesce("recent_std", F.lit(0.0)) / zero_to_one(F.col("recent_mean"))
     scaled = F.coalesce(F.col("summer_mean") * F.col("level_shift_ratio"), zero_to_one(F.col("recent_mean")))
     return (
-        base.withColumn("last_calm", last_calm)
-        .withColumn("level_shift_ratio", clip(ratio, 0.1, 10.0))
+        base.withColumn("level_shift_ratio", clip(ratio, 0.1, 10.0))
         .select(
             "entity_id",
             "level_shift_ratio",
@@ -91,14 +92,7 @@ def agro_profile(hist: DataFrame) -> DataFrame:
     )
 
 
-# Districts with heavy irrigation, in alphabetical order.
-HEAVY_AGRO_DISTRICTS = (
-    "AKHİSAR", "ALAŞEHİR", "BEYDAĞ", "DEMİRCİ", "GÖRDES", "KIRKAĞAÇ", "KULA", "KİRAZ", "SALİHLİ", "SARIGÖL",
-    "ÖDEMİŞ",
-)
-
-
-def agro_flags(df: DataFrame, districts: Sequence[str] = HEAVY_AGRO_DISTRICTS) -> DataFrame:
+def agro_flags(df: DataFrame, districts: Sequence[str]) -> DataFrame:
     """Irrigation district flag, its interaction with evapotranspiration, and the May start flag."""
     heavy = F.upper("district").isin(*districts).cast("double")
     return df.withColumns(

@@ -13,20 +13,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
+
+from panelyard.session import staged
 
 
 def measured(dim: DataFrame) -> DataFrame:
-    """Materialise a reduced table so that Catalyst plans its joins from the true size.
+    """Store a reduced table so that Catalyst plans its joins from the true size.
 
     A join against the result broadcasts it only when its stored bytes are below
     ``spark.sql.autoBroadcastJoinThreshold``; a larger one goes through a shuffle join with AQE skew
-    handling. Without this the planner assumes an aggregate is as big as its input and shuffles the facts.
-    Blocks lost with an executor are recomputed from lineage.
+    handling. Without this the planner assumes an aggregate is as big as its input and shuffles the facts. One job per
+    table; nothing stays in executor memory, and a lost executor costs a re-read.
     """
-    held = dim.persist(StorageLevel.MEMORY_AND_DISK)
-    held.count()
-    return held
+    return staged(dim)
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -130,6 +129,25 @@ def exact_quantiles(
     return named.groupBy(*keys).agg(*picks)
 
 
+def catalogue_quantiles(df: DataFrame, value: str, probs: Mapping[str, float]) -> DataFrame:
+    """One row of exact linear-interpolated quantiles of a column with few distinct values, such as rated capacity.
+
+    Rows collapse to one count per value on the map side; the running counts are taken over the catalogue alone.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    order = Window.orderBy("_v")
+    ranked = counts.withColumns({"_last": F.sum("_c").over(order) - 1, "_n": F.sum("_c").over(Window.partitionBy())})
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("_last") >= rank, F.col("_v")))
+
+    def quantile(p: float) -> Column:
+        position = F.lit(p) * (F.col("_n") - 1)
+        return interpolate(at(F.floor(position)), at(F.ceil(position)), F.max(position - F.floor(position)))
+
+    return ranked.agg(*[quantile(p).alias(name) for name, p in probs.items()])
+
+
 def scan_in_order(
     df: DataFrame,
     keys: Sequence[str],
@@ -177,11 +195,14 @@ def islands(df: DataFrame, keys: Sequence[str], order: str, flag: Column, name:
 def keep_one(df: DataFrame, keys: Sequence[str], *order: Column, largest: bool = False) -> DataFrame:
     """Row with the smallest (or largest) order value per key, found by a map-side combined aggregate.
 
-    ``min_by`` keeps one row per key and task, so a key holding many copies never gathers in one place.
+    ``min_by`` keeps one row per key and task, so a key holding many copies never gathers in one place. Rows that tie
+    in ``order`` are told apart by their remaining columns, so reruns keep the same one.
     """
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if largest else F.min_by
-    best = pick(F.struct(*rest), F.struct(*order)).alias("_row")
+    types = dict(df.dtypes)
+    ties = [F.col(c) for c in rest if not types[c].startswith(("map", "variant"))]
+    best = pick(F.struct(*rest), F.struct(*order, *ties)).alias("_row")
     return df.groupBy(*keys).agg(best).select(*keys, "_row.*").select(df.columns)
 
 

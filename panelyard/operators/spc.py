@@ -408,9 +408,10 @@ def stratified_split(
     of test rows exact.
     """
     stratum = F.col(flag) if stratify else F.lit(True)
-    # The top 16 bits of the hash choose the bucket, so buckets are ordered like the hash itself.
-    draw = F.xxhash64(F.lit(seed), *id_columns)
-    rows = df.withColumns({"_s": stratum, "_h": draw}).withColumn("_b", F.shiftright("_h", 48).cast("int"))
+    # 60 bits of a digest; its top 16 choose the bucket, so buckets are ordered like the number itself.
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_columns]).cast("binary"))
+    draw = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    rows = df.withColumns({"_s": stratum, "_h": draw}).withColumn("_b", F.shiftright("_h", 44).cast("int"))
     sizes = rows.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
     by_stratum = Window.partitionBy("_s")
     before = by_stratum.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

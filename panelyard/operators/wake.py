@@ -102,8 +102,8 @@ def seasonal_wake_apply(
 
     fleet = fit.where("scope = 'fleet'").agg(F.coalesce(F.max("p_level"), F.lit(0.0)).alias("_fleet_pl"))
     out = rows.withColumn("month", F.month("date"))
-    out = attach(out, scope("district", "district"), ["district", "month"])
-    out = attach(out, scope("province", "province"), ["province", "month"])
+    out = out.join(scope("district", "district"), ["district", "month"], "left")
+    out = out.join(scope("province", "province"), ["province", "month"], "left")
     out = out.join(scope("entity", "entity_id"), ["entity_id", "month"], "left")
     out = out.join(dormant.withColumn("_dormant", F.lit(True)), "entity_id", "left")
     out = with_totals(out, fleet)

@@ -109,15 +109,55 @@ def paired_delta(spark, d):
     return E.paired_delta(rows, "base", "cand", weighted=True)
 
 
-@register("cluster_bootstrap_ci", "mean 6, ci_lower 6, ci_upper 6, resamples i, excludes_zero i")
+POISSON = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(E.poisson_table())) + " ELSE 12 END"
+
+
+def resampled_sql(base: str, cand: str, resamples: int, seed: int = 42) -> str:
+    """One row per resample with the metric difference d, from the same hash and multipliers."""
+    score = "coalesce(sqrt({0!r} * {x}_s / nullif(n_s, 0) + {1!r} * {x}_u / nullif(n_u, 0)), sqrt(({x}_s + {x}_u) / (n_s + n_u)))"
+    first, second = (score.format(1 - SHARE, SHARE, x=x) for x in ("a", "b"))
+    sums = ", ".join(f"sum(w * {c}) AS {c}" for c in ("n_s", "n_u", "a_s", "a_u", "b_s", "b_u"))
+    errors = ", ".join(
+        f"coalesce(sum(pow({p} - y, 2)) FILTER (WHERE {f}), 0) AS {x}_{g}" for p, x in ((base, "a"), (cand, "b")) for f, g in (("seen", "s"), ("NOT seen", "u"))
+    )
+    return f"""
+SELECT r, {second} - {first} AS d FROM (
+  SELECT r, {sums} FROM (
+    SELECT *, {POISSON} AS w FROM (
+      SELECT e.*, r, (h * (({E.STEP_TWO} * r * r + {E.STEP_ONE} * r + 1) % {E.PRIME})) % {E.PRIME} / {E.PRIME}e0 AS u
+      FROM (SELECT CAST('0x' || substr(md5('{seed}|' || entity_id), 1, 7) AS BIGINT) AS h, count(*) FILTER (WHERE seen) AS n_s, count(*) FILTER (WHERE NOT seen) AS n_u, {errors}
+            FROM scored GROUP BY entity_id) e, (SELECT CAST(unnest(range(1, {resamples} + 1)) AS BIGINT) AS r))) GROUP BY r)
+WHERE n_s + n_u > 0"""
+
+
+@register(
+    "cluster_bootstrap_ci",
+    "mean 6, ci_lower 6, ci_upper 6, resamples i, excludes_zero i",
+    f"""
+SELECT avg(d) AS mean, quantile_cont(d, 0.025) AS ci_lower, quantile_cont(d, 0.975) AS ci_upper, count(*) AS resamples,
+       quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 AS excludes_zero
+FROM ({resampled_sql('pred_a', 'pred_c', 400)})""",
+)
 def cluster_bootstrap_ci(spark, d):
     return E.cluster_bootstrap(T.scored(spark, d), "pred_a", "pred_c")
 
 
-@register("promotion_verdict", "fold s, rows i, raw_rmsle 6, final_rmsle 6, weighted_rmsle 6, seen_rmsle 6, unseen_rmsle 6, status s")
+VERDICT_COLUMNS = f"count(*) AS rows, {rms('pred_b')} AS raw_rmsle, {rms('pred_a')} AS final_rmsle, {weighted('pred_a')} AS weighted_rmsle, {rms('pred_a', 'seen')} AS seen_rmsle, {rms('pred_a', 'NOT seen')} AS unseen_rmsle"
+
+
+@register(
+    "promotion_verdict",
+    "fold s, rows i, raw_rmsle 6, final_rmsle 6, weighted_rmsle 6, seen_rmsle 6, unseen_rmsle 6, status s",
+    f"""
+SELECT fold, {VERDICT_COLUMNS}, NULL AS status FROM scored GROUP BY fold
+UNION ALL
+SELECT 'pooled', {VERDICT_COLUMNS},
+       CASE WHEN {weighted('pred_a')} < {E.MAX_WEIGHTED} AND (SELECT quantile_cont(d, 0.975) FROM ({resampled_sql('pred_b', 'pred_a', 500)})) <= 0 THEN 'PASSED' ELSE 'REVIEW' END
+FROM scored""",
+)
 def promotion_verdict(spark, d):
     rows = T.scored(spark, d).withColumns({"pred_raw": F.col("pred_b"), "pred_final": F.col("pred_a")})
-    return E.promotion_verdict(rows, resamples=200)
+    return E.promotion_verdict(rows)
 
 
 cte("errors", "SELECT *, pred_a - y AS err, pow(pred_a - y, 2) AS sq_err, abs(pred_a - y) AS abs_err FROM scored")

@@ -612,7 +612,7 @@ BLOCK_CUTS = (
     ("1999-04-01", "1999-04-01", "1999-08-01"),
     ("1999-08-01", "1999-08-01", "1999-12-01"),
     ("1999-12-01", "1999-12-01", "2000-04-01"),
-    ("2000-04-01", "2000-04-01", "2000-08-01"),
+    ("2000-04-01", "2000-04-01", T.END),
 )
 BLOCK_CASE = "CASE " + " ".join(f"WHEN date >= DATE '{a}' AND date < DATE '{b}' THEN {i}" for i, (_, a, b) in enumerate(BLOCK_CUTS)) + " END"
 

@@ -143,7 +143,7 @@ FROM forecasts WHERE version = 'v2' AND NOT seen GROUP BY 1""",
 
 
 def cold(spark, d):
-    rows = T.forecasts(spark, d).where((F.col("version") == "v2") & ~F.col("seen"))
+    rows = T.forecasts(spark, d, ["v2"]).where(~F.col("seen"))
     return C.forecast_metrics(rows)
 
 
@@ -158,9 +158,9 @@ def forecast_metrics(spark, d):
 
 def band_sql(reach: int) -> str:
     return f"""
-SELECT c.*, (SELECT arg_min(t.load_type, (abs(CAST(right(t.entity_id, 6) AS INTEGER) - CAST(right(c.entity_id, 6) AS INTEGER)), CAST(right(t.entity_id, 6) AS INTEGER), t.load_type))
+SELECT c.*, (SELECT arg_min(t.load_type, (abs(CAST(substr(t.entity_id, 4, 6) AS INTEGER) - CAST(substr(c.entity_id, 4, 6) AS INTEGER)), CAST(substr(t.entity_id, 4, 6) AS INTEGER), t.load_type))
              FROM load_types t WHERE t.district = c.district
-             AND abs(CAST(right(t.entity_id, 6) AS INTEGER) - CAST(right(c.entity_id, 6) AS INTEGER)) <= {reach}) AS neighbor_type
+             AND abs(CAST(substr(t.entity_id, 4, 6) AS INTEGER) - CAST(substr(c.entity_id, 4, 6) AS INTEGER)) <= {reach}) AS neighbor_type
 FROM cold_metrics c"""
 
 
@@ -449,7 +449,7 @@ SELECT entity_id, date, 'Forecast', pred_temp, hist_val, pred,
 FROM aligned_years WHERE version = 'v2'""",
 )
 def comparison_table(spark, d):
-    return M.comparison_table(T.forecasts(spark, d), T.train(spark, d), T.served_weather(spark, d), "v2")
+    return M.comparison_table(T.forecasts(spark, d, ["v2"]), T.train(spark, d), T.served_weather(spark, d), "v2")
 
 
 @register(
@@ -557,10 +557,7 @@ def read_hourly_export(spark, d):
     for name, factor in (("a", 1), ("b", 3)):
         exported(hours, factor).withColumn("Tarih", F.col("Tarih")).write.option("header", True).option("sep", ";").csv(f"{folder}/{name}")
         paths.append(f"{folder}/{name}")
-    raw = X.read_exports(spark, paths[:1]).withColumn("source_file", F.lit("a.csv")).unionByName(
-        X.read_exports(spark, paths[1:]).withColumn("source_file", F.lit("b.csv"))
-    )
-    return X.hourly_series(raw, {"Tarih": "date", "Saat": "hour", X.value_column(raw.columns): "value"})
+    return X.read_hourly_export(spark, paths)
 
 
 @register(
@@ -618,8 +615,12 @@ def read_province_monthly(spark, d):
     # A stale download repeats every month with other numbers; the file that sorts last wins.
     text = province_text(spark, d).withColumn("Dönem", F.date_format("m", "MM.yyyy")).drop("m")
     stale = text.withColumn("Genel Toplam (MWh)", F.lit("1,00"))
-    raw = stale.withColumn("source_file", F.lit("use (1).csv")).unionByName(text.withColumn("source_file", F.lit("use (2).csv")))
-    return X.province_monthly(raw)
+    folder = scratch(spark, "province")
+    for name, part in (("1", stale), ("2", text)):
+        # a folder per province below the download, as the partition column names it
+        part.withColumn("place", F.col("province")).drop("province").write.partitionBy("place").option("header", True).option("sep", ";").csv(f"{folder}/{name}")
+    names = [r[0] for r in T.table(spark, d, "nation").select("n_name").collect()]  # a catalogue of provinces
+    return X.read_province_monthly(spark, {n: [f"{folder}/{k}/place={n}" for k in ("1", "2")] for n in names})
 
 
 @register(
@@ -632,7 +633,9 @@ def province_periods(spark, d):
         "Dönem", F.when(F.month("m") % 2 == 0, F.date_format("m", "M.yyyy")).otherwise(F.date_format("m", "d.M.yyyy"))
     )
     raw = text.withColumnRenamed("province", "Şehir").withColumn("Şehir", F.concat(F.lit(" "), F.lower("Şehir"))).drop("m")
-    return X.province_periods(raw.withColumn("source_file", F.lit("p.csv")))
+    path = scratch(spark, "periods")
+    raw.write.option("header", True).option("sep", ";").csv(path)
+    return X.province_periods(X.read_exports(spark, [path]))
 
 
 @register(
@@ -663,17 +666,28 @@ def geo_attach(spark, d):
     return SP.geo_attach(T.panel(spark, d).select("district").distinct(), coords(spark, d))
 
 
-@register("read_json_reports", "file_name s, headline_metric s, headline_value s")
+@register(
+    "read_json_reports",
+    "event_type s, is_report i, has_size i, has_time i, headline_metric s, headline_value s, content s",
+    """
+SELECT event_type, TRUE AS is_report, TRUE AS has_size, TRUE AS has_time, CASE WHEN event_type <> 'view' THEN 'cv_mean' END AS headline_metric,
+       CASE WHEN event_type <> 'view' THEN CAST(cents AS VARCHAR) END AS headline_value,
+       '{"event":"' || event_type || CASE WHEN event_type = 'view' THEN '","other":' || CAST(cents AS VARCHAR) ELSE '","cv_mean":' || CAST(cents AS VARCHAR) || ',"lb":1' END || '}' || chr(10) AS content
+FROM (SELECT event_type, CAST(round(avg(value) * 100 + 1e-7) AS BIGINT) AS cents FROM events GROUP BY 1)""",
+)
 def read_json_reports(spark, d):
     # One report per event type: means under a known key, or only unknown keys.
-    kinds = T.table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"))
-    body = F.when(F.col("event_type") == "view", F.to_json(F.struct(F.col("mean").alias("other")))).otherwise(
-        F.to_json(F.struct(F.col("mean").alias("cv_mean"), F.lit(1).alias("lb")))
+    kinds = T.table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value") * 100 + 1e-7).cast("long").alias("mean"))
+    body = F.when(F.col("event_type") == "view", F.to_json(F.struct(F.col("event_type").alias("event"), F.col("mean").alias("other")))).otherwise(
+        F.to_json(F.struct(F.col("event_type").alias("event"), F.col("mean").alias("cv_mean"), F.lit(1).alias("lb")))
     )
     path = scratch(spark, "reports")
     kinds.select("event_type", body.alias("value")).repartition("event_type").write.partitionBy("event_type").text(path)
-    reports = X.read_json_reports(spark, f"{path}/*/*.txt")
-    return reports.withColumn("file_name", F.lit("report"))
+    reports = X.read_json_reports(spark, f"{path}/*/*.txt").withColumn("event_type", F.get_json_object("content", "$.event"))
+    # Spark numbers its part files, so the check sees that name, size and time are those of the file.
+    return reports.withColumns(
+        {"is_report": F.col("file_name").endswith(".txt"), "has_size": F.col("file_size") == F.octet_length("content"), "has_time": F.col("modified").isNotNull()}
+    )
 
 
 @register(
@@ -720,11 +734,13 @@ def fetch_ledger(spark, d):
     return X.fetch_ledger(wanted, wanted.where(early | july))
 
 
-@register("source_fingerprint", "table_name s, known i, digits i")
+@register(
+    "source_fingerprint",
+    "table_name s, files i, rows i, digits i",
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, 1 AS files, count(*) AS rows, 12 AS digits FROM {t}" for t in CATALOG),
+)
 def source_fingerprint(spark, d):
-    prints = [(t, X.source_fingerprint(spark, f"{d}/{t}.parquet")) for t in (*CATALOG, "absent")]
-    rows = spark.createDataFrame(prints, "table_name string, print string")
-    return rows.withColumns({"known": F.col("print") != "missing", "digits": F.length("print")})
+    return X.source_fingerprints({t: T.table(spark, d, t) for t in CATALOG}).withColumn("digits", F.length("print"))
 
 
 @register(

@@ -57,13 +57,17 @@ def sql_column(name: str, kind: str) -> str:
 
 
 CTES: dict[str, str] = {}
+# Subqueries that the check engine has to compute once: inlined several times they end in an internal error there.
+MATERIALIZED: set[str] = set()
 QUERIES: dict[str, Query] = {}
 
 
-def cte(name: str, text: str) -> None:
+def cte(name: str, text: str, materialized: bool = False) -> None:
     """A shared named subquery; later ones may use earlier ones."""
     assert name not in CTES, name
     CTES[name] = text.strip()
+    if materialized:
+        MATERIALIZED.add(name)
 
 
 def closure(text: str) -> list[str]:
@@ -82,7 +86,7 @@ def closure(text: str) -> list[str]:
 def with_ctes(body: str, recursive: bool = False) -> str:
     """Prefix ``body`` with the shared subqueries it names. A body may start with its own WITH list."""
     own = body.strip()
-    parts = [f"{n} AS (\n{CTES[n]}\n)" for n in closure(own)]
+    parts = [f"{n} AS {'MATERIALIZED ' * (n in MATERIALIZED)}(\n{CTES[n]}\n)" for n in closure(own)]
     word = "WITH RECURSIVE" if recursive else "WITH"
     if own.upper().startswith("WITH "):
         own = own[5:]

@@ -370,7 +370,15 @@ def anomaly_strategy_flag(spark, d):
     return S.apply_anomaly_strategy(charted(spark, d), KEYS, ORDER, "resid", "flag")
 
 
-@register("stratified_split", "is_test i, rows i, anomaly_rate_pct 4")
+@register(
+    "stratified_split",
+    "is_test i, rows i, anomaly_rate_pct 4",
+    """
+SELECT is_test, count(*) AS rows, avg(CASE WHEN is_anomaly THEN 100e0 ELSE 0e0 END) AS anomaly_rate_pct FROM (
+  SELECT is_anomaly, row_number() OVER (PARTITION BY is_anomaly ORDER BY md5('42|' || CAST(user_id AS VARCHAR) || '|' || strftime(hour, '%Y-%m-%d %H:%M:%S')))
+         <= round(count(*) OVER (PARTITION BY is_anomaly) * 0.2) AS is_test FROM multi_rows) GROUP BY 1""",
+    recursive=True,
+)
 def stratified_split(spark, d):
     return S.split_report(S.stratified_split(staged(multi(spark, d)), ["user_id", "hour"]))
 

@@ -1,7 +1,7 @@
 """Panels derived from the shared tables, in Spark and, as the check, in SQL.
 
 readings   supplier x day: capacity-rated meters with a two- or three-level location
-weather    district x day: a deterministic seasonal series over the readings' districts and dates
+weather    district x day: a season plus variation from the day's measured quantity, for the readings' districts
 hourly     user x hour totals of the event stream
 household  customer x day: zero-filled, mostly dormant
 scored     test rows of ``readings`` with three deterministic forecasts in log space
@@ -9,6 +9,8 @@ scored     test rows of ``readings`` with three deterministic forecasts in log s
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,13 @@ from panelyard.operators.scale import attach, with_totals
 from panelyard.plans.registry import cte
 from panelyard.session import staged
 
-CUT, END = "2000-04-01", "2000-08-01"
+# The cutoff parts history from what is forecast; nothing after it is left out.
+CUT, END = "2000-04-01", "9999-12-31"
 RATINGS = (50, 100, 160, 250, 400, 630, 800, 1000, 1250, 1600)
-# Suppliers below this account balance count as connected at the cutoff: they have no earlier history.
+# Suppliers below this account balance got a new meter at the cutoff: from then on their readings are another entity's,
+# one without history.
 NEW_BALANCE = 1000
-FOLDS = (("2000-04-01", "2000-05-01"), ("2000-05-01", "2000-06-15"), ("2000-06-15", "2000-08-01"))
+FOLDS = (("2000-04-01", "2000-05-01"), ("2000-05-01", "2000-06-15"), ("2000-06-15", END))
 HOLIDAYS = HolidayCalendar(
     fixed=((1, 1), (4, 23), (5, 1), (5, 19), (7, 15), (8, 30), (10, 29)),
     ramadan=("1999-01-19", "1999-01-20", "1999-01-21", "2000-01-08", "2000-01-09", "2000-01-10"),
@@ -50,14 +54,15 @@ RATING_ARRAY = ", ".join(str(r) for r in RATINGS)
 cte(
     "readings",
     f"""
-SELECT 'TR-' || lpad(CAST(s.s_suppkey AS VARCHAR), 6, '0') AS entity_id, d.date, d.value,
+SELECT 'TR-' || lpad(CAST(s.s_suppkey AS VARCHAR), 6, '0') || CASE WHEN s.s_acctbal < {NEW_BALANCE} AND d.date >= DATE '{CUT}' THEN '-B' ELSE '' END AS entity_id,
+       d.date, d.value,
        CAST(([{RATING_ARRAY}])[1 + s.s_suppkey % 10] AS DOUBLE) AS capacity,
        r.r_name || ' > ' || n.n_name || CASE WHEN r.r_regionkey % 2 = 1
             THEN ' > ' || n.n_name || '-Z' || CAST(s.s_suppkey % 3 AS VARCHAR) ELSE '' END AS location,
        CAST(n.n_nationkey * 4 + CASE WHEN r.r_regionkey % 2 = 1 THEN 1 + s.s_suppkey % 3 ELSE 0 END AS INTEGER) AS district_no,
-       s.s_acctbal < {NEW_BALANCE} AS is_new
+       s.s_acctbal < {NEW_BALANCE} AND d.date >= DATE '{CUT}' AS is_new
 FROM (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS date,
-             round(sum(l_extendedprice * (1 - l_discount)) / 50 + 1e-7, 2) AS value
+             round(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_extendedprice * (1 - l_discount) END) / 50 + 1e-7, 2) AS value
       FROM lineitem GROUP BY 1, 2) d
 JOIN supplier s ON s.s_suppkey = d.l_suppkey
 JOIN nation n ON n.n_nationkey = s.s_nationkey
@@ -67,10 +72,10 @@ JOIN region r ON r.r_regionkey = n.n_regionkey""",
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, supplier, nation, region = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
-    # Reduce before joining: only one row per supplier and day meets the dimensions.
-    daily = line.groupBy("l_suppkey", F.to_date("l_shipdate").alias("date")).agg(
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 50 + 1e-7, 2).alias("value")
-    )
+    # Reduce before joining: only one row per supplier and day meets the dimensions. Returned goods count as nothing
+    # used, so the panel has true zero days.
+    used = F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    daily = line.groupBy("l_suppkey", F.to_date("l_shipdate").alias("date")).agg(F.round(F.sum(used) / 50 + 1e-7, 2).alias("value"))
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     who = supplier.join(places, F.col("s_nationkey") == F.col("n_nationkey"))
     key = F.col("s_suppkey")
@@ -83,10 +88,12 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(ratings, (key % 10).cast("int")).alias("capacity"),
         F.concat("r_name", F.lit(" > "), "n_name", F.when(zoned, zone).otherwise(F.lit(""))).alias("location"),
         (F.col("n_nationkey") * 4 + F.when(zoned, 1 + key % 3).otherwise(0)).cast("int").alias("district_no"),
-        (F.col("s_acctbal") < NEW_BALANCE).alias("is_new"),
+        (F.col("s_acctbal") < NEW_BALANCE).alias("_renewed"),
     )
+    is_new = F.col("_renewed") & (F.col("date") >= F.to_date(F.lit(CUT)))
+    entity = F.concat("entity_id", F.when(is_new, F.lit("-B")).otherwise(F.lit("")))
     return daily.join(meters, F.col("l_suppkey") == key).select(
-        "entity_id", "date", "value", "capacity", "location", "district_no", "is_new"
+        entity.alias("entity_id"), "date", "value", "capacity", "location", "district_no", is_new.alias("is_new")
     )
 
 
@@ -126,8 +133,8 @@ def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noise(k: int) -> str:
-    """Integer arithmetic in [0, 1), the same in both engines."""
-    return f"((dno * 7919 + doy * 104729 + yr * 31 + {k} * 1299709) % 1000) / 1000e0"
+    """A share in [0, 1) from the day's measured quantity and lines, by integer arithmetic that both engines share."""
+    return f"((dno * 7919 + quantity * 104729 + lines * 31 + {k} * 1299709) % 1000) / 1000e0"
 
 
 WAVE = "cos(2e0 * pi() * (doy - 15) / 365.25e0)"
@@ -157,9 +164,10 @@ WEATHER_MEASURES = {
 cte(
     "weather_days",
     """
-SELECT district, dno, date, CAST(dayofyear(date) AS INTEGER) AS doy, CAST(year(date) AS INTEGER) AS yr
+SELECT district, dno, s.date, CAST(dayofyear(s.date) AS INTEGER) AS doy, coalesce(quantity, 0) AS quantity, coalesce(lines, 0) AS lines
 FROM (SELECT district, dno, CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS date
-      FROM (SELECT district, max(district_no) AS dno, min(date) AS first, max(date) AS last FROM panel GROUP BY 1))""",
+      FROM (SELECT district, max(district_no) AS dno, min(date) AS first, max(date) AS last FROM panel GROUP BY 1)) s
+LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(*) AS lines FROM lineitem GROUP BY 1) m ON m.date = s.date""",
 )
 cte("weather", "SELECT district, date, " + ", ".join(f"{e} AS {n}" for n, e in WEATHER_MEASURES.items()) + " FROM weather_days")
 
@@ -168,8 +176,12 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = panel(spark, sf_dir).groupBy("district").agg(
         F.max("district_no").alias("dno"), F.min("date").alias("first"), F.max("date").alias("last")
     )
-    days = spans.select("district", "dno", F.explode(F.sequence("first", "last")).alias("date")).withColumns(
-        {"doy": F.dayofyear("date"), "yr": F.year("date")}
+    measured = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(
+        F.sum("l_quantity").cast("long").alias("quantity"), F.count("*").alias("lines")
+    )
+    spread = spans.select("district", "dno", F.explode(F.sequence("first", "last")).alias("date"))
+    days = spread.join(measured, "date", "left").withColumns(
+        {"doy": F.dayofyear("date"), "quantity": F.coalesce("quantity", F.lit(0)), "lines": F.coalesce("lines", F.lit(0))}
     )
     return days.select("district", "date", *[F.expr(e).alias(n) for n, e in WEATHER_MEASURES.items()])
 
@@ -218,22 +230,22 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-HOUSEHOLD_DAYS_BEFORE = 400
+cte("order_span", "SELECT min(CAST(o_orderdate AS DATE)) AS first, max(CAST(o_orderdate AS DATE)) AS last FROM orders")
 cte(
     "household",
     f"""
 SELECT c.entity_id, c.date, coalesce(o.value, 0) AS value, c.capacity, c.province, c.region, c.district,
        ln(1 + coalesce(o.value, 0)) AS log_value, CASE WHEN coalesce(o.value, 0) > 0 THEN 1 ELSE 0 END AS is_pos
 FROM (SELECT c_custkey, 'HH-' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS entity_id,
-             CAST(unnest(generate_series(DATE '{CUT}' - {HOUSEHOLD_DAYS_BEFORE}, DATE '{END}' - 1, INTERVAL 1 DAY)) AS DATE) AS date,
+             CAST(unnest(generate_series((SELECT first FROM order_span), (SELECT last FROM order_span), INTERVAL 1 DAY)) AS DATE) AS date,
              CAST(([{RATING_ARRAY}])[1 + c_custkey % 10] AS DOUBLE) AS capacity,
              r_name AS province, r_name AS region, n_name AS district
       FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey) c
 LEFT JOIN (SELECT o_custkey, CAST(o_orderdate AS DATE) AS date, round(sum(o_totalprice) / 100 + 1e-7, 2) AS value
            FROM orders GROUP BY 1, 2) o ON o.o_custkey = c.c_custkey AND o.date = c.date""",
 )
-cte("household_past", f"SELECT *, month(date) AS month FROM household WHERE date < DATE '{CUT}'")
-cte("household_future", f"SELECT *, month(date) AS month FROM household WHERE date >= DATE '{CUT}'")
+cte("household_past", f"SELECT *, month(date) AS month FROM household WHERE date < DATE '{CUT}'", materialized=True)
+cte("household_future", f"SELECT *, month(date) AS month FROM household WHERE date >= DATE '{CUT}'", materialized=True)
 
 
 def household(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +253,9 @@ def household(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     key = F.col("c_custkey")
     ratings = F.array(*[F.lit(float(r)) for r in RATINGS])
-    first, end = F.date_sub(F.to_date(F.lit(CUT)), HOUSEHOLD_DAYS_BEFORE), F.to_date(F.lit(END))
+    day = F.to_date("o_orderdate")
+    # The calendar runs from the first order of the table to its last: one row, two scalar subqueries.
+    first, end = orders.agg(F.min(day)).scalar(), F.date_add(orders.agg(F.max(day)).scalar(), 1)
     homes = customer.join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
         key.alias("_key"),
         F.concat(F.lit("HH-"), F.lpad(key.cast("string"), 7, "0")).alias("entity_id"),
@@ -250,8 +264,7 @@ def household(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_name").alias("region"),
         F.col("n_name").alias("district"),
     )
-    day = F.to_date("o_orderdate")
-    bought = orders.where((day >= first) & (day < end)).groupBy(F.col("o_custkey").alias("_key"), day.alias("_day")).agg(
+    bought = orders.groupBy(F.col("o_custkey").alias("_key"), day.alias("_day")).agg(
         F.round(F.sum("o_totalprice") / 100 + 1e-7, 2).alias("_v")
     )
     # Zero days are the gaps between marks (days with orders, and both ends of the span), so only marks are
@@ -323,10 +336,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("_e", "_d", "_f", "log_value", "is_pos").transform(staged)
 
 
-def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = F.explode(
-        F.array(*[F.struct(F.lit(v).alias("version"), F.col(c).alias("log_pred")) for v, c in zip(VERSIONS, ("pred_a", "pred_b", "pred_c"))])
-    )
+def forecasts(spark: SparkSession, sf_dir: str, wanted: Sequence[str] = VERSIONS) -> DataFrame:
+    """Rows per version; only the ``wanted`` versions' columns are unfolded."""
+    columns = dict(zip(VERSIONS, ("pred_a", "pred_b", "pred_c"), strict=True))
+    versions = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.col(columns[v]).alias("log_pred")) for v in wanted]))
     rows = scored(spark, sf_dir).withColumn("_v", versions).select("*", "_v.*")
     return rows.withColumn("pred", F.greatest(F.expm1("log_pred"), F.lit(0.0))).select(
         "entity_id", "date", "province", "region", "district", "capacity", "location", "seen", "version", "log_pred", "pred"

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelyard.functions.text import period_norm, tr_date, tr_month, tr_number
 from panelyard.operators.scale import keep_one
@@ -37,18 +38,38 @@ def clean_header(name: str) -> str:
     return name.replace("﻿", "").strip()
 
 
+def plain_path(uri: Column | str) -> Column:
+    """The path of a file as given to a reader, from its URI."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
+def headers(spark: SparkSession, paths: Sequence[str], encoding: str = "UTF-8") -> dict[str, list[str]]:
+    """Files by their header line, read in one job: the first line of a file is the first of its first block."""
+    lines = spark.read.option("encoding", encoding).text(list(paths)).select(
+        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"), "value"
+    )
+    first = lines.where(F.col("start") == 0).groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    out: dict[str, list[str]] = {}
+    for row in sorted(first.collect()):  # one row per file of a list the caller holds
+        out.setdefault(row["header"], []).append(row["path"])
+    return out
+
+
 def read_exports(spark: SparkSession, paths: Sequence[str], sep: str = ";") -> DataFrame:
-    """Union of text exports whose headers may differ, with ``source_file``. One scan per distinct header:
-    files are listed by the caller, so the loop is over files, never over rows."""
+    """Union of text exports whose headers may differ, with ``source_file``, the path. One scan per distinct header."""
+    if not paths:
+        raise FileNotFoundError("no export files given")
     out = None
-    for path in paths:
-        raw = spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8").csv(path)
-        named = raw.select([F.col(f"`{c}`").alias(clean_header(c)) for c in raw.columns if clean_header(c)] + [
-            F.col("_metadata.file_name").alias("source_file")
-        ])
+    for header, files in headers(spark, paths).items():
+        columns = [c.strip('"') for c in header.split(sep)]
+        schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(columns))])
+        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", sep).option("encoding", "UTF-8").csv(files)
+        named = raw.select(
+            *[F.col(f"_{i}").alias(clean_header(c)) for i, c in enumerate(columns) if clean_header(c)], F.col("_metadata.file_path").alias("source_file")
+        )
         out = named if out is None else out.unionByName(named, allowMissingColumns=True)
     if out is None:
-        raise FileNotFoundError("no export files given")
+        raise FileNotFoundError("the export files are empty")
     return out
 
 
@@ -108,11 +129,14 @@ def province_monthly(raw: DataFrame) -> DataFrame:
 
 
 def read_province_monthly(spark: SparkSession, paths: Mapping[str, Sequence[str]]) -> DataFrame:
-    out = None
-    for province, files in paths.items():
-        part = read_exports(spark, files).withColumn("province", F.lit(province))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return province_monthly(out)
+    """Exports of several provinces; all files are read together, and a file's folder or path names its province."""
+    raw = read_exports(spark, [file for files in paths.values() for file in files])
+    province = F.lit(None).cast("string")
+    for name, files in paths.items():
+        for file in files:
+            place = plain_path("source_file")
+            province = F.when(F.contains(place, F.lit(file.rstrip("/") + "/")) | F.endswith(place, F.lit(file)), F.lit(name)).otherwise(province)
+    return province_monthly(raw.withColumn("province", province))
 
 
 def province_periods(raw: DataFrame) -> DataFrame:
@@ -160,7 +184,7 @@ def fetch_ledger(wanted: DataFrame, fetched: DataFrame) -> DataFrame:
 
 
 def source_fingerprint(spark: SparkSession, path: str) -> str:
-    """First 12 hex digits of sha1("size:mtime"), or "missing"."""
+    """First 12 hex digits of sha1("size:mtime") of one file, or "missing"."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -169,3 +193,19 @@ def source_fingerprint(spark: SparkSession, path: str) -> str:
     status = fs.getFileStatus(target)
     text = f"{status.getLen()}:{status.getModificationTime() * 1_000_000}"
     return hashlib.sha1(text.encode()).hexdigest()[:12]
+
+
+def source_fingerprints(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table_name, files, rows, print) of file-backed tables: 12 hex digits of a digest over their files' sizes and times.
+
+    One scan of each table's metadata columns; files are reduced by aggregates, in the order of their paths.
+    """
+    out = None
+    for name, df in tables.items():
+        facts = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("time"))
+        files = facts.groupBy("path", "size", "time").agg(F.count("*").alias("rows"))
+        stamp = F.concat_ws(":", F.col("size").cast("string"), F.unix_micros("time").cast("string"))
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", stamp.alias("stamp")))), lambda f: f["stamp"]), "|")
+        row = files.agg(F.lit(name).alias("table_name"), F.count("*").alias("files"), F.sum("rows").alias("rows"), F.substring(F.sha1(listed.cast("binary")), 1, 12).alias("print"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -51,8 +51,9 @@ def stream_score_stateful(
 ) -> DataFrame:
     """EWMA and CUSUM that survive from trigger to trigger; equals the batch charts on ordered input.
 
-    State per series: rows seen, EWMA level, both running sums. Series without a baseline are dropped by
-    the join; keep them on a second branch if they matter.
+    State per series: rows seen, EWMA level, both running sums, the newest order value. Rows of a series are charted in
+    order within a trigger. A row that arrives after a newer one was charted is marked ``late`` and charted in its turn of
+    arrival. Series without a baseline are kept and never flagged.
     """
     types = dict((f.name, f.dataType) for f in events.schema.fields)
     schema = T.StructType(
@@ -64,15 +65,18 @@ def stream_score_stateful(
             T.StructField("ewma_anomaly", T.BooleanType()),
             T.StructField("cusum", T.DoubleType()),
             T.StructField("cusum_anomaly", T.BooleanType()),
+            T.StructField("late", T.BooleanType()),
         ]
     )
+    kept = T.StructType([*STATE.fields, T.StructField("newest", types[order])])
     lam = config.ewma_lambda
 
     def score(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(batches)).sort_values(order, kind="stable")
-        rows, level, up, down = state.get if state.exists else (0, None, 0.0, 0.0)
+        rows, level, up, down, newest = state.get if state.exists else (0, None, 0.0, 0.0, None)
         level = np.nan if level is None else level
-        mean, sigma = float(frame["baseline_mean"].iloc[0]), float(frame["baseline_std"].iloc[0])
+        mean, sigma = (np.nan if pd.isna(x) else float(x) for x in (frame["baseline_mean"].iloc[0], frame["baseline_std"].iloc[0]))
+        late = np.zeros(len(frame), bool) if newest is None else (frame[order] < newest).to_numpy(bool)
         scale = cusum_scale(config, sigma)
         k, h = config.cusum_k * scale, config.cusum_h * scale
         out = np.empty((len(frame), 4))
@@ -88,16 +92,18 @@ def stream_score_stateful(
                 pos, neg, up, down = cusum_step(up, down, z, k, h)
             total = abs(pos) + abs(neg)
             out[i] = level, abs(level - mean) > reach, total, total > h
-        state.update((rows, None if np.isnan(level) else float(level), up, down))
+        top = frame[order].iloc[-1]
+        newest = top if newest is None or top > newest else newest
+        state.update((rows, None if np.isnan(level) else float(level), up, down, newest.item() if hasattr(newest, "item") else newest))
         yield pd.DataFrame(
             {
                 key: frame[key], order: frame[order], value: frame[value].astype(float), "ewma": out[:, 0],
-                "ewma_anomaly": out[:, 1].astype(bool), "cusum": out[:, 2], "cusum_anomaly": out[:, 3].astype(bool),
+                "ewma_anomaly": out[:, 1].astype(bool), "cusum": out[:, 2], "cusum_anomaly": out[:, 3].astype(bool), "late": late,
             }
         )
 
-    joined = events.join(baselines.select(key, "baseline_mean", "baseline_std"), key)
-    return joined.groupBy(key).applyInPandasWithState(score, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    joined = events.join(baselines.select(key, "baseline_mean", "baseline_std"), key, "left")
+    return joined.groupBy(key).applyInPandasWithState(score, schema, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_daily_panel(events: DataFrame, key: str, time: str, value: str, late: str = "1 day") -> DataFrame:
