@@ -18,7 +18,7 @@ from panelyard.session import shared_dir, staged
 from panelyard.streaming import control as SC
 
 DEFAULT = M.TreeParams()
-WIDE = M.TreeParams(trees=60, depth=5)
+SHALLOW = M.TreeParams(depth=4)
 GROUP = ("district_mean", "cap_mean", "cell_mean", "exp_log_district", "peer_mean")
 
 
@@ -72,8 +72,8 @@ def hurdle_forecast(spark, d):
 def multi_seed_ensemble(spark, d):
     train, valid = split(spark, d)
     keys = ["entity_id", "date"]
-    members = M.ensemble(train, valid, features(train), {"small": (42, 7), "wide": (42,)}, {"small": DEFAULT, "wide": WIDE}, keys)
-    return E.ensemble_mean(members, {"small": 0.44, "wide": 0.56}, keys)
+    members = M.ensemble(train, valid, features(train), {"deep": (42, 7), "shallow": (42,)}, {"deep": DEFAULT, "shallow": SHALLOW}, keys)
+    return E.ensemble_mean(members, {"deep": 0.44, "shallow": 0.56}, keys)
 
 
 @register("rank_features", "dropped i, kept i, rmsle 4")
@@ -93,7 +93,7 @@ def ablation(spark, d):
 @register("walk_forward", "fold s, segment s, value 4")
 def walk_forward(spark, d):
     rows = blocks(spark, d, [0, 1, 2, 3])
-    scored = staged(M.walk_forward(rows, features(rows), 2, {"deep": DEFAULT, "wide": WIDE}))
+    scored = staged(M.walk_forward(rows, features(rows), 2, {"deep": DEFAULT, "shallow": SHALLOW}))
     out = None
     for fold in ("2", "3"):
         part = E.oof_segments(scored.where(F.col("fold") == fold)).withColumn("fold", F.lit(fold))

@@ -79,6 +79,15 @@ def period_norm(spark, d):
     return order_text(spark, d).select("o_orderkey", X.period_norm(F.col("period_text")).alias("period"))
 
 
+@register(
+    "deaccent",
+    "n_nationkey i, plain s",
+    "SELECT n_nationkey, strip_accents(replace(n_name || ' ığİçöşü ÇĞÖŞÜ', 'ı', 'i')) AS plain FROM nation",
+)
+def deaccent(spark, d):
+    return T.table(spark, d, "nation").select("n_nationkey", X.deaccent(F.concat("n_name", F.lit(" ığİçöşü ÇĞÖŞÜ"))).alias("plain"))
+
+
 @register(
     "norm_place",
     "c_custkey i, upper_tr s, place s, plain s",

@@ -73,3 +73,8 @@ def test_contract_verdict(spark):
 def test_gaps(spark):
     rows = series(spark, [("a", day("2025-01-01")), ("a", day("2025-01-04")), ("b", day("2025-01-01"))], "entity_id string, date date")
     assert [r["date"] for r in records(C.calendar_gaps(rows), "date")] == days("2025-01-02", 2)
+
+
+def test_copies_with_a_missing_key_are_reported(spark):
+    rows = series(spark, [(None, day("2025-01-01"), 1), (None, day("2025-01-01"), 2), ("a", None, 3), ("a", None, 4), ("a", day("2025-01-01"), 5)], "entity_id string, date date, k int")
+    assert sorted(r["k"] for r in C.find_duplicates(rows).collect()) == [1, 2, 3, 4]

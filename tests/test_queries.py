@@ -54,5 +54,24 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize(
+    ("name", "columns"),
+    [("entity_history", ("ent_zero", "ent_r28_zero", "ent_zero_trend")), ("district_dynamics", ("dist_r28_zero",)), ("target_flags", ("target_true_zero",)), ("attach_origin", ("seen_at_origin",))],
+)
+def test_columns_about_zero_days_and_new_meters_vary(spark, name, columns):
+    got = entry.queries()[name](spark, DATA).select(*columns).toPandas()
+    assert all(got[c].nunique() > 1 for c in columns)
+
+
+def test_nothing_is_left_out_of_the_panels(spark):
+    from panelyard.plans import tables as T
+
+    line, orders = T.table(spark, DATA, "lineitem"), T.table(spark, DATA, "orders")
+    readings = T.train(spark, DATA).count() + T.test_rows(spark, DATA).count()
+    assert readings == line.selectExpr("l_suppkey", "to_date(l_shipdate)").distinct().count()
+    bought = T.household(spark, DATA).where("value > 0").count()
+    assert bought == orders.where("o_totalprice > 0").selectExpr("o_custkey", "to_date(o_orderdate)").distinct().count()
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
