@@ -17,8 +17,9 @@ from panelyard.plans.registry import register
 from panelyard.session import shared_dir, staged
 from panelyard.streaming import control as SC
 
-DEFAULT = M.TreeParams()
-SHALLOW = M.TreeParams(depth=4)
+# Comparisons fit many models side by side, on fewer trees; the forecasts use the default.
+DEEP = M.TreeParams(trees=16, depth=5, step=0.2)
+SEARCH = M.TreeParams(trees=12, depth=4, step=0.2)
 GROUP = ("district_mean", "cap_mean", "cell_mean", "exp_log_district", "peer_mean")
 
 
@@ -72,14 +73,14 @@ def hurdle_forecast(spark, d):
 def multi_seed_ensemble(spark, d):
     train, valid = split(spark, d)
     keys = ["entity_id", "date"]
-    members = M.ensemble(train, valid, features(train), {"deep": (42, 7), "shallow": (42,)}, {"deep": DEFAULT, "shallow": SHALLOW}, keys)
+    members = M.ensemble(train, valid, features(train), {"deep": (42, 7), "shallow": (42,)}, {"deep": DEEP, "shallow": SEARCH}, keys)
     return E.ensemble_mean(members, {"deep": 0.44, "shallow": 0.56}, keys)
 
 
 @register("rank_features", "dropped i, kept i, rmsle 4")
 def rank_features(spark, d):
     train, valid = split(spark, d)
-    return M.rank_features(train, valid, features(train), (0, 20, 40))
+    return M.rank_features(train, valid, features(train), (0, 20, 40), SEARCH)
 
 
 @register("ablation", "arm s, features i, rmsle 4, delta 4")
@@ -87,13 +88,13 @@ def ablation(spark, d):
     train, valid = split(spark, d)
     names = features(train)
     weather = [n for n in names if n in T.WEATHER_MEASURES or n in ("cdd22", "hdd18", "cdd_log", "hdd18")]
-    return M.ablation(train, valid, names, {"without_groups": GROUP, "without_weather": weather})
+    return M.ablation(train, valid, names, {"without_groups": GROUP, "without_weather": weather}, SEARCH)
 
 
 @register("walk_forward", "fold s, segment s, value 4")
 def walk_forward(spark, d):
     rows = blocks(spark, d, [0, 1, 2, 3])
-    scored = staged(M.walk_forward(rows, features(rows), 2, {"deep": DEFAULT, "shallow": SHALLOW}))
+    scored = staged(M.walk_forward(rows, features(rows), 2, {"deep": DEEP, "shallow": SEARCH}))
     out = None
     for fold in ("2", "3"):
         part = E.oof_segments(scored.where(F.col("fold") == fold)).withColumn("fold", F.lit(fold))
