@@ -1,13 +1,16 @@
 """Benchmark decontamination with spaced seeds.
 
 A seed is a fixed mask over ``span`` words that ignores some positions, so a hit survives a substituted word there.
+The eight masks of six words meet every stretch of 12, 16 or 20 words in which at most 3, 4 or 5 words differ, wherever
+these are. An overlap of any length from 12 words on in which three quarters agree holds such a stretch: it can be cut
+into parts of 12 to 23 words, in one of which three quarters agree. So no overlap escapes verification.
 Masked windows of the benchmark items and of the documents are hashed and joined. The hashes of the documents are
 never shuffled as a whole: a Bloom bitmap of fixed size, built by Spark from the items, lets through the windows that
 may hit. Neighbouring windows that pass become one segment of a document, with its word hashes and some words around.
 The segments' hashes join the items' exactly, and each (segment, item, alignment) that meets is verified: the longest
 stretch of the alignment in which enough words agree has to reach ``least`` words.
 
-Rows: null texts count as empty; items of fewer words than the span are too short to identify and match nothing.
+Rows: null texts count as empty; items of fewer than ``least`` words are too short to identify and match nothing.
 Words are lower-cased before hashing, on both sides. The result has one row per (doc_id, item_id) pair that overlaps, so rows with
 the same id are one document, and a null doc_id is an id.
 """
@@ -30,9 +33,14 @@ from panelyard.session import staged
 
 @dataclass(frozen=True)
 class Seeds:
-    """``masks``: positions that count, 1, or are ignored, 0. ``share``: words that have to agree in the overlap."""
+    """``masks``: positions that count, 1, or are ignored, 0; zeros at the end are padding. ``share``: words that have to agree in the overlap.
 
-    masks: tuple[str, ...] = ("110110110111", "111011011011", "101101111011", "110111101101")
+    The masks belong to ``least`` and ``share``: others need masks that meet their patterns.
+    """
+
+    masks: tuple[str, ...] = (
+        "111011100000", "110100101100", "110011011000", "111000111000", "101111100000", "111101000100", "110101001010", "110010000111",
+    )
     least: int = 12
     share: float = 0.75
     around: int = 64
@@ -42,29 +50,35 @@ class Seeds:
     def span(self) -> int:
         return len(self.masks[0])
 
+    @property
+    def reach(self) -> tuple[int, ...]:
+        """Words from the first to the last that counts, per mask."""
+        return tuple(m.rindex("1") + 1 for m in self.masks)
+
 
 def folded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(pc.utf8_lower(pc.fill_null(texts, "")))
 
 
 def seed_hashes(words: np.ndarray, seeds: Seeds) -> np.ndarray:
-    """Hash of each masked window, one row of the result per mask; windows may cross rows."""
-    total = max(len(words) - seeds.span + 1, 0)
+    """Hash of each masked window, one row of the result per mask and one column per word; windows may cross rows and the end."""
     weights = salts(seeds.span, 17)
-    out = np.empty((len(seeds.masks), total), np.uint64)
+    out = np.empty((len(seeds.masks), len(words)), np.uint64)
     out[:] = np.arange(1, len(seeds.masks) + 1, dtype=np.uint64)[:, None]
     for j in range(seeds.span):
-        weighed = words[j : j + total] * weights[j]
+        weighed = words[j:] * weights[j]
         for m, mask in enumerate(seeds.masks):
             if mask[j] == "1":
-                out[m] += weighed
+                out[m, : len(weighed)] += weighed
     return mix(out)
 
 
-def window_starts(bounds: np.ndarray, span: int, total: int) -> np.ndarray:
-    """Marks the windows that lie inside one row."""
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    return row[:total] == row[span - 1 : span - 1 + total]
+def window_starts(bounds: np.ndarray, seeds: Seeds) -> np.ndarray:
+    """Marks, per mask, the windows that lie inside one row of at least ``least`` words."""
+    counts = np.diff(bounds)
+    left = np.repeat(bounds[1:], counts) - np.arange(bounds[-1])
+    left[np.repeat(counts < seeds.least, counts)] = 0
+    return left >= np.array(seeds.reach)[:, None]
 
 
 def item_seeds(items: DataFrame, seeds: Seeds) -> DataFrame:
@@ -74,12 +88,10 @@ def item_seeds(items: DataFrame, seeds: Seeds) -> DataFrame:
         for batch in batches:
             words, bounds = folded_words(batch.column(1))
             hashes = seed_hashes(words, seeds)
-            inside = window_starts(bounds, seeds.span, hashes.shape[1])
-            at = np.flatnonzero(inside)
+            mask, at = np.nonzero(window_starts(bounds, seeds))
             row = np.searchsorted(bounds, at, "right") - 1
-            rows = np.tile(row, len(seeds.masks))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[:, at].ravel().view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(np.tile(at - bounds[row], len(seeds.masks)))],
+                [pa.array(hashes[mask, at].view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(at - bounds[row])],
                 ["seed", "item_id", "at"],
             )
 
@@ -122,11 +134,11 @@ def segments(docs: DataFrame, shared: bytes, seeds: Seeds) -> DataFrame:
                 part = batch.slice(low, high - low)
                 words, bounds = folded_words(part.column(1))
                 hashes = seed_hashes(words, seeds)
-                inside = window_starts(bounds, span, hashes.shape[1])
+                inside = window_starts(bounds, seeds)
                 signed = hashes.view(np.int64)
                 found = []
                 for m, line in enumerate(signed):
-                    near = np.flatnonzero(inside & marks[line & (bits - 1)])
+                    near = np.flatnonzero(inside[m] & marks[line & (bits - 1)])
                     near = near[marks[(line[near] >> 32) & (bits - 1)]]
                     if len(near):
                         found.append((m, near))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -59,6 +60,42 @@ def test_masks_tolerate_a_substitution():
     assert all(any(m[k] == "0" for m in seeds.masks) for k in range(1, seeds.span - 1))
 
 
+def met(seeds, length, changed):
+    """Whether some mask, somewhere inside the stretch, counts none of the changed words."""
+    return any(not any(m[p - k] == "1" for p in changed if 0 <= p - k < r) for m, r in zip(seeds.masks, seeds.reach, strict=True) for k in range(length - r + 1))
+
+
+def test_masks_meet_every_overlap_that_counts():
+    seeds = D.Seeds()
+    # shorter parts of 12 to 23 words hold one of these, and longer overlaps hold such a part
+    for length in (12, 16, 20):
+        assert all(met(seeds, length, changed) for changed in itertools.combinations(range(length), length // 4))
+    rng = random.Random(11)
+    for length in (13, 14, 15, 17, 18, 19, 21, 22, 23, 24, 40, 200):
+        allowed = int(length * (1 - seeds.share))
+        assert all(met(seeds, length, [p for p in range(length) if p % 4 == k][:allowed]) for k in range(4))
+        assert all(met(seeds, length, rng.sample(range(length), allowed)) for _ in range(300))
+        middle = (length - allowed) // 2
+        assert met(seeds, length, range(middle, middle + allowed))
+
+
+def test_overlaps_with_any_substitutions_are_found(spark):
+    """Periods, adjacent words and random places, in documents that are the overlap alone or hold words around it."""
+    rng = random.Random(12)
+    patterns = [(12, (3, 6, 9)), (24, (11, 12)), (16, (4, 5, 6, 7)), (14, (5, 8)), (20, range(3, 19, 4)), (40, range(3, 39, 4)), (200, range(3, 199, 4))]
+    patterns += [(n, rng.sample(range(1, n - 1), n // 4)) for n in range(12, 25) for _ in range(6)]
+    bench, rows = [], []
+    for k, (length, changed) in enumerate(patterns):
+        words = [f"q{k}w{p}" for p in range(length)]
+        bench.append((k, " ".join(words), 1))
+        for p in changed:
+            words[p] = f"c{p}"
+        rows.append((2 * k, " ".join(words), "en", "s"))
+        rows.append((2 * k + 1, " ".join([sentence(rng, 30), *words, sentence(rng, 30)]), "en", "s"))
+    found = D.overlaps(documents(spark, rows), items(spark, bench)).collect()
+    assert {(r.doc_id, r.item_id, r.words) for r in found} == {(2 * k + e, k, n) for k, (n, _) in enumerate(patterns) for e in (0, 1)}
+
+
 def test_empty_tables(spark):
     bench = items(spark, [(1, "a b c d e f g h i j k l m n o", 1)])
     assert D.overlaps(documents(spark, []), bench).count() == 0
