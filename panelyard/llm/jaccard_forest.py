@@ -251,10 +251,11 @@ def units(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
-    """(doc_id, key, copy_id, class_id, copies, links) per document.
+    """(doc_id, key, copy_id, root, class_id, copies, links) per document.
 
-    ``key`` names the text and ``copy_id`` is the smallest doc_id with it; ``class_id`` is the smallest doc_id of the
-    documents connected by links; ``links`` counts the other documents whose similarity reaches the threshold.
+    ``key`` names the text and ``copy_id`` is the smallest doc_id with it; ``root`` is the smallest key of the texts
+    connected by links, so it names the class, and ``class_id`` the smallest doc_id there, which other classes may hold
+    too; ``links`` counts the other documents whose similarity reaches the threshold.
     """
     forest = forest or Forest()
     signed = staged(signatures(docs, forest), "signatures")
@@ -280,19 +281,20 @@ def similar_texts(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
         .select("key", "copy_id", "copies", F.coalesce("root", "key").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     )
     least = rooted.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    classes = rooted.join(least, "root").select("key", "copy_id", "class_id", "copies", "links")
-    return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "key", "copy_id", "class_id", "copies", "links")
+    classes = rooted.join(least, "root").select("key", "copy_id", "root", "class_id", "copies", "links")
+    return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "key", "copy_id", "root", "class_id", "copies", "links")
 
 
 def one_per_class(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     """The documents without near copies: of every class the one with the smallest id stays, all others go.
 
-    Equal ids in a class are one document; of rows without an id, the first key stays.
+    A class is named by its texts, so ids that repeat or are missing neither merge nor split classes. Of equal smallest
+    ids in a class, and where all are missing, the one with the smallest key stays.
     """
     found = similar_texts(docs, forest)
-    kept = found.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("key")).alias("_k")).agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("_one")
-    ).select(F.col("_one.doc_id").alias("_id"), F.col("_one.key").alias("_key"))
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("_one")).select(
+        F.col("_one.doc_id").alias("_id"), F.col("_one.key").alias("_key")
+    )
     rows = docs.select(packed(docs).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.unhex(text_key()).alias("_text"))
     chosen = rows.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left_semi")
     return chosen.dropDuplicates(["_doc", "_text"]).select("_row.*")

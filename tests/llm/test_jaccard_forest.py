@@ -77,6 +77,30 @@ def test_one_document_of_each_class_stays(spark):
     )
 
 
+def test_one_text_of_each_class_stays_whatever_the_ids(spark):
+    rng = random.Random(21)
+    base = sentence(rng, 60).split()
+    near = [" ".join([*base[:k], f"w{k}", *base[k + 1 :]]) for k in (5, 20, 35)]
+    rows = awkward() + [(None, t, "en", "s0") for t in near]
+    rows += [(7, "an unrelated text under the id of another " + sentence(rng, 20), "en", "s0"), (None, sentence(rng, 30), "en", "s0")]
+    kept = [r.text or "" for r in J.one_per_class(documents(spark, rows)).collect()]
+    texts = list(dict.fromkeys(t or "" for _, t, _, _ in rows))
+    sets = {t: grams(t) for t in texts}
+    classes = {t: {t} for t in texts}
+    for t in texts:
+        for u in texts:
+            if sets[t] and classes[t] is not classes[u] and len(sets[t] & sets[u]) >= 0.8 * len(sets[t] | sets[u]):
+                classes[t] |= classes[u]
+                for v in classes[u]:
+                    classes[v] = classes[t]
+    want = {id(c): c for c in classes.values()}
+    assert Counter(id(classes[t]) for t in kept) == Counter(want.keys())
+    # of the documents with the smallest id of a class one stays
+    for t in kept:
+        ids = [(d is None, d or 0) for d, u, _, _ in rows if (u or "") in classes[t]]
+        assert min(ids) in [(d is None, d or 0) for d, u, _, _ in rows if (u or "") == t]
+
+
 def test_prefix_is_the_longest_that_reaches_the_recall():
     forest = J.Forest()
     length = forest.prefix()
