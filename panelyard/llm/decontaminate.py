@@ -11,8 +11,9 @@ The segments' hashes join the items' exactly, and each (segment, item, alignment
 stretch of the alignment in which enough words agree has to reach ``least`` words.
 
 Rows: null texts count as empty; items of fewer than ``least`` words are too short to identify and match nothing.
-Words are lower-cased before hashing, on both sides. The result has one row per (doc_id, item_id) pair that overlaps, so rows with
-the same id are one document, and a null doc_id is an id.
+Words are lower-cased before hashing, on both sides. The result of ``overlaps`` has one row per (doc_id, item_id) pair that
+overlaps, so rows with the same id are one document there, and a null doc_id is an id. ``clean_documents`` goes by texts:
+ids that repeat or are missing decide nothing.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.tables import packed
+from panelyard.llm.tables import packed, text_key
 from panelyard.llm.words import mix, salts, slices, word_hashes
 from panelyard.session import staged
 
@@ -121,6 +122,10 @@ def bitmap(seeds_of_items: DataFrame, bits: int) -> bytes:
     return held.tobytes()
 
 
+def id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def segments(docs: DataFrame, shared: bytes, seeds: Seeds) -> DataFrame:
     """(doc_id, segment, words, hits) for each stretch of a document whose windows pass the bitmap."""
     held = docs.sparkSession.sparkContext.broadcast(shared)
@@ -167,8 +172,7 @@ def segments(docs: DataFrame, shared: bytes, seeds: Seeds) -> DataFrame:
                     ["doc_id", "start", "words", "hits"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(scan, "doc_id long, start long, words array<long>, hits array<struct<seed:long,at:long>>")
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {id_type(docs)}, start long, words array<long>, hits array<struct<seed:long,at:long>>")
 
 
 def best_stretch(agree: np.ndarray, share: float) -> tuple[int, int]:
@@ -188,7 +192,11 @@ def best_stretch(agree: np.ndarray, share: float) -> tuple[int, int]:
 
 def overlaps(docs: DataFrame, items: DataFrame, seeds: Seeds | None = None) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, words, agreeing): the longest verified overlap of each pair."""
-    seeds = seeds or Seeds()
+    return verified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, seeds or Seeds())
+
+
+def verified(docs: DataFrame, items: DataFrame, seeds: Seeds) -> DataFrame:
+    """``overlaps`` for a ``doc_id`` of any type; rows with the same one are one document."""
     item_hits = staged(item_seeds(items, seeds), "seeds")
     found = staged(segments(docs, bitmap(item_hits, seeds.bitmap_bits), seeds), "segments")
     found = found.withColumn("segment", F.xxhash64("doc_id", "start", "words"))
@@ -223,7 +231,7 @@ def overlaps(docs: DataFrame, items: DataFrame, seeds: Seeds | None = None) -> D
                 ["doc_id", "item_id", "doc_start", "item_start", "words", "agreeing"],
             )
 
-    checked = pairs.mapInArrow(check, "doc_id long, item_id long, doc_start long, item_start long, words long, agreeing long")
+    checked = pairs.mapInArrow(check, f"doc_id {id_type(docs)}, item_id long, doc_start long, item_start long, words long, agreeing long")
     best = F.max(F.struct("words", "agreeing", (-F.col("doc_start")).alias("early"), (-F.col("item_start")).alias("first")))
     return checked.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
         "doc_id", "item_id", (-F.col("b.early")).alias("doc_start"), (-F.col("b.first")).alias("item_start"), F.col("b.words").alias("words"), F.col("b.agreeing").alias("agreeing")
@@ -231,7 +239,8 @@ def overlaps(docs: DataFrame, items: DataFrame, seeds: Seeds | None = None) -> D
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, seeds: Seeds | None = None) -> DataFrame:
-    """The documents that overlap no benchmark item, with all their columns."""
-    hit = overlaps(docs, items, seeds).select(F.col("doc_id").alias("_hit")).distinct()
-    rows = docs.select(packed(docs).alias("_row"), F.col("doc_id").cast("long").alias("_doc"))
-    return rows.join(hit, F.col("_doc").eqNullSafe(F.col("_hit")), "left_anti").select("_row.*")
+    """The documents whose text overlaps no benchmark item, with all their columns."""
+    key = F.unhex(text_key())
+    hit = verified(docs.select(key.alias("doc_id"), "text"), items, seeds or Seeds()).select(F.col("doc_id").alias("_hit")).distinct()
+    rows = docs.select(packed(docs).alias("_row"), key.alias("_key"))
+    return rows.join(hit, F.col("_key") == F.col("_hit"), "left_anti").select("_row.*")

@@ -96,6 +96,17 @@ def test_overlaps_with_any_substitutions_are_found(spark):
     assert {(r.doc_id, r.item_id, r.words) for r in found} == {(2 * k + e, k, n) for k, (n, _) in enumerate(patterns) for e in (0, 1)}
 
 
+def test_only_contaminated_texts_go_where_ids_repeat_or_are_missing(spark):
+    rng = random.Random(13)
+    passage = sentence(rng, 40)
+    leaks = [sentence(rng, 20) + " " + passage, passage + " " + sentence(rng, 20)]
+    clean = [(None, sentence(rng, 50)), (None, None), (None, ""), (5, sentence(rng, 50)), (5, "short"), (6, sentence(rng, 50)), (6, None)]
+    dirty = [(None, leaks[0]), (5, leaks[1]), (7, leaks[1]), (7, leaks[1])]
+    docs = documents(spark, [(d, t, "en", "s") for d, t in clean + dirty])
+    kept = D.clean_documents(docs, items(spark, [(1, passage, 1)])).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(d), str(t)) for d, t in clean)
+
+
 def test_empty_tables(spark):
     bench = items(spark, [(1, "a b c d e f g h i j k l m n o", 1)])
     assert D.overlaps(documents(spark, []), bench).count() == 0
