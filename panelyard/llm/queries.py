@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import chat, decontaminate, jaccard_forest, languages, lengths, media, mixing, quality, shards, urls
+from panelyard.llm import chat, decontaminate, jaccard_forest, languages, lengths, media, mixing, quality, shards, toxicity, urls
 from panelyard.llm.tables import table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -85,6 +85,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, and its worst sentence."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), whole=False)
+    worst = F.get("_offending", F.lit(0))
+    return scored.select(
+        F.col("_doc").alias("doc_id"), quality.held_out(F.col("_doc")).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.col("_sentences").alias("sentences"),
+        F.size("_offending").alias("offending"), worst["start"].alias("worst_start"), worst["end"].alias("worst_end"), worst["score"].alias("worst_score"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over documents."""
     import corpus_pipeline
@@ -96,7 +108,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_sharding, op3_quality_classifier, op4_chat_formatting, op5_url_filters, op6_benchmark_decontamination, op7_token_counts,
-        op8_language_id, op9_source_mixing, op10_media_columns, pipeline,
+        op8_language_id, op9_source_mixing, op10_media_columns, op13_toxicity, pipeline,
     )
 }
 

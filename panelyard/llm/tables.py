@@ -33,6 +33,18 @@ def place(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, PLACE_DIGITS), 16, 10).cast("long")
 
 
+def smallest(rows: DataFrame, have: int, count: int, at: str, *ties: str) -> DataFrame:
+    """The ``count`` of ``have`` rows with the smallest ``at``, a uniform integer in [0, 2^60).
+
+    A bound on ``at`` leaves a few more than ``count`` rows, so that ranking moves no more than these whatever the size
+    of the table or of its tasks. Where rows share one ``at`` it may leave fewer.
+    """
+    if have > count:
+        wanted = count + 6 * count**0.5 + 16
+        rows = rows.where(F.col(at) < int(min(1.0, wanted / have) * 2**PLACE_BITS))
+    return rows.orderBy(at, *ties).limit(count)
+
+
 def range_bits(rows: int, rows_per_range: int = 4_096) -> int:
     """How many leading bits of a place make ranges of about ``rows_per_range`` rows."""
     return max(0, min(32, (max(rows, 1) // rows_per_range).bit_length()))
