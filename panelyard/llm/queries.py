@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import chat, decontaminate, jaccard_forest, languages, lengths, media, mixing, quality, shards, toxicity, urls
+from panelyard.llm import centroids, chat, decontaminate, jaccard_forest, languages, lengths, media, mixing, quality, shards, toxicity, urls, whitening
 from panelyard.llm.tables import table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -85,6 +85,26 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to four whitened coordinates of every usable embedding."""
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, whole=False)
+    each = white.select("*", F.posexplode(F.arrays_zip("_z", "_explained")).alias("_at", "_part"))
+    return each.select(
+        F.col("_id").alias("vec_id"), (F.col("_at") + 1).cast("int").alias("component"), F.col("_n").alias("n"), F.expr("try_cast(_deviation AS bigint)").alias("deviation"),
+        F.col("_part._z").alias("whitened"), F.col("_part._explained").alias("explained"), F.col("_identity_error").alias("identity_error"),
+    )
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every usable embedding after five rounds from 40 hashed starts."""
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), whole=False)
+    return found.select(
+        F.col("_id").alias("vec_id"), F.col("_cluster").alias("cluster"), F.expr("try_cast(_distance AS bigint)").alias("distance"),
+        F.expr("try_cast(_cluster_inertia AS bigint)").alias("cluster_inertia"), F.expr("try_cast(_inertia AS bigint)").alias("inertia"),
+        F.col("_centroid_sha256").alias("centroid_sha256"),
+    )
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, and its worst sentence."""
     docs = table(spark, sf_dir, "documents")
@@ -108,7 +128,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_sharding, op3_quality_classifier, op4_chat_formatting, op5_url_filters, op6_benchmark_decontamination, op7_token_counts,
-        op8_language_id, op9_source_mixing, op10_media_columns, op13_toxicity, pipeline,
+        op8_language_id, op9_source_mixing, op10_media_columns, op11_embedding_whitening, op12_centroid_clustering, op13_toxicity, pipeline,
     )
 }
 
@@ -154,3 +174,36 @@ WITH sizes AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
   CAST(epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - before)) AS BIGINT) AS taken FROM cut
 """
+
+
+def lloyd_sql(clusters: int = 40, rounds: int = 5, dims: int = 64, seed: int = 2) -> str:
+    """Lloyd's rounds written out, one pair of steps per round; all sums and products stay below 2^53."""
+    parts = [
+        f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {dims} AND len(list_filter(embedding, lambda e: isfinite(e))) = {dims}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (
+    SELECT sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), 'null')) AS h, x FROM kept ORDER BY h, x LIMIT {clusters}) AS first
+)"""
+    ]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, min(CAST(list_inner_product(k.x, k.x) - 2 * list_inner_product(k.x, c.x) + list_inner_product(c.x, c.x) AS HUGEINT) * {clusters} + c.c) AS m
+  FROM kept k CROSS JOIN c{k} c GROUP BY r
+)""")
+        if k < rounds:
+            parts.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(n.x, c.x) AS x FROM c{k} c LEFT JOIN (
+    SELECT c, list(v ORDER BY i) AS x FROM (
+      SELECT m % {clusters} AS c, i, floor(sum(x[i]) / count(*)) AS v FROM a{k} JOIN kept USING (r), range(1, {dims + 1}) AS t(i) GROUP BY ALL) AS means GROUP BY c
+  ) n ON n.c = c.c
+)""")
+    last = f"""SELECT vec_id, CAST(m % {clusters} AS INTEGER) AS cluster, CAST(m // {clusters} AS BIGINT) AS distance,
+  CAST(sum(m // {clusters}) OVER (PARTITION BY m % {clusters}) AS BIGINT) AS cluster_inertia, CAST(sum(m // {clusters}) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.x, lambda e: CAST(CAST(e AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} c ON c.c = m % {clusters}"""
+    return ", ".join(parts) + "\n" + last
+
+
+SQL["op12_centroid_clustering"] = lloyd_sql()
