@@ -44,7 +44,7 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     return head + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, line * height, 2835, 2835, 0, 0) + rows.tobytes()
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
+def decode_netpbm(data: bytes) -> tuple[np.ndarray, int]:
     kind, fields, at = data[:2], [], 2
     while len(fields) < 3:
         while data[at : at + 1].isspace() or data[at : at + 1] == b"#":
@@ -58,13 +58,17 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if not 0 < most < 256:
         raise ValueError("only 8-bit samples")
     channels = 3 if kind in (b"P3", b"P6") else 1
+    if not 0 < width * height * channels <= len(data):
+        raise ValueError("no samples, or more than the file holds")
     if kind in (b"P5", b"P6"):
         samples = np.frombuffer(data, np.uint8, width * height * channels, at + 1)
     elif kind in (b"P2", b"P3"):
-        samples = np.array(data[at:].split()[: width * height * channels], np.uint8)
+        samples = np.array([int(v) for v in data[at:].split()[: width * height * channels]], np.int64)
     else:
         raise ValueError("not a Netpbm picture of grey or colour samples")
-    return samples.reshape((height, width, 3) if channels == 3 else (height, width))
+    if samples.min(initial=0) < 0 or samples.max(initial=0) > most:
+        raise ValueError("a sample outside the stated range")
+    return samples.astype(np.uint8).reshape((height, width, 3) if channels == 3 else (height, width)), most
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -72,6 +76,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     head, width, height, _, depth, packing, _, _, _, colours = struct.unpack_from("<IiiHHIIiiI", data, 14)
     if packing or depth not in (8, 24):
         raise ValueError("only uncompressed BMP of 8 or 24 bits")
+    if width <= 0 or not 0 < abs(height) * width <= len(data):
+        raise ValueError("no samples, or more than the file holds")
     line = -(-width * depth // 32) * 4
     rows = np.frombuffer(data, np.uint8, line * abs(height), start).reshape(abs(height), line)
     rows = rows[::-1] if height > 0 else rows
@@ -81,13 +87,20 @@ def decode_bmp(data: bytes) -> np.ndarray:
     return palette[rows[:, :width]]
 
 
+def decode_with_range(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples of a picture, and the value that stands for full brightness."""
+    return (decode_bmp(data), 255) if data[:2] == b"BM" else decode_netpbm(data)
+
+
 def decode(data: bytes) -> np.ndarray:
     """Samples of a picture as an array (height, width) or (height, width, 3)."""
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    return decode_with_range(data)[0]
 
 
-def grey(pixels: np.ndarray) -> np.ndarray:
-    return pixels.astype(np.float64) if pixels.ndim == 2 else pixels.astype(np.float64).mean(axis=2)
+def grey(pixels: np.ndarray, most: int = 255) -> np.ndarray:
+    """Brightness from 0 to 255."""
+    flat = pixels.astype(np.float64) if pixels.ndim == 2 else pixels.astype(np.float64).mean(axis=2)
+    return flat if most == 255 else flat * (255 / most)
 
 
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -105,15 +118,15 @@ def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     return (total[1:, 1:] - total[:-1, 1:] - total[1:, :-1] + total[:-1, :-1]) / area
 
 
-def difference_hash(pixels: np.ndarray, side: int = HASH_SIDE) -> str:
-    small = np.round(area_resize(grey(pixels), side, side + 1), 6)
+def difference_hash(pixels: np.ndarray, side: int = HASH_SIDE, most: int = 255) -> str:
+    small = np.round(area_resize(grey(pixels, most), side, side + 1), 6)
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
-def npy_tile(pixels: np.ndarray, side: int = TILE) -> bytes:
+def npy_tile(pixels: np.ndarray, side: int = TILE, most: int = 255) -> bytes:
     """The picture resized to a square of 8-bit grey samples, in NPY format."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.round(area_resize(grey(pixels), side, side)), 0, 255).astype(np.uint8))
+    np.save(out, np.clip(np.round(area_resize(grey(pixels, most), side, side)), 0, 255).astype(np.uint8))
     return out.getvalue()
 
 
@@ -144,7 +157,9 @@ def picture_features(media: DataFrame) -> DataFrame:
     """Add to a table with a binary column ``media``: sizes, digests, an NPY tile and its difference hash.
 
     Columns: height, width, samples (bytes of all samples), payload_sha256, tail_crc32 (of the last 16 sample bytes),
-    media_bytes, media_sha256, dhash, tile. A null picture or one that cannot be read gets nulls, never an error.
+    media_bytes, media_sha256, dhash, tile. Samples and their digest are as stored; hash and tile are scaled to 255. A null
+    picture or one that cannot be read (cut short, empty, samples out of range, sizes that the file cannot hold) gets
+    nulls, never an error.
     """
     added = T.StructType.fromDDL(
         "height int, width int, samples long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary"
@@ -158,12 +173,13 @@ def picture_features(media: DataFrame) -> DataFrame:
             return (None,) * len(names)
         stored = (len(data), hashlib.sha256(data).hexdigest())
         try:
-            pixels = decode(data)
+            pixels, most = decode_with_range(data)
             samples = pixels.tobytes()
             return (
-                *pixels.shape[:2], len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), *stored, difference_hash(pixels), npy_tile(pixels)
+                *pixels.shape[:2], len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), *stored,
+                difference_hash(pixels, most=most), npy_tile(pixels, most=most),
             )
-        except (ValueError, IndexError, struct.error):
+        except (ValueError, IndexError, OverflowError, struct.error):
             return (None, None, None, None, None, *stored, None, None)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import struct
 import zlib
 
 import numpy as np
@@ -45,6 +46,12 @@ def test_texts_come_back_from_their_pictures(spark):
 
 
 def test_unreadable_pictures_give_nulls(spark):
+    broken = [b"P2 1 1 255 300", b"P2 2 1 255 -1 4", b"P5 99999999999999999999 1 255\nab", b"P2 0 0 255\n", b"P5 0 3 255\n", b"P2 2 1 100 7 101", b"P2 1 1 255 x", b"P2 1 1 0 0"]
+    broken += [b"BM" + bytes(8) + b"\x36\0\0\0" + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, 0, 0, 0, 0, 0) + bytes(12) for w, h in ((0, 1), (1, 0), (-1, 1), (2**31 - 1, 2**31 - 1))]
+    scaled = [(50, b"P2 3 1 100\n0 50 100"), (51, b"P2 3 1 200\n0 100 200"), (52, b"P5 3 1 255\n\x00\x80\xff")]
+    other = {r.k: r for r in M.picture_features(spark.createDataFrame([*enumerate(broken), *scaled], "k int, media binary")).collect()}
+    assert all(other[k].samples is None and other[k].dhash is None and other[k].media_bytes == len(b) for k, b in enumerate(broken))
+    assert other[50].dhash == other[51].dhash and np.load(io.BytesIO(other[50].tile)).max() == 255 and (other[50].tile == other[51].tile)
     rows = [(1, None), (2, b""), (3, b"BM"), (4, b"P6\n5 5\n255\nshort"), (5, b"P6\n1 1\n255\nabc"), (6, b"garbage")]
     got = {r.k: r for r in M.picture_features(spark.createDataFrame(rows, "k int, media binary")).collect()}
     assert [k for k in got if got[k].samples is not None] == [5] and got[1].media_bytes is None and got[6].media_bytes == 7
