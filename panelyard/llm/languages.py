@@ -5,9 +5,10 @@ Every language has a codeword; one binary classifier per bit is a logistic regre
 codeword by logistic loss, each bit weighted by its accuracy in training, and the nearest codeword names the language.
 A text whose two nearest codewords are about as near is flagged.
 
-Up to six languages use the exhaustive code, more use the best of several pseudo-random codes. Training reads at most
-``rows`` documents, the same number of each language and of those the ones with the smallest hash of their id, and of
-languages the ``languages`` most frequent; their whole texts are fetched by broadcast ids. All documents are classified.
+Up to six languages use the exhaustive code, more use the best of several pseudo-random codes. Every language of a
+training document is learned. Training reads at most ``rows`` documents, the same number of each language but ``least`` of
+a language in any case, those with the smallest hash of their id (of a repeated id one text per language); their whole
+texts are fetched by broadcast ids. All documents are classified, repeated ids row by row.
 A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was learned.
 """
 
@@ -23,18 +24,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.llm.quality import held_out
-from panelyard.llm.tables import place
+from panelyard.llm.tables import PLACE_BITS, place
 from panelyard.llm.words import mix, raw_bytes, slices
+from panelyard.session import drop_staged, staged
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Codes:
-    """``rows``: bound of the training sample; ``near``: largest score gap between the best two that counts as ambiguous."""
+    """``rows``: bound of the training sample, but ``least`` of each language; ``near``: largest score gap between the
+    best two that counts as ambiguous."""
 
     rows: int = 4_000
-    languages: int = 256
+    least: int = 8
     bits: int = 12
     steps: int = 150
     rate: float = 0.5
@@ -100,7 +103,9 @@ def train(x: np.ndarray, signs: np.ndarray, p: Codes) -> tuple[np.ndarray, np.nd
 
 def decode(margins: np.ndarray, codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per row the nearest codeword by weighted logistic loss, its score, and the score of the next one."""
-    loss = np.logaddexp(0, -margins[:, None, :] * codes[None, :, :]) @ weights
+    # 1,024 rows at a time: memory stays bounded whatever the number of languages
+    parts = [np.logaddexp(0, -margins[k : k + 1024, None, :] * codes[None, :, :]) @ weights for k in range(0, max(len(margins), 1), 1024)]
+    loss = np.concatenate(parts)
     share = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
     share /= share.sum(axis=1, keepdims=True)
     best = loss.argmin(axis=1)
@@ -121,22 +126,25 @@ def fit(docs: DataFrame, p: Codes | None = None) -> Model:
     p = p or Codes()
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").alias("_lang"))
-    frequent = known.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(p.languages).toPandas()
-    names = sorted(frequent["_lang"], key=lambda s: s.encode())
+    known = staged(known.groupBy("_id", "_lang").agg(F.count("*").alias("n")).drop("n").withColumn("at", place("lang", F.col("_id"))))
+    counts = {r["_lang"]: r["n"] for r in known.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    names = sorted(counts, key=lambda s: s.encode())
     if not names:
         return Model((), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
     codes = codewords(len(names))
-    each = max(1, p.rows // len(names))
+    each = max(p.least, p.rows // len(names))
+    # a bound on the hash leaves a few more than ``each`` rows of a language, and only these are ranked
+    bounds = [(name, min(1 << PLACE_BITS, int((each + 6 * each**0.5 + 16) / n * (1 << PLACE_BITS)))) for name, n in counts.items()]
+    below = F.broadcast(docs.sparkSession.createDataFrame(bounds, "_lang string, bound long"))
     turn = F.row_number().over(Window.partitionBy("_lang").orderBy("at", "_id"))
-    # the row limit is pushed below the exchange, so a frequent language sends ``each`` rows per task
-    sample = known.where(F.col("_lang").isin(names)).withColumn("at", place("lang", F.col("_id"))).withColumn("turn", turn).where(F.col("turn") <= each)
-    ids = sample.groupBy("_id", "_lang", "at").agg(F.count("*").alias("n")).drop("n")
+    ids = known.join(below, "_lang").where(F.col("at") < F.col("bound")).withColumn("turn", turn).where(F.col("turn") <= each).select("_id", "_lang", "at")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").alias("lang"), "text").where(F.col("text").isNotNull())
-    joined = texts.join(F.broadcast(ids), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("at", "id", "lang", "text", F.lit(0).alias("all"))
+    joined = texts.join(F.broadcast(ids), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    joined = joined.groupBy("at", "id", "lang").agg(F.min("text").alias("text")).withColumn("all", F.lit(0))
     numbers = {name: k for k, name in enumerate(names)}
 
     def learn(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("at", "ascending"), ("id", "ascending"), ("lang", "ascending"), ("text", "ascending")]).slice(0, p.rows)
+        rows = rows.sort_by([("at", "ascending"), ("id", "ascending"), ("lang", "ascending")])
         texts = rows["text"].combine_chunks()
         x = np.array([line for low, high in slices(texts) for line in gram_counts(texts.slice(low, high - low), p.bits)])
         signs = codes[[numbers[name] for name in rows["lang"].to_pylist()]].astype(np.float32)
@@ -149,6 +157,7 @@ def fit(docs: DataFrame, p: Codes | None = None) -> Model:
         trust = np.frombuffer(made["trust"], "<f8")
     else:
         weights, trust = np.zeros(((1 << p.bits) + 1, 0), np.float32), np.zeros(0)
+    drop_staged(known)
     return Model(tuple(names), codes, weights, trust)
 
 
