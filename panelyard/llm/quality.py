@@ -5,8 +5,8 @@ shrink to one sign, other signs stay, and a word equal to the one before is mark
 A text's value of a feature is its share among the n-grams of that kind, so a score is a sparse dot product: the sum of
 four means of weights, whatever the length of the text.
 
-Training reads at most ``rows`` labelled documents, those with the smallest hash of their id: that many ids are
-broadcast and fetch their whole texts. The sample is split into shards; each runs FTRL-proximal updates over its
+Training reads at most ``rows`` labelled documents, those with the smallest hash of their id (of a repeated id one text
+for each of its labels): that many ids are broadcast and fetch their whole texts. The sample is split into shards; each runs FTRL-proximal updates over its
 documents, and Spark averages the shards' weights. At most 2^bits weights reach the driver. Every document is scored.
 
 A null or empty text has no features and gets the score of the intercept. Without labelled rows every score is 0.5.
@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.tables import packed, place
+from panelyard.llm.tables import packed, place, smallest
 from panelyard.llm.words import ngrams, raw_bytes, slices, span_hashes, word_spans, salts
+from panelyard.session import drop_staged, staged
 
 HELD_OUT = 5
 THRESHOLD = 0.3
@@ -133,18 +134,21 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl | None = None) -> np.ndarray
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long").alias("_id"), (F.col("quality") > 0).cast("int").alias("y"))
     # at most ``rows`` pairs of numbers: small enough to broadcast at any size of the tables
-    sample = known.withColumn("at", place("quality", F.col("_id"))).orderBy("at", "_id", "y").limit(p.rows)
+    known = staged(known.distinct().withColumn("at", place("quality", F.col("_id"))))
+    sample = smallest(known, known.count(), p.rows, "at", "_id", "y")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    joined = texts.join(F.broadcast(sample), F.col("id") == F.col("_id")).select("at", "id", "y", "text", F.pmod("at", F.lit(p.shards)).alias("shard"))
+    joined = texts.join(F.broadcast(sample), F.col("id") == F.col("_id")).groupBy("at", "id", "y").agg(F.min("text").alias("text"))
+    joined = joined.withColumn("shard", F.pmod("at", F.lit(p.shards)))
 
     def learn(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("at", "ascending"), ("id", "ascending"), ("y", "ascending"), ("text", "ascending")])
+        rows = rows.sort_by([("at", "ascending"), ("id", "ascending"), ("y", "ascending")])
         weights = train(rows["text"].combine_chunks(), rows["y"].to_numpy(), p)
         at = np.union1d(np.flatnonzero(weights), [1 << p.bits])
         return pa.table({"feature": pa.array(at, pa.int64()), "weight": weights[at]})
 
     learned = joined.groupBy("shard").applyInArrow(learn, "feature long, weight double")
     summed = learned.groupBy("feature").agg(F.sum("weight").alias("weight"), F.count("*").alias("shards")).toPandas()
+    drop_staged(known)
     weights = np.zeros((1 << p.bits) + 1)
     if len(summed):
         # every shard sends the intercept, so its count is the number of shards that had rows

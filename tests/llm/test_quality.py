@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -69,3 +70,53 @@ def test_without_labels_or_documents(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count()
     empty = documents(spark, [])
     assert Q.good_documents(empty, label_table(spark, [(1, 1, 0), (None, 1, 0), (2, None, 0)]), SMALL).count() == 0
+
+
+def plain_train(rows, labels, p):
+    """The same updates, one coordinate at a time, on dictionaries."""
+    z, n = {}, {}
+
+    def weight(f):
+        pull = z.get(f, 0.0)
+        if abs(pull) <= p.l1:
+            return 0.0
+        return -(pull - math.copysign(p.l1, pull)) / ((p.beta + math.sqrt(n.get(f, 0.0))) / p.alpha + p.l2)
+
+    for epoch in range(p.epochs):
+        for r in np.random.default_rng(epoch).permutation(len(rows)):
+            found = dict(zip(rows[r][0].tolist(), rows[r][1].tolist(), strict=True))
+            w = {f: weight(f) for f in found}
+            error = 1 / (1 + math.exp(-sum(w[f] * x for f, x in found.items()))) - labels[r]
+            for f, x in found.items():
+                before, g = n.get(f, 0.0), error * x
+                n[f] = before + g * g
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(n[f]) - math.sqrt(before)) / p.alpha * w[f]
+    return {f: weight(f) for f in z}
+
+
+def test_training_equals_plain_updates():
+    rows, labels = corpus(40)
+    p = Q.Ftrl(bits=12, epochs=3, l1=1e-3)
+    texts, y = pa.array([t for _, t, _, _ in rows] + ["", None]), np.array([q for _, q, _ in labels] + [1, 0])
+    got = Q.train(texts, y, p)
+    want = plain_train(list(Q.rows_of(texts, p.bits)), y, p)
+    assert set(np.flatnonzero(got)) <= set(want)
+    for f, w in want.items():
+        assert got[f] == pytest.approx(w, abs=1e-9)
+
+
+def test_features_are_shares_of_words_and_pairs():
+    texts = ["a b a", "Tall x1 tall", "", "one"]
+    for text, (_, x) in zip(texts, Q.rows_of(pa.array(texts), 20), strict=True):
+        kinds = (len(text.split()) > 0) * 2 + (len(text.split()) > 1) * 2
+        assert x.sum() == pytest.approx(1 + kinds)
+    (at, x), (same, y) = Q.rows_of(pa.array(["a b a b", "a b a b a b a b"]), 20)
+    assert len(at) == len(same)
+
+
+def test_a_repeated_id_teaches_one_text_per_label(spark):
+    rows, labels = corpus(60)
+    extra = [(1, "zz " + rows[1][1], "en", "s")] * 30
+    docs = documents(spark, rows + extra)
+    one = Q.fit(documents(spark, rows), label_table(spark, labels), SMALL)
+    assert (one == Q.fit(docs, label_table(spark, labels + labels), SMALL)).all()
