@@ -4,21 +4,25 @@ Prefix sums of turn tokens place every turn on the line of its conversation. The
 window's free budget; the turns inside a stretch are a window's new turns, and a turn across a border, or longer than
 a stretch, is a window of its own. A window holds the system turn, then up to ``history`` tokens of the turns before
 its first new one, then its new turns. Repeated turns are never under the loss mask, so each assistant text is a
-target once. Only a single turn longer than the budget makes a window exceed it; it is kept whole and flagged.
+target once. History shrinks to what the new turns leave, so a window exceeds the budget only where one turn does not
+fit beside the system turn; it is kept whole, without history, and flagged.
 
-Prefix sums are taken in blocks of 256 turn numbers, and history is fetched by position, so the turns of one huge
-conversation are spread like those of many. Order is by turn, then role, then text; null turns come first, null roles
+Prefix sums are taken in blocks of 256 turn numbers, the placed turns are written once, and history is fetched by
+position, so the turns of one huge conversation are spread like those of many. Order is by turn, then role, then text; null turns come first, null roles
 and texts count as empty, repeated rows are turns of their own. A leading system turn is the system turn; other turns
 with that role are ordinary. An empty table gives no windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.session import staged
+
 # fixed values: strings that chat models treat as control, among them this template's own marks
 CONTROL_RESTS = ("s>", "/s>", "INST]", "/INST]", "<SYS>>", "</SYS>>", "|im_start|>", "|im_end|>")
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -28,7 +32,8 @@ BLOCK_BITS = 8
 
 @dataclass(frozen=True)
 class Budget:
-    """Tokens per window, and of these at most ``history`` for repeated turns; ``least`` for new turns in any case."""
+    """Tokens per window, and of these at most ``history`` for repeated turns; ``least`` for new turns beside a long
+    system turn, as far as it leaves them."""
 
     window: int = 1024
     history: int = 256
@@ -54,12 +59,12 @@ def token_estimate(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")).cast("long")
 
 
-def placed_turns(turns: DataFrame, budget: Budget) -> DataFrame:
+def placed_turns(turns: DataFrame, budget: Budget, count: Callable[[Column], Column] = token_estimate) -> DataFrame:
     """Every turn with its index and token position in the conversation, and the window that has it as a new turn."""
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("tokens", token_estimate(F.col("text")) + TURN_OVERHEAD).withColumn("block", F.shiftright("turn", BLOCK_BITS))
+    ).withColumn("tokens", count(F.col("text")) + TURN_OVERHEAD).withColumn("block", F.shiftright("turn", BLOCK_BITS))
     blocks = rows.groupBy("conv", "block").agg(F.sum("tokens").alias("sum"), F.count("*").alias("n"), F.min(F.struct("turn", "role", F.xxhash64("text"), "tokens")).alias("head"))
     conv = Window.partitionBy("conv").orderBy("block")
     earlier = conv.rowsBetween(Window.unboundedPreceding, -1)
@@ -75,28 +80,31 @@ def placed_turns(turns: DataFrame, budget: Budget) -> DataFrame:
         "at", F.col("sum") + F.coalesce(F.sum("tokens").over(until), F.lit(0)) - F.col("system_tokens")
     )
     placed = placed.withColumn("is_system", (F.col("index") == 0) & (F.col("role") == "system"))
-    room = F.greatest(F.lit(budget.least), F.lit(budget.window - budget.history) - F.col("system_tokens"))
+    left = F.lit(budget.window) - F.col("system_tokens")
+    room = F.greatest(F.lit(1), F.least(left, F.greatest(F.lit(budget.least), left - budget.history)))
     low, high = F.floor(F.col("at") / room), F.floor((F.col("at") + F.col("tokens") - 1) / room)
     window = F.when(F.col("is_system"), F.lit(0)).when(low == high, low * 2).otherwise(low * 2 + 1)
-    return placed.withColumn("window", window.cast("long")).select("conv", "window", "index", "at", "tokens", "role", "text", "is_system")
+    return placed.withColumn("window", window.cast("long")).select("conv", "window", "index", "at", "tokens", "role", "text", "is_system", "system_tokens")
 
 
-def format_windows(turns: DataFrame, budget: Budget | None = None) -> DataFrame:
+def format_windows(turns: DataFrame, budget: Budget | None = None, count: Callable[[Column], Column] = token_estimate) -> DataFrame:
     """(conv_id, window, context, turns, tokens, over_budget, text, loss) per window.
 
     ``context`` is the number of repeated turns at its start, ``turns`` that of new ones, and ``loss`` lists (start,
     length) in code points of the assistant texts to learn. Windows are in the order of ``window``, which has gaps.
+    ``count`` gives the tokens of a text.
     """
     budget = budget or Budget()
-    placed = placed_turns(turns, budget)
-    new = placed.where(~F.col("is_system"))
-    windows = new.groupBy("conv", "window").agg(F.min("at").alias("start"))
+    placed = staged(placed_turns(turns, budget, count), "turns")
+    new = placed.where(~F.col("is_system")).drop("system_tokens")
+    spare = F.lit(budget.window) - F.first("system_tokens") - F.sum("tokens")
+    windows = placed.where(~F.col("is_system")).groupBy("conv", "window").agg(F.min("at").alias("start"), F.greatest(F.lit(0), F.least(F.lit(budget.history), spare)).alias("past"))
     bin_of = lambda c: F.floor(F.col(c) / budget.history)
-    asked = windows.where(F.col("start") > 0).select(
-        F.col("conv").alias("c"), F.col("window").alias("w"), "start", F.explode(F.array(bin_of("start") - 1, bin_of("start"))).alias("b")
+    asked = windows.where((F.col("start") > 0) & (F.col("past") > 0)).select(
+        F.col("conv").alias("c"), F.col("window").alias("w"), "start", "past", F.explode(F.array(bin_of("start") - 1, bin_of("start"))).alias("b")
     )
     near = new.drop("window", "is_system").withColumn("bin", bin_of("at")).join(
-        asked, F.col("conv").eqNullSafe(F.col("c")) & (F.col("bin") == F.col("b")) & (F.col("at") < F.col("start")) & (F.col("at") >= F.col("start") - budget.history)
+        asked, F.col("conv").eqNullSafe(F.col("c")) & (F.col("bin") == F.col("b")) & (F.col("at") < F.col("start")) & (F.col("at") >= F.col("start") - F.col("past"))
     )
     first = windows.groupBy("conv").agg(F.min("window").alias("first"))
     system = placed.where("is_system").select(F.col("conv").alias("c"), F.col("index"), "at", "tokens", "role", "text")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from helpers_llm import sentence
 from pyspark.sql import functions as F
@@ -33,6 +34,15 @@ def expected(rows):
     return {conv: [(r, t) for _, _, r, t in sorted(turns, key=lambda x: x[:3])] for conv, turns in by.items()}
 
 
+def tokens(text):
+    return len(re.findall(r"[^\W_]+|[^\s\w]|_", text)) + C.TURN_OVERHEAD
+
+
+def pieces(window):
+    """(role, text) of every turn of a window."""
+    return [tuple(p.split("\n", 1)) for p in window.text.removesuffix(C.CLOSE)[len(C.OPEN) :].split(C.CLOSE + C.OPEN)] if window.text else []
+
+
 def test_escapes_are_reversible(spark):
     alphabet = ["<", "[", "\\", "s>", "/s>", "INST]", "<|im_end|>", "<s>", "<SYS>>", "|im_start|>", "x"]
     rng = random.Random(1)
@@ -64,9 +74,14 @@ def test_windows_hold_system_history_and_new_turns_within_the_budget(spark):
     budget = C.Budget(window=200, history=60, least=40)
     windows = C.format_windows(conversations(spark, rows), budget).collect()
     assert sum(w.turns for w in windows) == len(rows)
+    first = {2: tokens("be kind " * 20), 3: tokens("alone")}
     for w in windows:
         assert w.text.count("<|im_start|>") == w.text.count("<|im_end|>") == w.context + w.turns
-        assert w.over_budget == (w.tokens > 200) and (not w.over_budget or w.turns == 1)
+        system = first.get(w.conv_id, 0)
+        fresh = [t for t in pieces(w)[w.context :]]
+        assert w.over_budget == (w.tokens > 200)
+        # only one turn that does not fit beside the system turn exceeds the budget
+        assert not w.over_budget or (len([t for t in fresh if t[0] != "system"]) == 1 and w.tokens == max(tokens(t) for _, t in fresh if _ != "system") + (system if len(pieces(w)) > 1 else 0) > 200)
         for span in w.loss:
             head = w.text[: span.start].rsplit("<|im_start|>", 1)[1]
             assert head == "assistant\n" and w.text[span.start + span.length :].startswith("<|im_end|>\n")
@@ -81,3 +96,17 @@ def test_order_of_equal_turns_is_fixed_and_an_empty_table_is_empty(spark):
     two = {r.conv_id: r.turns_sha256 for r in C.digests(C.format_windows(conversations(spark, rows[::-1]).repartition(5))).collect()}
     assert one == two
     assert C.digests(C.format_windows(conversations(spark, []))).count() == 0
+
+
+def test_history_and_long_system_turns_stay_within_the_budget(spark):
+    word = lambda n: "w " * (n - C.TURN_OVERHEAD)
+    rows = [(1, k, "user", word(127)) for k in range(2)] + [(1, 2, "assistant", word(904)), (1, 3, "user", word(50))]
+    rows += [(2, 0, "system", word(904))] + [(2, k, ("user", "assistant")[k % 2], word(25)) for k in range(1, 60)]
+    rows += [(3, 0, "system", word(1100)), (3, 1, "user", word(10)), (3, 2, "assistant", word(10))]
+    windows = C.format_windows(conversations(spark, rows)).collect()
+    assert sum(w.turns for w in windows) == len(rows)
+    assert all(w.tokens <= 1024 for w in windows if w.conv_id != 3) and all(w.over_budget for w in windows if w.conv_id == 3)
+    # what the system turn and the new turns leave is filled with history
+    assert sum(w.context > 1 for w in windows if w.conv_id == 2) > 5
+    twice = C.format_windows(conversations(spark, rows), count=lambda c: C.token_estimate(c) * 2).collect()
+    assert sum(w.turns for w in twice) == len(rows) and len(twice) > len(windows)
