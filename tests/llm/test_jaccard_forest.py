@@ -66,17 +66,6 @@ def test_empty_table(spark):
     assert J.one_per_class(empty).count() == 0
 
 
-def test_one_document_of_each_class_stays(spark):
-    rows = awkward()
-    docs = documents(spark, rows)
-    kept = J.one_per_class(docs)
-    assert kept.columns == docs.columns
-    want = brute_force(rows)
-    assert Counter(r.doc_id for r in kept.collect()) == Counter({c for c, _ in want.values() if c is not None} | ({None} if any(c is None for c, _ in want.values()) else set())) + Counter(
-        [None] * 0
-    )
-
-
 def test_one_text_of_each_class_stays_whatever_the_ids(spark):
     rng = random.Random(21)
     base = sentence(rng, 60).split()
