@@ -5,8 +5,9 @@ The eight masks of six words meet every stretch of 12, 16 or 20 words in which a
 these are. An overlap of any length from 12 words on in which three quarters agree holds such a stretch: it can be cut
 into parts of 12 to 23 words, in one of which three quarters agree. So no overlap escapes verification.
 Masked windows of the benchmark items and of the documents are hashed and joined. The hashes of the documents are
-never shuffled as a whole: a Bloom bitmap of fixed size, built by Spark from the items, lets through the windows that
-may hit. Neighbouring windows that pass become one segment of a document, with its word hashes and some words around.
+never shuffled as a whole: a Bloom bitmap, sized by the number of item windows and built by Spark, lets through the
+windows that may hit. Neighbouring windows that pass become one segment of a document, with its word hashes and as many
+words on both sides as the longest item has, so every alignment of an item with a hit lies inside the hit's segment.
 The segments' hashes join the items' exactly, and each (segment, item, alignment) that meets is verified: the longest
 stretch of the alignment in which enough words agree has to reach ``least`` words.
 
@@ -35,6 +36,7 @@ from panelyard.session import staged
 @dataclass(frozen=True)
 class Seeds:
     """``masks``: positions that count, 1, or are ignored, 0; zeros at the end are padding. ``share``: words that have to agree in the overlap.
+    ``bitmap_bits``: smallest and largest bitmap, as powers of two; a fuller one lets more windows through to the exact join.
 
     The masks belong to ``least`` and ``share``: others need masks that meet their patterns.
     """
@@ -44,8 +46,7 @@ class Seeds:
     )
     least: int = 12
     share: float = 0.75
-    around: int = 64
-    bitmap_bits: int = 1 << 24
+    bitmap_bits: tuple[int, int] = (24, 28)
 
     @property
     def span(self) -> int:
@@ -111,8 +112,13 @@ def word_lists(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), "text").mapInArrow(scan, "item_id long, item_words array<long>")
 
 
+def bitmap_size(windows: int, limits: tuple[int, int]) -> int:
+    """Sixteen bits for each window of an item, within the limits."""
+    return 1 << min(max((16 * windows).bit_length(), limits[0]), limits[1])
+
+
 def bitmap(seeds_of_items: DataFrame, bits: int) -> bytes:
-    """Two bits per seed in a bitmap of fixed size: set words are aggregated by Spark, at most bits / 64 of them."""
+    """Two bits per seed in a bitmap of ``bits``: set words are aggregated by Spark, at most bits / 64 of them."""
     spots = F.explode(F.array(F.pmod("seed", F.lit(bits)), F.pmod(F.shiftright("seed", 32), F.lit(bits))))
     marked = seeds_of_items.select(spots.alias("spot")).select(F.floor(F.col("spot") / 64).alias("word"), F.pmod("spot", F.lit(64)).cast("int").alias("bit"))
     lines = marked.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask"))
@@ -126,10 +132,10 @@ def id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
-def segments(docs: DataFrame, shared: bytes, seeds: Seeds) -> DataFrame:
-    """(doc_id, segment, words, hits) for each stretch of a document whose windows pass the bitmap."""
+def segments(docs: DataFrame, shared: bytes, seeds: Seeds, around: int) -> DataFrame:
+    """(doc_id, start, words, hits) for each stretch of a document whose windows pass the bitmap, and ``around`` words on both sides."""
     held = docs.sparkSession.sparkContext.broadcast(shared)
-    bits, span, around = seeds.bitmap_bits, seeds.span, seeds.around
+    bits, span = len(shared) * 8, seeds.span
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little").view(bool)
@@ -198,7 +204,9 @@ def overlaps(docs: DataFrame, items: DataFrame, seeds: Seeds | None = None) -> D
 def verified(docs: DataFrame, items: DataFrame, seeds: Seeds) -> DataFrame:
     """``overlaps`` for a ``doc_id`` of any type; rows with the same one are one document."""
     item_hits = staged(item_seeds(items, seeds), "seeds")
-    found = staged(segments(docs, bitmap(item_hits, seeds.bitmap_bits), seeds), "segments")
+    lists = staged(word_lists(items), "items")
+    windows, around = item_hits.count(), lists.agg(F.max(F.size("item_words"))).first()[0] or 0
+    found = staged(segments(docs, bitmap(item_hits, bitmap_size(windows, seeds.bitmap_bits)), seeds, around), "segments")
     found = found.withColumn("segment", F.xxhash64("doc_id", "start", "words"))
     hits = found.select("doc_id", "segment", "start", F.explode("hits").alias("hit")).select("doc_id", "segment", "start", "hit.seed", F.col("hit.at").alias("here"))
     lines = hits.join(item_hits, "seed").select("doc_id", "segment", "start", "item_id", (F.col("here") - F.col("at")).alias("shift")).distinct()
@@ -206,7 +214,7 @@ def verified(docs: DataFrame, items: DataFrame, seeds: Seeds) -> DataFrame:
     bodies = found.groupBy("doc_id", "segment", "start").agg(F.first("words").alias("words"))
     same = asked["doc_id"].eqNullSafe(bodies["doc_id"]) & (asked["segment"] == bodies["segment"]) & (asked["start"] == bodies["start"])
     pairs = asked.join(bodies, same).select(asked["doc_id"], asked["start"], "item_id", "shifts", "words")
-    whole = word_lists(items).withColumnRenamed("item_id", "_item")
+    whole = lists.withColumnRenamed("item_id", "_item")
     pairs = pairs.join(whole, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
     least, share = seeds.least, seeds.share
 

@@ -112,3 +112,35 @@ def test_empty_tables(spark):
     assert D.overlaps(documents(spark, []), bench).count() == 0
     docs = documents(spark, awkward())
     assert D.clean_documents(docs, items(spark, [])).count() == docs.count()
+
+
+def longest_overlap(doc, item, seeds):
+    """Longest stretch of any alignment, by going through all of them."""
+    best = (0, 0, 0, 0)
+    for shift in range(-len(item) + 1, len(doc)):
+        a, b = max(shift, 0), min(shift + len(item), len(doc))
+        agree = np.array([doc[k] == item[k - shift] for k in range(a, b)], float)
+        low, high = D.best_stretch(agree, seeds.share)
+        best = max(best, (high - low, int(agree[low:high].sum()), -(a + low), shift - (a + low)))
+    return best[0], best[1], -best[2], -best[3]
+
+
+def test_extents_of_long_overlaps_equal_brute_force(spark):
+    rng = random.Random(31)
+    seeds = D.Seeds()
+    bench, rows, want = [], [], {}
+    for k, (length, gap) in enumerate([(1000, (200, 350)), (700, (300, 380)), (150, (60, 75)), (400, (0, 0)), (90, (20, 24))]):
+        words = [f"q{k}w{p}" for p in range(length)]
+        bench.append((k, " ".join(words), 1))
+        body = [f"gap{p}" if gap[0] <= p < gap[1] else w for p, w in enumerate(words)]
+        for e, (front, back) in enumerate([(0, 0), (300, 0), (37, 500)]):
+            text = [f"f{rng.random()}" for _ in range(front)] + body + [f"b{rng.random()}" for _ in range(back)]
+            rows.append((10 * k + e, " ".join(text), "en", "s"))
+            want[10 * k + e, k] = longest_overlap(text, words, seeds)
+    found = {(r.doc_id, r.item_id): (r.words, r.agreeing, r.doc_start, r.item_start) for r in D.overlaps(documents(spark, rows), items(spark, bench), seeds).collect()}
+    assert found == want and want[0, 0][0] == 1000
+
+
+def test_the_bitmap_grows_with_the_items():
+    assert D.bitmap_size(0, (24, 28)) == D.bitmap_size(1000, (24, 28)) == 1 << 24
+    assert D.bitmap_size(3 << 20, (24, 28)) == 1 << 26 and D.bitmap_size(1 << 40, (24, 28)) == 1 << 28

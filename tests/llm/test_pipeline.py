@@ -125,7 +125,7 @@ def test_an_empty_table_passes_through(spark, folder, tmp_path):
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got = Q.QUERIES[name](spark, DATA).toPandas()
     want = con.execute(Q.SQL[name]).df()
