@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm.tables import add_totals, packed, place, range_bits, range_offsets
+from panelyard.llm.tables import add_totals, packed, place, range_bits, range_offsets, text_key
 from panelyard.session import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,7 +32,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     Sources by code point, null last, take the weights in turn. The targets share ``share`` of all words by weight;
     none exceeds ``cap`` times its source. Resharing an excess until none is left ends where every open source gets
     the same words per weight, so it is solved at once: with sources ordered by cap per weight, a prefix of them is at
-    the cap. The windows run over sources, not documents.
+    the cap. The windows run over sources, not documents: one task holds a row per source.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 def measures() -> list[Column]:
     return [
         F.col("doc_id").cast("long").alias("_doc"), F.col("source").alias("_source"), words(F.col("text")).alias("_size"),
-        place("mix", F.col("doc_id")).alias("_at"),
+        place("mix", F.col("doc_id"), text_key()).alias("_at"),
     ]
 
 
@@ -66,7 +66,8 @@ def mix(
     A document is taken ``_times`` times as a whole and then once more for its first ``_part`` words: the one at the
     cut of its source fills the budget exactly. Without ``cut_documents`` it is taken once more as a whole if at least
     half of it fits, and ``_part`` is 0. A null text has no words and is never taken. Repeated rows and null ids are
-    documents of their own; an empty table gives no rows.
+    documents of their own; an empty table gives no rows. The place of a document comes from its id and its text, so many
+    texts under one id, or without one, are spread like others.
     """
     sizes = staged(docs.select(*measures()), "sizes")
     targets = staged(source_targets(sizes.select(F.col("_source").alias("source"), F.col("_size").alias("size")), weights, share, cap), "targets")

@@ -88,7 +88,7 @@ def measures(docs: DataFrame) -> list[Column]:
     text = F.coalesce(F.col("text"), F.lit(""))
     return [
         text_key().alias("_key"), text_bytes(F.col("text")).alias("_size"), F.crc32(text.cast("binary")).alias("_crc"),
-        F.col("doc_id").cast("long").alias("_doc"), place("slot", F.col("doc_id")).alias("_at"), F.lit(1).alias("_one"),
+        F.col("doc_id").cast("long").alias("_doc"), place("slot", F.col("doc_id"), text_key()).alias("_at"), F.lit(1).alias("_one"),
     ]
 
 
@@ -96,7 +96,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, whole: bool = True) -> Da
     """(_row, _key, _size, _crc, _doc, _shard, _slot) per document; ``_row`` holds the input row, if ``whole``.
 
     Documents of equal text stay together. The size of a document is its UTF-8 bytes plus 1; a null text counts as
-    empty. ``_slot`` numbers the documents of a shard from 0 without gaps, in an order fixed by a hash of doc_id; equal
+    empty. ``_slot`` numbers the documents of a shard from 0 without gaps, in an order fixed by a hash of doc_id and text; equal
     rows are interchangeable. An empty table gives no rows.
     """
     sizes = staged(docs.select(*measures(docs)), "sizes")

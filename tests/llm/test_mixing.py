@@ -5,6 +5,8 @@ import pytest
 from helpers_llm import awkward, documents
 
 from panelyard.llm import mixing as M
+from panelyard.llm import shards as S
+from panelyard.llm.tables import with_range
 
 
 def expected_targets(sizes):
@@ -49,3 +51,12 @@ def test_documents_are_taken_whole_and_repeated(spark):
     out = M.mixed_documents(docs)
     assert out.columns == docs.columns and out.count() == sum(r._times for r in plan) and all(r._part == 0 for r in plan)
     assert M.mixed_documents(documents(spark, [])).count() == 0
+
+
+def test_many_texts_without_an_id_spread_over_the_ranges(spark):
+    rows = [(None if k % 3 == 0 else k, f"text {k} " * (k % 7), "en", "s") for k in range(30_000)]
+    docs = documents(spark, rows)
+    for measured in (docs.select(*M.measures()), docs.select(*S.measures(docs))):
+        parts = with_range(measured, "_at", 4).groupBy("_range").count().collect()
+        # texts of a zero count are equal and share a place, a seventh of those without an id
+        assert len(parts) == 16 and max(r["count"] for r in parts) < 30_000 / 21 + 2.5 * 30_000 / 16

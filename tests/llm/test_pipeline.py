@@ -92,7 +92,8 @@ def mixed(rows):
     for s in order:
         before, budget = 0, int(target[s])
         epochs = budget // total[s] if total[s] else 0
-        spot = lambda r: hashlib.md5(f"mix|{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:15]
+        text = lambda r: hashlib.md5((r[1] or "").encode()).hexdigest()
+        spot = lambda r: hashlib.md5(f"mix|{'null' if r[0] is None else r[0]}|{text(r)}".encode()).hexdigest()[:15]
         for r in sorted((r for r in rows if r[2] == s), key=lambda r: (spot(r), size[r])):
             part = max(0, min(size[r], budget - epochs * total[s] - before))
             before += size[r]
