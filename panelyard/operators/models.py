@@ -1,8 +1,4 @@
-"""Forecasters, activity and archetype classifiers on Spark ML.
-
-Boosted trees on the log target stand in for quantile boosting: the trees minimise absolute error and the
-wanted quantile of the training residuals is added afterwards.
-"""
+"""Forecasters by joint quantile boosting; activity and archetype classifiers on Spark ML."""
 
 from __future__ import annotations
 
@@ -11,16 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from panelyard.functions.capacity import forecast_invert, hurdle_dampen
 from panelyard.operators import evaluate as E
-from panelyard.operators.scale import exact_quantiles
+from panelyard.operators.boost import Arm, Booster, TreeParams, fit_many, predict
 from panelyard.session import staged
 
 CATEGORIES = ("province", "region", "district")
@@ -34,19 +29,9 @@ ACTIVITY_FEATURES = (
 )
 QUANTILE = 0.55
 PROBABILITY_CLIP = (0.001, 0.999)
-CATEGORY_SMOOTHING = 20.0
 OTHER_ARCHETYPE = 6
 
 
-@dataclass(frozen=True)
-class TreeParams:
-    trees: int = 40
-    depth: int = 6
-    step: float = 0.1
-    subsample: float = 0.8
-    bins: int = 64
-
-
 def numeric_features(df: DataFrame, wanted: Sequence[str] | None = None) -> list[str]:
     """Numeric inputs, in schema order; ``wanted`` narrows them to those present."""
     usable = {n for n, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint")}
@@ -59,20 +44,11 @@ def ready(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns(finite).withColumns({f"{c}__m": F.col(c).isNull().cast("double") for c in features})
 
 
-def inputs(features: Sequence[str], categories: Sequence[str], label: str, missing: Sequence[str] = ()) -> list:
-    """Imputed features, flags of the ``missing`` ones, and categories as shrunken label means: any cardinality, no bins."""
+def inputs(features: Sequence[str], missing: Sequence[str] = ()) -> list:
+    """Imputed features and flags of the ``missing`` ones."""
     filled = [f"{c}__f" for c in features]
-    stages = [Imputer(strategy="mean", inputCols=list(features), outputCols=filled)]
-    stages += [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep") for c in categories]
-    if categories:
-        stages.append(
-            TargetEncoder(
-                inputCols=[f"{c}__i" for c in categories], outputCols=[f"{c}__t" for c in categories], labelCol=label, targetType="continuous",
-                smoothing=CATEGORY_SMOOTHING, handleInvalid="keep",
-            )
-        )
-    columns = filled + [f"{c}__t" for c in categories] + [f"{c}__m" for c in missing]
-    return [*stages, VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")]
+    columns = filled + [f"{c}__m" for c in missing]
+    return [Imputer(strategy="mean", inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")]
 
 
 def sometimes_missing(train: DataFrame, features: Sequence[str]) -> list[str]:
@@ -87,42 +63,15 @@ def usable_features(train: DataFrame, features: Sequence[str]) -> list[str]:
     return [c for c in features if counts[c]]
 
 
-@dataclass(frozen=True)
-class Forecaster:
-    model: PipelineModel
-    features: tuple[str, ...]
-    shift: float
-    categories: tuple[str, ...] = ()
-    missing: tuple[str, ...] = ()
-
-    def predict(self, rows: DataFrame, name: str = "pred") -> DataFrame:
-        out = self.model.transform(ready(rows, self.features))
-        clipped = F.greatest(F.col("prediction") + self.shift, F.lit(0.0))
-        return out.withColumn(name, clipped).select(*rows.columns, name)
-
-    def importances(self) -> dict[str, float]:
-        tree = self.model.stages[-1]
-        names = [*self.features, *self.categories, *[f"{c} missing" for c in self.missing]]
-        return dict(sorted(zip(names, tree.featureImportances.toArray()), key=lambda kv: (-kv[1], kv[0])))
+Forecaster = Booster
 
 
 def fit_forecaster(
     train: DataFrame, features: Sequence[str], seed: int = 42, params: TreeParams = TreeParams(),
     quantile: float = QUANTILE, categories: Sequence[str] = (),
 ) -> Forecaster:
-    """Gradient-boosted trees on ``log_value`` shifted to the wanted residual quantile."""
-    held = ready(train, features).where("log_value IS NOT NULL").persist(StorageLevel.MEMORY_AND_DISK)
-    names = usable_features(held, features)
-    tree = GBTRegressor(
-        labelCol="log_value", featuresCol="features", lossType="absolute", maxIter=params.trees, maxDepth=params.depth,
-        stepSize=params.step, subsamplingRate=params.subsample, seed=seed, maxBins=params.bins,
-    )
-    missing = sometimes_missing(held, names)
-    model = Pipeline(stages=[*inputs(names, categories, "log_value", missing), tree]).fit(held)
-    scored = model.transform(held).select((F.col("log_value") - F.col("prediction")).alias("r"))
-    shift = exact_quantiles(scored, [], "r", {"q": quantile}).first()["q"]
-    held.unpersist()
-    return Forecaster(model, tuple(names), float(shift), tuple(categories), tuple(missing))
+    """Trees boosted on the pinball loss of ``log_value``."""
+    return fit_many(train, [Arm("model", tuple(features), params, seed, quantile)], categories=categories)["model"]
 
 
 @dataclass(frozen=True)
@@ -146,7 +95,7 @@ def fit_activity(train: DataFrame, seed: int = 42, params: TreeParams = TreePara
         labelCol="label", featuresCol="features", maxIter=params.trees, maxDepth=params.depth, stepSize=params.step,
         subsamplingRate=params.subsample, seed=seed, maxBins=params.bins,
     )
-    model = Pipeline(stages=[*inputs(names, (), "label", sometimes_missing(held, names)), tree]).fit(held)
+    model = Pipeline(stages=[*inputs(names, sometimes_missing(held, names)), tree]).fit(held)
     held.unpersist()
     return ActivityClassifier(model, tuple(names))
 
@@ -158,7 +107,7 @@ def fit_archetype(train: DataFrame, features: Sequence[str], label: str = "arche
         subsamplingRate=params.subsample, seed=seed, maxBins=params.bins,
     )
     rows = ready(train, features).withColumn("label", F.coalesce(label, F.lit(OTHER_ARCHETYPE)) - 1.0)
-    return Pipeline(stages=[*inputs(features, (), "label", sometimes_missing(rows, features)), forest]).fit(rows)
+    return Pipeline(stages=[*inputs(features, sometimes_missing(rows, features)), forest]).fit(rows)
 
 
 def predict_archetype(model: PipelineModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -170,77 +119,83 @@ def predict_archetype(model: PipelineModel, rows: DataFrame, features: Sequence[
 
 def ensemble(
     train: DataFrame, rows: DataFrame, features: Sequence[str], seeds: Mapping[str, Sequence[int]],
-    variants: Mapping[str, TreeParams], keys: Sequence[str],
+    variants: Mapping[str, TreeParams], keys: Sequence[str], categories: Sequence[str] = (),
 ) -> DataFrame:
-    """Long predictions (keys, model, seed, pred) of every variant and seed; both are short lists."""
-    out = None
-    for name, params in variants.items():
-        for seed in seeds[name]:
-            part = fit_forecaster(train, features, seed, params).predict(rows)
-            part = part.select(*keys, F.lit(name).alias("model"), F.lit(seed).alias("seed"), "pred")
-            out = part if out is None else out.unionByName(part)
-    return out
+    """Long predictions (keys, model, seed, pred) of every variant and seed, all fitted together; both are short lists."""
+    members = [(name, seed) for name in variants for seed in seeds[name]]
+    arms = [Arm(f"_m{k}", tuple(features), variants[name], seed) for k, (name, seed) in enumerate(members)]
+    scored = predict(rows, fit_many(train, arms, categories=categories))
+    each = [F.struct(F.lit(name).alias("model"), F.lit(seed).alias("seed"), F.col(f"_m{k}").alias("pred")) for k, (name, seed) in enumerate(members)]
+    return scored.select(*keys, F.explode(F.array(*each)).alias("_p")).select(*keys, "_p.*")
 
 
-def hurdle_forecast(train: DataFrame, rows: DataFrame, features: Sequence[str], params: TreeParams = TreeParams(), seed: int = 42) -> DataFrame:
+def hurdle_forecast(
+    train: DataFrame, rows: DataFrame, features: Sequence[str], params: TreeParams = TreeParams(), seed: int = 42, categories: Sequence[str] = ()
+) -> DataFrame:
     """Regression and activity models combined: pred_raw, p_active and pred."""
-    scored = fit_forecaster(train, features, seed, params).predict(rows, "pred_raw")
+    scored = fit_forecaster(train, features, seed, params, categories=categories).predict(rows, "pred_raw")
     scored = fit_activity(train, seed, params).predict(scored)
     damped = hurdle_dampen(F.col("pred_raw"), F.col("p_active"), F.col("seen").cast("boolean"))
     return scored.withColumn("pred", damped).withColumn("forecast", forecast_invert(F.col("pred")))
 
 
-def rank_features(train: DataFrame, valid: DataFrame, features: Sequence[str], drops: Sequence[int], params: TreeParams = TreeParams(), seed: int = 42) -> DataFrame:
-    """Refit without the least important features: columns dropped, kept, rmsle. ``drops`` is a short list."""
-    full = fit_forecaster(train, features, seed, params)
-    ranked = [f for f in full.importances() if f in full.features]
-    out = None
-    for count in drops:
-        kept = ranked[: max(1, len(ranked) - count)]
-        model = full if count == 0 else fit_forecaster(train, kept, seed, params)
-        scored = model.predict(valid).withColumn("y", F.col("log_value"))
-        row = scored.agg(F.lit(count).alias("dropped"), F.lit(len(kept)).alias("kept"), E.rmsle("pred").alias("rmsle"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
+def arm_scores(valid: DataFrame, models: Mapping[str, Booster]) -> DataFrame:
+    """(model, rmsle, weighted_rmsle) of every model, from one pass over ``valid``."""
+    scored = predict(valid, models).withColumn("y", F.col("log_value"))
+    return E.metrics(scored, list(models)).select("model", "rmsle", "weighted_rmsle")
 
-def ablation(train: DataFrame, valid: DataFrame, features: Sequence[str], arms: Mapping[str, Sequence[str]], params: TreeParams = TreeParams(), seed: int = 42) -> DataFrame:
-    """Score the full feature set and each arm without its columns; positive delta means the columns help."""
-    def score(names: Sequence[str], arm: str) -> DataFrame:
-        scored = fit_forecaster(train, names, seed, params).predict(valid).withColumn("y", F.col("log_value"))
-        return E.metrics(scored, ["pred"]).select(F.lit(arm).alias("arm"), F.lit(len(names)).alias("features"), "rmsle", "weighted_rmsle")
 
-    full = score(list(features), "all")
-    base = full.select("rmsle").scalar()
-    out = full
-    for arm, columns in arms.items():
-        out = out.unionByName(score([f for f in features if f not in set(columns)], arm))
-    return out.withColumn("delta", F.col("rmsle") - base)
+def rank_features(
+    train: DataFrame, valid: DataFrame, features: Sequence[str], drops: Sequence[int], params: TreeParams = TreeParams(), seed: int = 42,
+    categories: Sequence[str] = (),
+) -> DataFrame:
+    """Refit without the least important features, all counts together: columns dropped, kept, rmsle. ``drops`` is a short list."""
+    full = fit_forecaster(train, features, seed, params, categories=categories)
+    ranked = [f for f in full.importances() if f in set(features)]
+    kept = {f"_d{count}": tuple(ranked[: max(1, len(ranked) - count)]) for count in drops}
+    scores = arm_scores(valid, fit_many(train, [Arm(name, names, params, seed) for name, names in kept.items()], categories=categories))
+    sizes = F.create_map(*[x for name, names in kept.items() for x in (F.lit(name), F.lit(len(names)))])
+    return scores.select(F.substring("model", 3, 9).cast("int").alias("dropped"), sizes[F.col("model")].alias("kept"), "rmsle")
+
+
+def ablation(
+    train: DataFrame, valid: DataFrame, features: Sequence[str], arms: Mapping[str, Sequence[str]], params: TreeParams = TreeParams(), seed: int = 42,
+    categories: Sequence[str] = (),
+) -> DataFrame:
+    """Score the full feature set and each arm without its columns, fitted together; positive delta means the columns help."""
+    kept = {"all": tuple(features)} | {arm: tuple(f for f in features if f not in set(columns)) for arm, columns in arms.items()}
+    models = fit_many(train, [Arm(arm, names, params, seed) for arm, names in kept.items()], categories=categories)
+    scores = staged(arm_scores(valid, {f"_a{k}": models[arm] for k, arm in enumerate(kept)}))
+    named = F.create_map(*[x for k, arm in enumerate(kept) for x in (F.lit(f"_a{k}"), F.struct(F.lit(arm).alias("arm"), F.lit(len(kept[arm])).alias("features")))])
+    base = scores.where(F.col("model") == "_a0").select("rmsle").scalar()
+    return scores.select(named[F.col("model")].alias("_n"), "rmsle", "weighted_rmsle", (F.col("rmsle") - base).alias("delta")).select("_n.*", "rmsle", "weighted_rmsle", "delta")
 
 
-def walk_forward(blocks: DataFrame, features: Sequence[str], first_valid: int, variants: Mapping[str, TreeParams], seed: int = 42) -> DataFrame:
+def walk_forward(
+    blocks: DataFrame, features: Sequence[str], first_valid: int, variants: Mapping[str, TreeParams], seed: int = 42, categories: Sequence[str] = ()
+) -> DataFrame:
     """Expanding folds over numbered blocks; the blend weights of a fold come from the block before it.
 
-    Returns scored rows: entity_id, date, fold, horizon, seen, y, one column per variant, pred. The loop is
-    over the few block numbers; all data work is distributed.
+    Returns scored rows: entity_id, date, fold, horizon, seen, y, one column per variant, pred. The models of all folds
+    and variants are fitted together, each on its own earlier blocks; thresholds and category means come from the
+    blocks before the first one that is used for weights. The loop is over the few block numbers.
     """
     held = staged(blocks)
     numbers = sorted(r["block"] for r in held.select("block").distinct().collect())
     first, second = list(variants)
-
-    def scored(train: DataFrame, rows: DataFrame) -> DataFrame:
-        out = rows
-        for name, params in variants.items():
-            out = fit_forecaster(train, features, seed, params).predict(out, f"pred_{name}")
-        return out.withColumn("y", F.col("log_value"))
-
+    folds = [n for n in numbers if n >= first_valid]
+    arms = [
+        Arm(f"_{until}_{name}", tuple(features), params, seed, rows=F.col("block") < until)
+        for until in sorted({n - back for n in folds for back in (0, 1)}) for name, params in variants.items()
+    ]
+    if not arms:
+        raise ValueError("no block to validate on")
+    used = [c for c in held.columns if c not in variants]
+    scored = staged(predict(held.where(F.col("block") >= folds[0] - 1).withColumn("y", F.col("log_value")), fit_many(held.select(*used), arms, categories=categories)))
     result = None
-    for number in (n for n in numbers if n >= first_valid):
-        earlier = held.where(F.col("block") < number)
-        tune = held.where(F.col("block") == number - 1)
-        older = held.where(F.col("block") < number - 1)
-        pair = E.blend_weights(scored(older, tune), f"pred_{first}", f"pred_{second}").first()
-        fold = scored(earlier, held.where(F.col("block") == number))
+    for number in folds:
+        pair = E.blend_weights(scored.where(F.col("block") == number - 1), f"_{number - 1}_{first}", f"_{number - 1}_{second}").first()
+        fold = scored.where(F.col("block") == number).withColumns({f"pred_{name}": F.col(f"_{number}_{name}") for name in variants})
         blend = pair["w_first"] * F.col(f"pred_{first}") + pair["w_second"] * F.col(f"pred_{second}")
         fold = fold.withColumn("pred", blend).withColumn("fold", F.lit(str(number)))
         fold = fold.select("entity_id", "date", "fold", "horizon", "seen", "y", f"pred_{first}", f"pred_{second}", "pred")
