@@ -11,8 +11,8 @@ residuals, found by counting: brackets of every large leaf are narrowed by count
 patterns until few enough residuals are left to be sent. A first leaf over all rows starts the model at the label's
 quantile, and a last one puts the wanted share of its training rows at or below the prediction.
 
-The matrix holds a byte per feature, 0 for missing, and one score per arm. It is written to the shared folder and read
-by every pass; after ``FOLD`` trees the scores are brought up to date, so a pass never replays more than that many. The
+The matrix holds a byte per feature, 0 for missing, and one score per arm. It is dealt evenly over tasks of ``ROWS`` rows,
+written to the shared folder and read by every pass; one that fits a single task needs no shuffle. after ``FOLD`` trees the scores are brought up to date, so a pass never replays more than that many. The
 driver holds trees and one best split per task, arm and node.
 """
 
@@ -32,6 +32,7 @@ from panelyard.operators.scale import attach
 from panelyard.session import drop_staged, staged
 
 FOLD = 10
+ROWS = 1 << 17
 MOST_ARMS = 62
 #: Residuals that one round may send to the driver, over all leaves.
 SENT = 1 << 19
@@ -163,6 +164,7 @@ class Plan:
     depth: int = 0
     bins: int = 64
     least: tuple[int, ...] = ()
+    tasks: int = 1
 
 
 def salted(numbers: np.ndarray, *salt: int) -> np.ndarray:
@@ -173,6 +175,18 @@ def salted(numbers: np.ndarray, *salt: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) / (1 << 53)
 
 
+def schema(**columns: T.DataType) -> T.StructType:
+    """Built once: parsing a schema for every pass costs more than a small pass."""
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+I, L, D, RAW = T.IntegerType(), T.LongType(), T.DoubleType(), T.BinaryType()
+COUNTED = schema(arm=I, feature=I, counts=RAW)
+CHOSEN = schema(arm=I, node=I, gain=D, feature=I, split=I, below=L, n=L)
+RESIDUALS = schema(arm=I, node=I, spot=I, n=L, data=RAW)
+MATRIX = schema(hash=L, mask=L, y=D, bins=RAW, score=T.ArrayType(D))
+
+
 class Batch:
     """The matrix rows of one Arrow batch."""
 
@@ -271,14 +285,15 @@ def best_splits(matrix: DataFrame, plan: Plan) -> dict[tuple[int, int], tuple]:
         kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["arm", "node", "gain", "feature", "split", "below", "n"])
 
-    counted = matrix.mapInArrow(count, "arm int, feature int, counts binary")
-    chosen = counted.repartition("arm", "feature").sortWithinPartitions("arm", "feature").mapInArrow(
-        choose, "arm int, node int, gain double, feature int, split int, below long, n long"
-    )
+    counted = matrix.mapInArrow(count, COUNTED)
+    if plan.tasks > 1:
+        counted = counted.repartition("arm", "feature").sortWithinPartitions("arm", "feature")
+    chosen = counted.mapInArrow(choose, CHOSEN)
     out: dict[tuple[int, int], tuple] = {}
     for r in chosen.collect():
         made = (r["gain"], -r["feature"], r["split"], r["below"], r["n"])
         out[r["arm"], r["node"]] = max(out.get((r["arm"], r["node"]), (0.0,)), made)
+    held.destroy()
     return {k: (g, -f, s, left, n) for k, (g, f, s, left, n) in out.items()}
 
 
@@ -340,7 +355,7 @@ def leaf_quantiles(matrix: DataFrame, plan: Plan, sizes: dict[tuple[int, int], i
 
         counts: dict[tuple[int, int], np.ndarray] = {}
         values: dict[tuple[int, int], list[np.ndarray]] = {}
-        sent = matrix.mapInArrow(scan, "arm int, node int, spot int, n long, data binary")
+        sent = matrix.mapInArrow(scan, RESIDUALS)
         if len(ready) < len(spans):
             sent = sent.groupBy("arm", "node", "spot").agg(F.sum("n").alias("n"), F.collect_list("data").alias("data"))
         else:
@@ -351,6 +366,7 @@ def leaf_quantiles(matrix: DataFrame, plan: Plan, sizes: dict[tuple[int, int], i
                 counts.setdefault(key, np.zeros(RANGES, np.int64))[r["spot"]] += r["n"]
             else:
                 values.setdefault(key, []).extend(np.frombuffer(d, float) for d in r["data"])
+        held.destroy()
         for key in list(spans):
             q = plan.arms[key[0]][3]
             if key in ready:
@@ -455,8 +471,8 @@ def predict(rows: DataFrame, models: Mapping[str, Booster], least: float | None
     return prepared.mapInArrow(scan, schema)
 
 
-def binned(train: DataFrame, arms: Sequence[Arm], encoding: Encoding, label: str) -> DataFrame:
-    """The staged matrix: row hash, bits of the arms that learn from the row, label, bins, and a score per arm."""
+def binned(train: DataFrame, arms: Sequence[Arm], encoding: Encoding, label: str) -> tuple[DataFrame, int]:
+    """The number of tasks and the staged matrix: row hash, bits of the arms that learn from the row, label, bins, and a score per arm."""
     bits = [F.when(F.lit(True) if a.rows is None else F.coalesce(a.rows, F.lit(False)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, a in enumerate(arms)]
     mask = bits[0]
     for b in bits[1:]:
@@ -475,13 +491,11 @@ def binned(train: DataFrame, arms: Sequence[Arm], encoding: Encoding, label: str
             scores = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * count), pa.array(np.zeros(batch.num_rows * count)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], body, scores], ["hash", "mask", "y", "bins", "score"])
 
-    return staged(rows.mapInArrow(scan, MATRIX), "matrix")
-
-
-MATRIX = "hash long, mask long, y double, bins binary, score array<double>"
+    tasks = max(1, rows.count() // ROWS)
+    return staged(rows.repartition(tasks).mapInArrow(scan, MATRIX), "matrix").coalesce(tasks), tasks
 
 
-def folded(matrix: DataFrame, grown: list[list[Tree]]) -> DataFrame:
+def folded(matrix: DataFrame, tasks: int, grown: list[list[Tree]]) -> DataFrame:
     """The matrix with the scores of all arms brought up to date."""
     held = matrix.sparkSession.sparkContext.broadcast(grown)
 
@@ -494,7 +508,7 @@ def folded(matrix: DataFrame, grown: list[list[Tree]]) -> DataFrame:
                 cuts = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * arms)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(cuts, pa.array(score.ravel()))], batch.schema.names)
 
-    after = staged(matrix.mapInArrow(scan, MATRIX), "matrix")
+    after = staged(matrix.mapInArrow(scan, MATRIX), "matrix").coalesce(tasks)
     drop_staged(matrix)
     return after
 
@@ -515,7 +529,7 @@ def fit_many(train: DataFrame, arms: Sequence[Arm], label: str = "log_value", ca
     encoding = encode(common, wanted, categories, label, min(most, 255))
     number = {f: k for k, f in enumerate(encoding.names)}
     own = [[f for f in a.features if f in number] + [f"{c}__t" for c in encoding.categories if f"{c}__t" in number] for a in arms]
-    matrix = binned(known, arms, encoding, label)
+    matrix, tasks = binned(known, arms, encoding, label)
     grown: list[list[Tree]] = [[] for _ in arms]
     done: list[list[Tree]] = [[] for _ in arms]
     gains: list[dict[int, float]] = [{} for _ in arms]
@@ -545,14 +559,14 @@ def fit_many(train: DataFrame, arms: Sequence[Arm], label: str = "log_value", ca
             sampled.append(np.array(sorted(number[own[k][i]] for i in drawn), np.int64))
 
         def plan_of(now: list[Tree], nodes: list[np.ndarray], depth: int) -> Plan:
-            return Plan(facts, grown, now, index, nodes, sampled, depth, min(most, 255) + 1, least)
+            return Plan(facts, grown, now, index, nodes, sampled, depth, min(most, 255) + 1, least, tasks)
 
         open_ = [np.array([1] if k in growing and len(sampled[k]) else [], np.int64) for k in everyone]
         sizes = grow(matrix, plan_of, open_, [a.params.depth for a in arms], least, gains, trees)
         step[:] = [a.params.step for a in arms]
         finish(trees, index, growing, sizes)
         if index % FOLD == FOLD - 1:
-            matrix = folded(matrix, grown)
+            matrix = folded(matrix, tasks, grown)
             grown = [[] for _ in arms]
     step[:] = [1.0] * len(arms)
     finish([Tree.of(0) for _ in arms], -1, everyone, {})

@@ -102,11 +102,14 @@ def history_asof(spark, d):
 @register(
     "zero_run",
     "entity_id s, longest i",
-    "SELECT entity_id, longest_zero_run AS longest FROM household_history",
+    """
+SELECT entity_id, max(length) AS longest FROM (
+  SELECT entity_id, run, sum(CASE WHEN value = 0 THEN 1 ELSE 0 END) AS length FROM (
+    SELECT *, sum(CASE WHEN value = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY entity_id ORDER BY date) AS run FROM household)
+  GROUP BY 1, 2) GROUP BY 1""",
 )
 def zero_run(spark, d):
-    past, _ = T.household_split(spark, d)
-    flagged = past.withColumn("zero", F.col("value") == 0)
+    flagged = T.household(spark, d).withColumn("zero", F.col("value") == 0)
     return contract.longest_run(flagged, ["entity_id"], "date", "zero", "longest")
 
 
@@ -170,11 +173,11 @@ def contract_report(spark, d):
     "entity_id s, date d",
     """
 SELECT entity_id, date FROM (
-  SELECT entity_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM train GROUP BY entity_id)
-EXCEPT SELECT entity_id, date FROM train""",
+  SELECT entity_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM panel GROUP BY entity_id)
+EXCEPT SELECT entity_id, date FROM panel""",
 )
 def calendar_gaps(spark, d):
-    return contract.calendar_gaps(T.train(spark, d))
+    return contract.calendar_gaps(T.panel(spark, d))
 
 
 @register(

@@ -523,13 +523,13 @@ def scratch(spark, name: str) -> str:
 @register(
     "read_panel",
     "entity_id s, date d, capacity 1, value 4, province s, region s, district s, log_value 6, is_pos i",
-    "SELECT * REPLACE (ln(1 + value) AS log_value, value > 0 AS is_pos) FROM clean_logged WHERE NOT is_new AND date < DATE '2000-04-01'",
+    "SELECT * REPLACE (ln(1 + value) AS log_value, value > 0 AS is_pos) FROM clean_logged",
 )
 def read_panel(spark, d):
     # The readings written out under the public column names, then read, repaired and parsed.
     path = scratch(spark, "panel")
     names = {"entity_id": "tanim", "capacity": "guc", "date": "tarih", "value": "tuketim", "location": "lokasyon"}
-    raw = T.train(spark, d).select([F.col(s).alias(n) for s, n in names.items()])
+    raw = T.panel(spark, d).select([F.col(s).alias(n) for s, n in names.items()])
     raw.write.option("header", True).csv(path)
     return SP.read_panel(spark, path)
 

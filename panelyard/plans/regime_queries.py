@@ -1,8 +1,11 @@
-"""Change points. A x100 and a x1.8 level change are planted from fixed dates on part of the meters, with the
-same expression in both engines; all meters and all days take part."""
+"""Change points. A x100 and a x1.8 level change are planted from fixed dates on part of the meters, with the same
+expression in both engines. Detection runs over all meters and all days; states and repairs for a cutoff over what lies
+before it."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from panelyard.operators import features as FT
@@ -11,15 +14,15 @@ from panelyard.operators import regime as R
 from panelyard.operators.scale import latest_date, nearest_before
 from panelyard.plans import tables as T
 from panelyard.plans.history_queries import MATRIX, enriched, entity_history_sql, matrix_sql
-from panelyard.plans.registry import cte, register
+from panelyard.plans.registry import CTES, cte, register
 from panelyard.session import staged
 
 PLANT = "CASE WHEN district_no % 3 = 0 AND date >= DATE '1997-06-01' THEN 100e0 WHEN district_no % 3 = 1 AND date >= DATE '1998-03-01' THEN 1.8e0 ELSE 1e0 END"
 cte("planted", f"SELECT entity_id, date, capacity, round(value * {PLANT}, 2) AS value FROM train")
 
 
-def planted(spark, d):
-    rows = T.train(spark, d).withColumn("value", F.round(F.col("value") * F.expr(PLANT), 2))
+def planted(spark, d, whole=False):
+    rows = (T.panel if whole else T.train)(spark, d).withColumn("value", F.round(F.col("value") * F.expr(PLANT), 2))
     return staged(rows.select("entity_id", "date", "capacity", "value"))
 
 
@@ -84,33 +87,40 @@ SELECT *, exp(sum(CASE WHEN break_after = 'scale' THEN ln(ratio_after) ELSE 0 EN
 )
 
 
-@register("window_median_contrast", "entity_id s, date d, pos i, contrast 6", "SELECT * FROM contrast")
+# The same chain over all meters and days.
+CHAIN = ["planted", "contrast", *[f"split{k}" for k in range(5)], "segmented", "seg_stats", "seg_shape", "seg_kinds", "seg_ratio", "seg_factors"]
+for name in CHAIN:
+    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(CHAIN)})\b", r"\1 all_\2", CTES[name])
+    cte(f"all_{name}", text.replace("FROM train", "FROM panel") if name == "planted" else text)
+
+
+@register("window_median_contrast", "entity_id s, date d, pos i, contrast 9", "SELECT * FROM all_contrast")
 def window_median_contrast(spark, d):
-    return R.window_median_contrast(planted(spark, d))
+    return R.window_median_contrast(planted(spark, d, whole=True))
 
 
-@register("segment_breaks", "entity_id s, date d, seg i, seg_lo i", "SELECT *, lo AS seg_lo FROM segmented")
+@register("segment_breaks", "entity_id s, date d, seg i, seg_lo i", "SELECT *, lo AS seg_lo FROM all_segmented")
 def segment_breaks(spark, d):
-    return R.segment_breaks(planted(spark, d))
+    return R.segment_breaks(planted(spark, d, whole=True))
 
 
 @register(
     "segment_stats",
     "entity_id s, seg i, start d, finish d, n i, level 4, zero_frac 6, n_positive i",
-    "SELECT * FROM seg_stats",
+    "SELECT * FROM all_seg_stats",
 )
 def segment_stats(spark, d):
-    return R.segment_stats(R.segment_breaks(planted(spark, d))).withColumnRenamed("end", "finish")
+    return R.segment_stats(R.segment_breaks(planted(spark, d, whole=True))).withColumnRenamed("end", "finish")
 
 
-@register("classify_breaks", "entity_id s, seg i, break_after s, ratio_after 4", "SELECT * FROM seg_ratio")
+@register("classify_breaks", "entity_id s, seg i, break_after s, ratio_after 4", "SELECT * FROM all_seg_ratio")
 def classify_breaks(spark, d):
-    return R.classify_breaks(R.segment_stats(R.segment_breaks(planted(spark, d))))
+    return R.classify_breaks(R.segment_stats(R.segment_breaks(planted(spark, d, whole=True))))
 
 
-@register("carry_factors", "entity_id s, seg i, to_current 5", "SELECT * FROM seg_factors")
+@register("carry_factors", "entity_id s, seg i, to_current 5", "SELECT * FROM all_seg_factors")
 def carry_factors(spark, d):
-    return R.regime_segments(planted(spark, d))
+    return R.regime_segments(planted(spark, d, whole=True))
 
 
 STATE = (

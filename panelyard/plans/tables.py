@@ -132,57 +132,78 @@ def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.target_window(panel(spark, sf_dir), CUT, END)
 
 
-def noise(k: int) -> str:
-    """A share in [0, 1) from the day's measured quantity and lines, by integer arithmetic that both engines share."""
-    return f"((dno * 7919 + quantity * 104729 + lines * 31 + {k} * 1299709) % 1000) / 1000e0"
-
-
 WAVE = "cos(2e0 * pi() * (doy - 15) / 365.25e0)"
-MEAN_TEMP = f"(14e0 - 11e0 * {WAVE} + ({noise(1)} - 0.5e0) * 8e0 + (dno % 7))"
-RAIN = f"(CASE WHEN {noise(6)} > 0.7e0 THEN 12e0 * {noise(6)} - 8e0 ELSE 0e0 END)"
 DAYLIGHT = f"(43200e0 - 10800e0 * {WAVE})"
-# One text per measure, valid in both engines.
+# One text per measure, valid in both engines: means, extremes and shares of the day's order lines of a district, brought
+# into the range of the weather column that they stand for. Only the length of the day follows the calendar.
 WEATHER_MEASURES = {
-    "temperature_2m_mean": MEAN_TEMP,
-    "temperature_2m_min": f"{MEAN_TEMP} - 4e0 - 3e0 * {noise(2)}",
-    "temperature_2m_max": f"{MEAN_TEMP} + 4e0 + 4e0 * {noise(3)}",
-    "apparent_temperature_mean": f"{MEAN_TEMP} + ({noise(4)} - 0.5e0) * 3e0",
-    "relative_humidity_2m_mean": f"35e0 + 55e0 * {noise(5)}",
-    "precipitation_sum": RAIN,
-    "rain_sum": f"0.9e0 * {RAIN}",
-    "cloud_cover_mean": f"100e0 * {noise(7)}",
-    "wind_speed_10m_mean": f"1e0 + 7e0 * {noise(8)}",
-    "wind_speed_10m_max": f"3e0 + 7e0 * {noise(8)} + 3e0 * {noise(9)}",
-    "wind_gusts_10m_max": f"3e0 + 7e0 * {noise(8)} + 8e0 * {noise(10)}",
-    "surface_pressure_mean": f"1000e0 + 20e0 * {noise(11)}",
-    "shortwave_radiation_sum": f"12e0 - 9e0 * {WAVE} + 3e0 * {noise(12)}",
-    "sunshine_duration": f"{DAYLIGHT} * (0.3e0 + 0.6e0 * {noise(13)})",
+    "temperature_2m_mean": "0.8e0 * quantity - 6e0",
+    "temperature_2m_min": "0.8e0 * least - 8e0",
+    "temperature_2m_max": "0.8e0 * most - 4e0",
+    "apparent_temperature_mean": "0.8e0 * quantity - 6e0 + 60e0 * (discount - 0.05e0)",
+    "relative_humidity_2m_mean": "35e0 + 700e0 * tax",
+    "precipitation_sum": "greatest(400e0 * (discount - 0.05e0), 0e0)",
+    "rain_sum": "greatest(360e0 * (discount - 0.05e0), 0e0)",
+    "cloud_cover_mean": "1000e0 * discount",
+    "wind_speed_10m_mean": "1e0 + number",
+    "wind_speed_10m_max": "3e0 + number + 40e0 * tax",
+    "wind_gusts_10m_max": "3e0 + number + 100e0 * tax",
+    "surface_pressure_mean": "1000e0 + 20e0 * returned",
+    "shortwave_radiation_sum": "0.4e0 * quantity + 50e0 * tax",
+    "sunshine_duration": f"{DAYLIGHT} * (0.9e0 - 6e0 * discount)",
     "daylight_duration": DAYLIGHT,
-    "et0_fao_evapotranspiration": f"3e0 - 2.2e0 * {WAVE} + {noise(14)}",
+    "et0_fao_evapotranspiration": "0.1e0 * quantity + 20e0 * tax",
 }
-
+# Sums of whole numbers, so that both engines divide the same two integers.
+LINE_SUMS = {
+    "lines": "count(*)", "quantity": "sum(CAST(l_quantity AS BIGINT))", "discount": "sum(CAST(round(l_discount * 100) AS BIGINT))",
+    "tax": "sum(CAST(round(l_tax * 100) AS BIGINT))", "number": "sum(CAST(l_linenumber AS BIGINT))",
+    "returned": "sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)", "least": "min(CAST(l_quantity AS BIGINT))", "most": "max(CAST(l_quantity AS BIGINT))",
+}
+LINE_MEANS = {
+    "quantity": "quantity / CAST(lines AS DOUBLE)", "discount": "discount / CAST(lines AS DOUBLE) / 100e0", "tax": "tax / CAST(lines AS DOUBLE) / 100e0",
+    "number": "number / CAST(lines AS DOUBLE)", "returned": "returned / CAST(lines AS DOUBLE)", "least": "CAST(least AS DOUBLE)", "most": "CAST(most AS DOUBLE)",
+}
+_SUMS = ", ".join(f"{e} AS {n}" for n, e in LINE_SUMS.items())
+_MEANS = ", ".join(f"{e} AS {n}" for n, e in LINE_MEANS.items())
 cte(
-    "weather_days",
+    "line_places",
     """
-SELECT district, dno, s.date, CAST(dayofyear(s.date) AS INTEGER) AS doy, coalesce(quantity, 0) AS quantity, coalesce(lines, 0) AS lines
-FROM (SELECT district, dno, CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS date
-      FROM (SELECT district, max(district_no) AS dno, min(date) AS first, max(date) AS last FROM panel GROUP BY 1)) s
-LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(*) AS lines FROM lineitem GROUP BY 1) m ON m.date = s.date""",
+SELECT l.*, CAST(l_shipdate AS DATE) AS date, p.district FROM lineitem l
+JOIN (SELECT DISTINCT CAST(substr(entity_id, 4, 6) AS BIGINT) AS s, district FROM panel) p ON p.s = l.l_suppkey""",
+)
+cte(
+    "weather_days",
+    f"""
+SELECT s.district, s.date, CAST(dayofyear(s.date) AS INTEGER) AS doy, {", ".join(f"coalesce(m.{n}, y.{n}, e.{n}) AS {n}" for n in LINE_MEANS)}
+FROM (SELECT district, CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS date
+      FROM (SELECT district, min(date) AS first, max(date) AS last FROM panel GROUP BY 1)) s
+LEFT JOIN (SELECT district, date, {_MEANS} FROM (SELECT district, date, {_SUMS} FROM line_places GROUP BY 1, 2)) m ON m.district = s.district AND m.date = s.date
+LEFT JOIN (SELECT date, {_MEANS} FROM (SELECT date, {_SUMS} FROM line_places GROUP BY 1)) y ON y.date = s.date
+CROSS JOIN (SELECT {_MEANS} FROM (SELECT {_SUMS} FROM line_places)) e""",
 )
 cte("weather", "SELECT district, date, " + ", ".join(f"{e} AS {n}" for n, e in WEATHER_MEASURES.items()) + " FROM weather_days")
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = panel(spark, sf_dir).groupBy("district").agg(
-        F.max("district_no").alias("dno"), F.min("date").alias("first"), F.max("date").alias("last")
-    )
-    measured = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(
-        F.sum("l_quantity").cast("long").alias("quantity"), F.count("*").alias("lines")
-    )
-    spread = spans.select("district", "dno", F.explode(F.sequence("first", "last")).alias("date"))
-    days = spread.join(measured, "date", "left").withColumns(
-        {"doy": F.dayofyear("date"), "quantity": F.coalesce("quantity", F.lit(0)), "lines": F.coalesce("lines", F.lit(0))}
-    )
+    """One row per district and day of its span: the district's lines of the day, else all lines of the day, else all lines."""
+    rows = panel(spark, sf_dir)
+    spans = rows.groupBy("district").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    spread = spans.select("district", F.explode(F.sequence("first", "last")).alias("date"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("date", F.to_date("l_shipdate"))
+    # one row per supplier and day first, then the place of the supplier: the lines themselves are never joined
+    totals = {n: F.max(n) if n == "most" else F.min(n) if n == "least" else F.sum(n) for n in LINE_SUMS}
+    sums = lambda df, *keys: df.groupBy(*keys).agg(*[e.alias(n) for n, e in totals.items()])
+    daily = lines.groupBy("l_suppkey", "date").agg(*[F.expr(e).alias(n) for n, e in LINE_SUMS.items()])
+    places = rows.select(F.substring("entity_id", 4, 6).cast("long").alias("_s"), "district").distinct()
+    cells = staged(sums(daily.join(places, F.col("l_suppkey") == F.col("_s")), "district", "date"))
+
+    def means(df: DataFrame, mark: str) -> DataFrame:
+        return df.select(*[c for c in df.columns if c not in LINE_SUMS], *[F.expr(e).alias(f"{n}{mark}") for n, e in LINE_MEANS.items()])
+
+    days = spread.join(means(cells, "_m"), ["district", "date"], "left").join(means(sums(cells, "date"), "_y"), "date", "left")
+    days = with_totals(days, means(sums(cells), "_e")).withColumn("doy", F.dayofyear("date"))
+    days = days.withColumns({n: F.coalesce(f"{n}_m", f"{n}_y", f"{n}_e") for n in LINE_MEANS})
     return days.select("district", "date", *[F.expr(e).alias(n) for n, e in WEATHER_MEASURES.items()])
 
 
