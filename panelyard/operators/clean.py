@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import insort
+from heapq import heappush, heappushpop
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,19 +19,26 @@ AMPLIFICATION_RATES = (
 
 
 def prior_median_step():
-    """Median of a key's present values before each row, zero while there are none: one sorted insert a row."""
-    seen: list[float] = []
+    """Median of a key's present values before each row, zero while there are none.
+
+    Two heaps hold the smaller and the larger half (the smaller one negated), so a row costs the logarithm of the series.
+    """
+    low: list[float] = []
+    high: list[float] = []
 
     def step(position: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
         out = np.zeros(len(values))
         for i, (at, value) in enumerate(zip(position.tolist(), values.tolist())):
             if at == 1:
-                seen.clear()
-            n = len(seen)
-            if n:
-                out[i] = (seen[(n - 1) // 2] + seen[n // 2]) / 2
+                low.clear()
+                high.clear()
+            if low:
+                out[i] = -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2
             if value == value:
-                insort(seen, value)
+                if len(low) > len(high):
+                    heappush(high, -heappushpop(low, -value))
+                else:
+                    heappush(low, -heappushpop(high, value))
         return [out]
 
     return step
@@ -40,7 +47,7 @@ def prior_median_step():
 def expanding_prior_median(df: DataFrame, value: Column, name: str = "prior_median") -> DataFrame:
     """Median of the strictly earlier readings of the same entity; zero when there are none.
 
-    A framed exact percentile sorts the whole prefix again at every row; the ordered scan keeps it sorted.
+    A framed exact percentile sorts the whole prefix again at every row; the ordered scan keeps both halves of it.
     """
     added = [T.StructField(name, T.DoubleType())]
     return scan_in_order(df.withColumn("_clean", value), ["entity_id"], "date", added, prior_median_step, ["_clean"]).drop("_clean")

@@ -65,14 +65,16 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     accuracy: int = 20_000,
+    most: int = 65_536,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, for groups of any size.
 
     The built-in exact ``percentile`` keeps every distinct value of a group in one task. Here a mergeable
     sketch first brackets each wanted rank; its rank error is at most 1/accuracy of the group, and the
-    bracket is four times as wide. Then one more pass counts the rows beside the bracket and the
-    multiplicity of each value inside it, so only an 8/accuracy share of a group ever meets in one task.
-    A rank outside its bracket fails the job instead of returning a wrong value.
+    bracket is four times as wide. While a bracket may hold more than ``most`` rows, a round counts the rows in
+    256 equal ranges of it and keeps those that the wanted rank needs. Then one more pass counts the rows beside the
+    bracket and the multiplicity of each value inside it, so at most about ``most`` values of a group ever meet in
+    one task, whatever its size. A rank outside its bracket fails the job instead of returning a wrong value.
     """
     names = list(probs)
     margin = 4.0 / accuracy
@@ -93,13 +95,15 @@ def exact_quantiles(
         ]
     )
     brackets = measured(brackets.withColumn("_wanted", wanted).drop("_edges"))
-    if keys:
-        rows = data.join(brackets, null_safe(data, brackets, keys)).select(data["*"], "_n", "_wanted")
-    else:
-        rows = with_totals(data, brackets)
+    inside = (brackets.agg(F.max("_n")).first()[0] or 0) * 10 / accuracy
+    while inside > most:
+        narrower = measured(narrow_brackets(bracketed(data, brackets, keys), keys))
+        # a bracket of one value is done however many rows hold it
+        left = narrower.select(F.explode("_wanted").alias("_w"), "_inside").where("_w.lo < _w.hi").agg(F.max("_inside")).first()[0] or 0
+        brackets, inside = narrower.drop("_inside"), left
     # Values inside a bracket keep their own row; those below and above collapse into one row each, of
     # which the value beside the bracket is kept because a wanted rank may be its neighbour.
-    spread = rows.select(*keys, "_v", "_n", F.explode("_wanted").alias("_w"))
+    spread = bracketed(data, brackets, keys)
     side = F.when(F.col("_v") < F.col("_w.lo"), 0).when(F.col("_v") > F.col("_w.hi"), 2).otherwise(1)
     placed = spread.withColumn("_side", side).withColumn("_key", F.when(F.col("_side") == 1, F.col("_v")))
     counts = placed.groupBy(*keys, "_w", "_n", "_side", "_key").agg(
@@ -129,6 +133,42 @@ def exact_quantiles(
     return named.groupBy(*keys).agg(*picks)
 
 
+def bracketed(data: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per value and wanted rank: (keys, _v, _n, _w)."""
+    if keys:
+        rows = data.join(brackets, null_safe(data, brackets, keys)).select(data["*"], "_n", "_wanted")
+    else:
+        rows = with_totals(data, brackets)
+    return rows.select(*keys, "_v", "_n", F.explode("_wanted").alias("_w"))
+
+
+def narrow_brackets(spread: DataFrame, keys: Sequence[str], ranges: int = 256) -> DataFrame:
+    """Brackets (keys, _n, _wanted, _inside) cut down to the ranges that hold the wanted ranks.
+
+    The new ends are values of the data, so a bracket with two different values always shrinks. ``_inside`` is the
+    largest number of rows in one of a group's brackets.
+    """
+    low, high = F.col("_w.lo"), F.col("_w.hi")
+    share = F.least(F.floor((F.col("_v") / 2 - low / 2) / (high / 2 - low / 2) * ranges), F.lit(ranges - 1))
+    spot = F.when(F.col("_v") < low, -1).when(F.col("_v") > high, ranges).when(low == high, 0).otherwise(share)
+    cells = spread.withColumn("_spot", spot).groupBy(*keys, "_w", "_n", "_spot").agg(
+        F.count("*").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most")
+    )
+    order = Window.partitionBy(*keys, "_w.name").orderBy("_spot")
+    ranked = cells.withColumn("_last", F.sum("_c").over(order) - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    position = F.col("_w.p") * (F.col("_n") - 1)
+    below, above = F.floor(position), F.ceil(position)
+    # a rank beside the bracket leaves the old end, and the final pass finds or refuses it
+    kept = F.col("_spot").between(0, ranges - 1)
+    ends = ranked.groupBy(*keys, F.col("_w.name").alias("_name"), F.col("_w.p").alias("_p"), F.col("_w.lo").alias("_lo"), F.col("_w.hi").alias("_hi"), "_n").agg(
+        F.coalesce(F.max(F.when(kept & (F.col("_first") <= below) & (below <= F.col("_last")), F.col("_least"))), F.first("_w.lo")).alias("lo"),
+        F.coalesce(F.max(F.when(kept & (F.col("_first") <= above) & (above <= F.col("_last")), F.col("_most"))), F.first("_w.hi")).alias("hi"),
+        F.sum(F.when(kept & (F.col("_last") >= below) & (F.col("_first") <= above), F.col("_c")).otherwise(0)).alias("_rows"),
+    )
+    one = F.struct(F.col("_name").alias("name"), F.col("_p").alias("p"), "lo", "hi")
+    return ends.groupBy(*keys, "_n").agg(F.collect_list(one).alias("_wanted"), F.max("_rows").alias("_inside"))
+
+
 def catalogue_quantiles(df: DataFrame, value: str, probs: Mapping[str, float]) -> DataFrame:
     """One row of exact linear-interpolated quantiles of a column with few distinct values, such as rated capacity.
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from helpers import day, days, records, series
 from pyspark.sql import functions as F
 
@@ -38,3 +39,26 @@ def test_running_median_equals_numpy():
     for i in range(200):
         seen = values[:i][~np.isnan(values[:i])]
         assert np.isclose(got[i], np.median(seen) if len(seen) else 0.0)
+
+
+def test_prior_median_equals_brute_force_over_batches():
+    rng = np.random.default_rng(3)
+    step = clean.prior_median_step()
+    for size in (1, 2, 5, 400):
+        values = np.round(rng.normal(0, 2, size), 1)
+        values[rng.random(size) < 0.2] = np.nan
+        cuts = sorted({0, size, *rng.integers(0, size, 3).tolist()})
+        got = np.concatenate([step(np.arange(a, b) + 1, values[a:b])[0] for a, b in zip(cuts, cuts[1:])])
+        for i in range(size):
+            known = values[:i][~np.isnan(values[:i])]
+            assert got[i] == pytest.approx(np.median(known) if len(known) else 0.0)
+
+
+def test_prior_median_of_a_long_series_is_not_quadratic():
+    import time
+
+    values = np.random.default_rng(1).random(1_000_000)
+    step = clean.prior_median_step()
+    started = time.perf_counter()
+    out = step(np.arange(len(values)) + 1, values)[0]
+    assert time.perf_counter() - started < 20 and out[-1] == pytest.approx(np.median(values[:-1]))

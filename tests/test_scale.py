@@ -65,3 +65,33 @@ def test_measured_small_tables_are_broadcast_by_size(spark):
         assert "BroadcastHashJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "outliers"])
+def test_one_group_of_all_rows_is_narrowed_to_few_values(spark, monkeypatch, kind):
+    rng = np.random.default_rng(7)
+    v = rng.normal(0, 1, 30_000)
+    if kind == "ties":
+        v = np.round(v, 1)
+    if kind == "outliers":
+        v[:5], v[5:10] = 1.7e308, -1.7e308
+    frame = pd.DataFrame({"k": ["hot"] * 29_000 + [f"g{i % 7}" for i in range(1000)], "v": v})
+    probs = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.77, "e": 1.0}
+    rounds, largest = [], []
+    plain = S.narrow_brackets
+
+    def counted(spread, keys, ranges=256):
+        rounds.append(1)
+        out = plain(spread, keys, ranges)
+        largest.append(out.select(F.explode("_wanted").alias("w"), "_inside").where("w.lo < w.hi").agg(F.max("_inside")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(S, "narrow_brackets", counted)
+    df = spark.createDataFrame(frame)
+    for keys in (["k"], []):
+        rounds.clear()
+        got = {r["k"] if keys else None: r for r in records(S.exact_quantiles(df, keys, "v", probs, accuracy=50, most=40))}
+        assert rounds and largest[-1] <= 40
+        for key, part in frame.groupby("k") if keys else [(None, frame)]:
+            want = [float(np.quantile(part["v"], p)) for p in probs.values()]
+            assert [got[key][n] for n in probs] == pytest.approx(want, rel=1e-12)
