@@ -220,6 +220,21 @@ def scan_in_order(
     return ordered.mapInArrow(scan, T.StructType([*df.schema.fields, *added]))
 
 
+BLOCK_ROWS = 1 << 20
+
+
+def in_blocks(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> DataFrame | None:
+    """The rows with ``_block``, a stored table whose blocks are ranges of ``order`` of about ``block_rows`` rows each.
+
+    A series of any length is thereby cut into parts that fit a task; block numbers follow the order, equal order values
+    share a block, and rows without one come first. None if the table is one block.
+    """
+    count = df.count() // block_rows
+    if count < 1:
+        return None
+    return staged(df.repartitionByRange(count + 1, F.col(order).asc_nulls_first()).withColumn("_block", F.spark_partition_id()))
+
+
 def islands(df: DataFrame, keys: Sequence[str], order: str, flag: Column, name: str = "island") -> DataFrame:
     """Number the runs of equal ``flag`` per key in ``order``."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -246,11 +261,13 @@ def keep_one(df: DataFrame, keys: Sequence[str], *order: Column, largest: bool =
     return df.groupBy(*keys).agg(best).select(*keys, "_row.*").select(df.columns)
 
 
-def nearest_before(left: DataFrame, right: DataFrame, by: str, on: str, columns: Sequence[str]) -> DataFrame:
+def nearest_before(left: DataFrame, right: DataFrame, by: str, on: str, columns: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """As-of join backward: for each left row the last right row of the same key at or before it.
 
-    One union and one running ``last`` per key, so the cost is a single sort instead of a range join. Both
-    sides are unique by (by, on), so a key is as long as its calendar.
+    One union and one running ``last`` per key, so the cost is a single sort instead of a range join. Tables of more than
+    ``block_rows`` rows are cut into ranges of ``on``: the running ``last`` then stays inside a key's block, and what
+    came before it is carried over from the key's earlier blocks, one row each. So a key with half of all rows is
+    spread like any others. Of right rows with equal key and position any one may answer.
     """
     marked_left = left.withColumn("_side", F.lit(1))
     types = dict(right.dtypes)
@@ -258,9 +275,25 @@ def nearest_before(left: DataFrame, right: DataFrame, by: str, on: str, columns:
         marked_left = marked_left.withColumn(c, F.lit(None).cast(types[c]))
     marked_right = right.select(by, on, *columns).withColumn("_side", F.lit(0))
     both = marked_left.unionByName(marked_right, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
-    return filled.where(F.col("_side") == 1).drop("_side")
+    blocks = in_blocks(both, on, block_rows)
+    # a hit is carried as one struct, so columns of one answer come from one row even where some of them are null
+    hit = F.when(F.col("_side") == 0, F.struct(*columns))
+    until = Window.unboundedPreceding, Window.currentRow
+    if blocks is None:
+        w = Window.partitionBy(by).orderBy(on, "_side").rowsBetween(*until)
+        filled = both.withColumn("_hit", F.last(hit, ignorenulls=True).over(w))
+    else:
+        w = Window.partitionBy(by, "_block").orderBy(on, "_side").rowsBetween(*until)
+        ends = blocks.groupBy(F.col(by).alias("_by"), F.col("_block").alias("_at")).agg(
+            F.max_by(hit, F.when(F.col("_side") == 0, F.struct(on, *columns))).alias("_end")
+        )
+        earlier = Window.partitionBy("_by").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select("_by", "_at", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+        inside = blocks.withColumn("_hit", F.last(hit, ignorenulls=True).over(w))
+        filled = inside.join(carried, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_at")))
+        filled = filled.withColumn("_hit", F.coalesce("_hit", "_before")).drop("_by", "_at", "_before", "_block")
+    answered = filled.where(F.col("_side") == 1).drop("_side")
+    return answered.withColumns({c: F.col(f"_hit.{c}") for c in columns}).drop("_hit")
 
 
 def nearest_within(left: DataFrame, right: DataFrame, by: str, on: str, reach: int, columns: Mapping[str, str]) -> DataFrame:

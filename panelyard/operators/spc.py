@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelyard.functions.rounding import rounded
-from panelyard.operators.scale import scan_in_order
+from panelyard.operators.scale import BLOCK_ROWS, in_blocks, scan_in_order
+from panelyard.session import staged
 
 METHODS = ("shewhart", "ewma", "cusum", "nelson")
 # Fixed value: mean moving range of two standard normal draws.
@@ -216,8 +217,78 @@ def sequential_charts(
     return scan_in_order(df, keys, order, added, chart_step(config), [value, "baseline_mean", "baseline_std"])
 
 
-def ewma(df: DataFrame, keys: Sequence[str], order: str, value: str, config: SPCConfig = SPCConfig()) -> DataFrame:
-    return sequential_charts(df, keys, order, value, config).drop("cusum", "cusum_limit", "cusum_anomaly")
+def block_levels(lam: float):
+    """Inside a block: its first present value, the EWMA of the differences to it that starts from zero, and the weight that
+    what came before still has. Differences keep a constant series exact."""
+
+    def start():
+        base, level, weight = 0.0, 0.0, 1.0
+
+        def step(position, values) -> list[np.ndarray]:
+            nonlocal base, level, weight
+            bases, levels, weights = (np.empty(len(values)) for _ in range(3))
+            for i, (at, x) in enumerate(zip(position.tolist(), values.tolist())):
+                if at == 1:
+                    base, level, weight = 0.0, 0.0, 1.0
+                if x == x:
+                    base = x if weight == 1.0 else base
+                    level, weight = lam * (x - base) + (1 - lam) * level, weight * (1 - lam)
+                bases[i], levels[i], weights[i] = base, level, weight
+            return [bases, levels, weights, position.astype(np.int64)]
+
+        return step
+
+    return start
+
+
+def carry_levels():
+    """Over the blocks of a series: the level and the number of rows before each block. A block maps a level e to
+    base + level + weight * (e - base), so maps compose and a block is one row whatever it holds."""
+    before, rows = math.nan, 0
+
+    def step(position, bases, levels, weights, counts, firsts) -> list[np.ndarray]:
+        nonlocal before, rows
+        out, offsets = np.empty(len(levels)), np.empty(len(levels), np.int64)
+        for i, (at, base, level, weight, count, first) in enumerate(zip(*(a.tolist() for a in (position, bases, levels, weights, counts, firsts)))):
+            if at == 1:
+                before, rows = first, 0
+            out[i], offsets[i] = before, rows
+            before, rows = base + level + weight * (before - base), rows + int(count)
+        return [out, offsets]
+
+    return step
+
+
+def ewma(df: DataFrame, keys: Sequence[str], order: str, value: str, config: SPCConfig = SPCConfig(), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """EWMA, its limits and flag, for series of any length.
+
+    A table of more than ``block_rows`` rows is cut into ranges of the order column. Every block of a series is scanned by
+    itself, which gives an affine map of the level before it; the maps are composed over the series' blocks and applied to
+    the rows. So one series is spread over as many tasks as it has blocks, with results of the sequential scan up to
+    rounding.
+    """
+    blocks = in_blocks(df, order, block_rows)
+    if blocks is None:
+        return sequential_charts(df, keys, order, value, config).drop("cusum", "cusum_limit", "cusum_anomaly")
+    lam, names = config.ewma_lambda, [f"_key{i}" for i in range(len(keys))]
+    added = [T.StructField(n, T.DoubleType()) for n in ("_base", "_level", "_weight")] + [T.StructField("_place", T.LongType())]
+    local = staged(scan_in_order(blocks, [*keys, "_block"], order, added, block_levels(lam), [value]))
+    renamed = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+    ends = local.groupBy(*renamed, F.col("_block").alias("_at")).agg(
+        F.max_by("_base", "_place").alias("_from"), F.max_by("_level", "_place").alias("_last"), F.max_by("_weight", "_place").alias("_decay"), F.count("*").alias("_rows"),
+        F.min_by(F.col(value).cast("double"), "_place").alias("_first"),
+    )
+    fields = [T.StructField("_before", T.DoubleType()), T.StructField("_offset", T.LongType())]
+    carried = scan_in_order(ends, names, "_at", fields, carry_levels, ["_from", "_last", "_decay", "_rows", "_first"]).select(*names, "_at", "_before", "_offset")
+    same = F.col("_block") == F.col("_at")
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    level = F.col("_base") + F.col("_level") + F.col("_weight") * (F.col("_before") - F.col("_base"))
+    shrink = F.sqrt(F.lit(lam / (2 - lam)) * (1 - F.pow(F.lit(1 - lam), 2 * (F.col("_offset") + F.col("_place")))))
+    reach = config.ewma_multiplier * F.col("baseline_std") * shrink
+    out = local.join(carried, same).withColumns({"ewma": F.when(~F.isnan(level), level), "ewma_upper": F.col("baseline_mean") + reach, "ewma_lower": F.col("baseline_mean") - reach})
+    flagged = F.coalesce((F.col("ewma") > F.col("ewma_upper")) | (F.col("ewma") < F.col("ewma_lower")), F.lit(False))
+    return out.withColumn("ewma_anomaly", flagged).select(*df.columns, "ewma", "ewma_upper", "ewma_lower", "ewma_anomaly")
 
 
 def cusum(df: DataFrame, keys: Sequence[str], order: str, value: str, config: SPCConfig = SPCConfig()) -> DataFrame:

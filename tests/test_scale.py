@@ -95,3 +95,21 @@ def test_one_group_of_all_rows_is_narrowed_to_few_values(spark, monkeypatch, kin
         for key, part in frame.groupby("k") if keys else [(None, frame)]:
             want = [float(np.quantile(part["v"], p)) for p in probs.values()]
             assert [got[key][n] for n in probs] == pytest.approx(want, rel=1e-12)
+
+
+def test_asof_of_a_hot_key_is_spread_over_blocks(spark):
+    rng = np.random.default_rng(9)
+    left = pd.DataFrame({"k": ["hot"] * 2000 + list(rng.choice(["a", "b"], 300)), "t": np.r_[rng.integers(0, 5000, 2000), rng.integers(0, 5000, 300)], "n": np.arange(2300)})
+    right = pd.DataFrame({"k": ["hot"] * 300 + ["a"] * 3, "t": np.r_[np.sort(rng.choice(5000, 300, False)), [10, 2500, 4999]]})
+    right["v"], right["w"] = right["t"] * 1.0, np.where(right["t"] % 3 == 0, None, right["t"])
+    ldf = spark.createDataFrame(left)
+    rdf = spark.createDataFrame([(r.k, int(r.t), float(r.v), None if r.w is None else int(r.w)) for r in right.itertuples()], "k string, t long, v double, w long")
+    rdf = rdf.withColumnRenamed("t", "at").withColumn("t", F.col("at")).select("k", "t", "v", "w")
+    for rows in (S.BLOCK_ROWS, 150):
+        got = {r["n"]: (r["v"], r["w"]) for r in S.nearest_before(ldf, rdf, "k", "t", ["v", "w"], block_rows=rows).collect()}
+        for k, t, n in left.itertuples(index=False):
+            past = right[(right.k == k) & (right.t <= t)]
+            want = (None, None) if past.empty else (past.iloc[past.t.argmax()].v, past.iloc[past.t.argmax()].w)
+            assert got[n] == want
+    blocks = S.in_blocks(ldf, "t", 150)
+    assert blocks.where("k = 'hot'").groupBy("_block").count().agg(F.max("count")).first()[0] < 600

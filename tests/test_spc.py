@@ -7,6 +7,7 @@ from helpers import pandas, series
 from pyspark.sql import functions as F
 
 from panelyard.operators import spc as S
+from panelyard.operators.scale import in_blocks
 from panelyard.session import shared_dir
 from panelyard.streaming import control as SC
 
@@ -137,3 +138,25 @@ def test_segments_and_settings():
     with pytest.raises(ValueError):
         S.SPCConfig(ewma_lambda=0)
     assert S.PRESETS["aggressive"].shewhart_multiplier < S.PRESETS["conservative"].shewhart_multiplier
+
+
+def test_ewma_over_blocks_equals_the_sequential_scan(spark):
+    rng = np.random.default_rng(5)
+    long, holes = rng.normal(50, 9, 4000), rng.normal(5, 1, 700)
+    holes[rng.random(700) < 0.3] = np.nan
+    holes[0] = 4.0
+    unknown = np.r_[np.nan, rng.normal(0, 1, 60)]
+    named = {"long": long, "holes": holes, "unknown": unknown, "one": [3.0], "none": [None, None], None: rng.normal(1, 1, 90)}
+    rows = frame(spark, named)
+    base = series(spark, [("long", 50.0, 9.0), ("holes", 5.0, 1.0), ("unknown", 0.0, 1.0), ("one", 3.0, 0.0)], "k string, baseline_mean double, baseline_std double")
+    rows = rows.join(base, KEYS, "left").repartition(6)
+    config = S.SPCConfig(ewma_lambda=0.2)
+    names = ["k", "t", "ewma", "ewma_upper", "ewma_lower", "ewma_anomaly"]
+    want = pandas(S.ewma(rows, KEYS, "t", "v", config).select(*names), "k", "t")
+    got = S.ewma(rows, KEYS, "t", "v", config, block_rows=300)
+    assert got.columns == S.ewma(rows, KEYS, "t", "v", config).columns
+    pd.testing.assert_frame_equal(pandas(got.select(*names), "k", "t"), want, rtol=1e-9, atol=1e-9)
+    blocks = in_blocks(rows, "t", 300)
+    assert blocks.where("k = 'long'").select("_block").distinct().count() > 8 and in_blocks(rows, "t", 1 << 20) is None
+    spans = sorted((r["a"], r["b"]) for r in blocks.groupBy("_block").agg(F.min("t").alias("a"), F.max("t").alias("b")).collect())
+    assert all(b < a for (_, b), (a, _) in zip(spans, spans[1:]))
