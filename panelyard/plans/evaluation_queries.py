@@ -238,7 +238,39 @@ def compare_predictions(spark, d):
     return X.compare_predictions(base, cand, ["entity_id", "date"], ["district"], min_n=20)
 
 
-@register("error_report", "section s, key s, metric s, value 6")
+def melted(section: str, key: str, names: str, source: str) -> str:
+    """SQL of one section of the report: its columns as rows."""
+    pairs = ", ".join(f"('{n}', CAST({n} AS DOUBLE))" for n in names.split())
+    return f"SELECT '{section}' AS section, CAST({key} AS VARCHAR) AS key, v.metric, v.value FROM ({source}) r, LATERAL (VALUES {pairs}) v(metric, value)"
+
+
+def segments_sql(by: str, top: int = 15) -> str:
+    share = "sum(sq_err) / (SELECT sum(sq_err) FROM errors)"
+    return (
+        f"SELECT {by}, count(*) AS n, sqrt(avg(sq_err)) AS rmsle, avg(err) AS bias, {share} AS share_of_error, "
+        f"({share}) / (count(*) / (SELECT count(*) FROM errors)) AS lift FROM errors GROUP BY 1 HAVING count(*) >= 20 ORDER BY share_of_error DESC, {by} LIMIT {top}"
+    )
+
+
+def curve_sql(feature: str) -> str:
+    edges = f"(SELECT list_sort(list_distinct(quantile_cont(CAST({feature} AS DOUBLE), [{', '.join(str(k / 10) for k in range(11))}]))) AS edges FROM errors)"
+    return (
+        f"SELECT bin, count(*) AS n, avg({feature}) AS feature_mean, sqrt(avg(sq_err)) AS rmsle, avg(err) AS bias FROM ("
+        f"SELECT e.*, greatest(len(list_filter(edges, lambda x: x < {feature})) - 1, 0) AS bin FROM errors e, {edges}) GROUP BY 1 HAVING count(*) >= 20"
+    )
+
+
+REPORT_SQL = " UNION ALL ".join(
+    [
+        melted("overall", "'all'", "n rmsle bias", "SELECT count(*) AS n, sqrt(avg(sq_err)) AS rmsle, avg(err) AS bias FROM errors"),
+        *[melted(f"segment:{by}", by, "n rmsle bias share_of_error lift", segments_sql(by)) for by in ("district", "province")],
+        *[melted(f"bias:{f}", "bin", "n feature_mean rmsle bias", curve_sql(f)) for f in ("y", "horizon")],
+        melted("worst", "entity_id || '|' || CAST(date AS VARCHAR)", "err abs_err", "SELECT * FROM errors ORDER BY abs_err DESC, entity_id, date LIMIT 20"),
+    ]
+)
+
+
+@register("error_report", "section s, key s, metric s, value 6", REPORT_SQL)
 def error_report(spark, d):
     return X.error_report(T.scored(spark, d), ["district", "province"], ["y", "horizon"], ["entity_id", "date"], "y", "pred_a", min_n=20)
 

@@ -597,6 +597,24 @@ def attach_features(spark, d):
     return FT.attach_features(H.target_window(rows, T.CUT, T.END), history, T.CUT)
 
 
+INPUTS = [n for n in (c.split()[0] for c in MATRIX.split(",")) if n not in FT.NOT_FEATURES]
+
+
+@register(
+    "feature_list",
+    "feature s, present i",
+    f"SELECT feature, present FROM (UNPIVOT (SELECT {', '.join(f'count({n}) AS {n}' for n in INPUTS)} FROM ("
+    + matrix_sql("test_rows", "hist", "SELECT * FROM entity_history")
+    + f")) ON {', '.join(INPUTS)} INTO NAME feature VALUE present)",
+)
+def feature_list(spark, d):
+    """Inputs of the matrix that the check names, and on how many rows each is present."""
+    rows = attach_features(spark, d)
+    names = [c for c in FT.feature_list(rows) if c in INPUTS]
+    counts = rows.agg(*[F.count(c).alias(c) for c in names])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("present")) for c in names])).alias("r")).select("r.*")
+
+
 @register(
     "snapshot_block",
     f"{MATRIX}, pres_frac 6, pres_gap_frac 6",

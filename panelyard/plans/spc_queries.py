@@ -394,3 +394,40 @@ SELECT sqrt(avg(pow(resid, 2))) AS overall, sqrt(avg(pow(resid, 2)) FILTER (WHER
 def evaluate_on_anomalies(spark, d):
     rows = multi(spark, d).withColumns({"y": F.lit(0.0), "pred": F.col("resid")})
     return E.evaluate_on_anomalies(rows)
+
+
+# One path of the EWMA per preset: the smoothing differs.
+for preset, config in S.PRESETS.items():
+    lam = f"{config.ewma_lambda}e0"
+    cte(
+        f"path_{preset}",
+        f"""
+SELECT user_id, rn, m, s, resid AS e FROM charted WHERE rn = 1
+UNION ALL SELECT c.user_id, c.rn, c.m, c.s, {lam} * c.resid + (1 - {lam}) * p.e FROM path_{preset} p JOIN charted c ON c.user_id = p.user_id AND c.rn = p.rn + 1""",
+    )
+
+
+def preset_sql(name: str) -> str:
+    config = S.PRESETS[name]
+    lam = f"{config.ewma_lambda}e0"
+    reach = f"{config.ewma_multiplier}e0 * s * sqrt({lam} / (2 - {lam}) * (1 - pow(1 - {lam}, 2 * rn)))"
+    return (
+        f"SELECT '{name}' AS preset, (SELECT count(*) FROM charted) AS n, "
+        f"(SELECT count(*) FROM shewhart_rows r JOIN (SELECT user_id AS u, any_value(m) AS m FROM charted GROUP BY 1) b ON b.u = r.user_id "
+        f"WHERE abs(r.resid - b.m) > {config.shewhart_multiplier}e0 * (r.shewhart_upper - b.m) / 3) AS shewhart_flags, "
+        f"(SELECT count(*) FROM path_{name} WHERE abs(e - m) > {reach}) AS ewma_flags"
+    )
+
+
+@register("presets", "preset s, n i, shewhart_flags i, ewma_flags i", " UNION ALL ".join(preset_sql(name) for name in S.PRESETS), recursive=True)
+def presets(spark, d):
+    """Rows that every sensitivity preset flags."""
+    rows = staged(charted(spark, d))
+    out = None
+    for name, config in S.PRESETS.items():
+        flagged = S.ewma(S.shewhart(rows, KEYS, ORDER, "resid", config), KEYS, ORDER, "resid", config)
+        part = flagged.agg(
+            F.lit(name).alias("preset"), F.count("*").alias("n"), F.count_if("shewhart_anomaly").alias("shewhart_flags"), F.count_if("ewma_anomaly").alias("ewma_flags")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
