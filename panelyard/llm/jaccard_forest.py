@@ -1,9 +1,11 @@
-"""Similarity join of texts on word n-grams: a MinHash LSH forest, then exact verification.
-
-Every text gets ``trees`` labels of up to ``depth`` MinHash values. A tree is the sorted prefix trie of its labels, and
-two texts meet where they share a prefix. Matching starts from whole labels and shortens the prefix one value at a
-time until the chance that a pair of the wanted similarity meets in some tree reaches the target recall; the prefixes
-of that length are the nodes of the forest. Only texts that meet in a node are compared, on their exact n-gram sets.
+"""Similarity join of texts on word n-grams: MinHash label prefixes of one length, then exact verification.
+
+Every text gets ``trees`` labels of MinHash values, and two texts meet where they share a whole label. The length of the
+labels is settled beforehand from the parameters: from ``depth`` it is shortened one value at a time until the chance that
+a pair of exactly the wanted similarity meets in some tree reaches the target recall. So this is static banding with the
+length of a forest's last step, not a forest whose prefixes are shortened on the data: a join that may miss no link has
+to go down to that length for every text, and the longer prefixes would find subsets of the same candidates. Only texts
+that meet are compared, on their exact n-gram sets.
 
 * Exact copies are one text: a class, found by a 128-bit key. Links are counted with copies, never expanded.
 * Nodes with the same members (close texts meet in many trees) are one group. A pair that meets in several groups is
