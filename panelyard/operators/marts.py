@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelyard.functions.rounding import rounded
 from panelyard.functions.text import day_label
 from panelyard.operators.scale import attach
+from panelyard.session import staged
 
 META = ("capacity", "location", "province", "region", "district")
 # Entities of one mean in a district from which on they are split by the start of their ids, and how long that start is.
@@ -158,11 +159,32 @@ def entity_search(
 SORTABLE = ("entity_id", "capacity", "train_mean", "pred_mean", "yoy_pct", "train_max", "district", "confidence")
 
 
-def paged_list(entities: DataFrame, sort_by: str = "train_mean", descending: bool = True, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page in a whitelisted order, NULLs last, ties by id. An unknown key falls back to train_mean."""
+SHALLOW = 100_000
+
+
+def paged_list(
+    entities: DataFrame, sort_by: str = "train_mean", descending: bool = True, limit: int = 50, offset: int = 0, shallow: int = SHALLOW
+) -> DataFrame:
+    """One page in a whitelisted order, NULLs last, ties by id. An unknown key falls back to train_mean.
+
+    The first ``shallow`` places are a top-k. For a deeper page the table is dealt into sorted ranges of about as many rows,
+    the rows of each range are counted, and only the ranges that the page touches are sorted: one task never holds what
+    lies before the page.
+    """
     key = F.col(sort_by if sort_by in SORTABLE else "train_mean")
-    order = key.desc_nulls_last() if descending else key.asc_nulls_last()
-    return entities.orderBy(order, F.col("entity_id")).offset(offset).limit(limit)
+    order = [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("entity_id").asc()]
+    if offset + limit <= shallow:
+        return entities.orderBy(*order).offset(offset).limit(limit)
+    ranges = entities.count() // shallow + 1
+    dealt = staged(entities.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    before, wanted, skipped = 0, [], 0
+    for number, rows in sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect()):
+        if before < offset + limit and before + rows > offset:
+            skipped = skipped if wanted else before
+            wanted.append(number)
+        before += rows
+    page = dealt.where(F.col("_range").isin(wanted)).drop("_range")
+    return page.orderBy(*order).offset(max(offset - skipped, 0)).limit(limit)
 
 
 def distinct_facets(entities: DataFrame, forecasts: DataFrame | None = None) -> DataFrame:

@@ -329,6 +329,20 @@ def paged_list(spark, d):
     return M.paged_list(master(spark, d), "train_mean", True, limit=5, offset=3)
 
 
+@register(
+    "paged_list_deep",
+    "entity_id s, train_mean 2",
+    """
+SELECT entity_id || '@' || CAST(date AS VARCHAR) AS entity_id, nullif(value, 0) AS train_mean FROM panel
+ORDER BY 2 DESC NULLS LAST, 1 LIMIT 40 OFFSET 4000""",
+)
+def paged_list_deep(spark, d):
+    """A page far down a list of single readings, NULLs and ties among them."""
+    reading = F.concat_ws("@", "entity_id", F.col("date").cast("string"))
+    rows = T.panel(spark, d).select(reading.alias("entity_id"), F.expr("nullif(value, 0)").alias("train_mean"))
+    return M.paged_list(rows, "train_mean", True, limit=40, offset=4000, shallow=1000)
+
+
 @register(
     "district_summary",
     "province s, district s, n i, seen_n i, cold_n i, total_capacity 1, total_train_mean 2",

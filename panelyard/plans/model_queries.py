@@ -330,6 +330,20 @@ def stream_score_stateful(spark, d):
     return SC.run_to_table(scored, shared_dir(spark), fresh("stateful"))
 
 
+ORDERED_SQL = STATEFUL_SQL.replace("ORDER BY event_id", "ORDER BY epoch_ms(ts), event_id").replace("SELECT user_id, event_id, value, m, s,", "SELECT user_id, event_id, epoch_ms(ts) AS ms, value, m, s,") + (
+    " WHERE event_id IN (SELECT event_id FROM events WHERE epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) FROM events) - 86400000)"
+)
+
+
+@register("stream_score_ordered", "event_id i, ewma 6, ewma_anomaly i, cusum 6, cusum_anomaly i", ORDERED_SQL, recursive=True)
+def stream_score_ordered(spark, d):
+    # Rows that the watermark has passed, in event order; the last day stays in state until later events close it.
+    config = S.SPCConfig(cusum_units="standard")
+    events = event_stream(SC.with_state_store(spark), d)
+    scored = SC.stream_score_ordered(events, event_baselines(spark, d), "user_id", "ts", "event_id", "value", "1 day", config)
+    return SC.run_to_table(scored, shared_dir(spark), fresh("ordered"))
+
+
 @register(
     "stream_daily_panel",
     "user_id i, date d, value 2, readings i",

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import random
 
 import pytest
 from helpers import day, records, series
@@ -81,6 +82,12 @@ def test_forecast_is_checked_before_writing(spark, tmp_path):
         S.write_forecast(rows, 3, out)
     with pytest.raises(S.ForecastError):
         S.write_forecast(rows.withColumn("pred", F.lit(None).cast("double")), 2, out)
+    # a refused table leaves the one before, and nothing beside it; a good one takes its place
+    assert spark.read.option("header", True).csv(out).count() == 2
+    S.write_forecast(rows.where("id = '1'"), 1, out)
+    assert [r["id"] for r in spark.read.option("header", True).csv(out).collect()] == ["1"]
+    left = [n for n in os.listdir(os.path.dirname(out.rstrip("/"))) if n.startswith(os.path.basename(out.rstrip("/")))]
+    assert left == [os.path.basename(out.rstrip("/"))]
 
 
 def test_event_upsert_and_ledger(spark):
@@ -114,3 +121,14 @@ def test_leap_day_has_no_partner(spark):
     rows = series(spark, [(day("2024-02-29"),), (day("2025-02-28"),)], "date date")
     got = [r[0] for r in rows.select(M.same_day_a_year_before(F.col("date"))).collect()]
     assert got == [None, day("2024-02-28")]
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_deep_pages_equal_the_sorted_list(spark, descending):
+    rng = random.Random(4)
+    rows = [(f"e{i:05}", None if rng.random() < 0.2 else float(rng.randint(0, 40))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "entity_id string, train_mean double").repartition(7)
+    ordered = sorted(rows, key=lambda r: (r[1] is None, 0 if r[1] is None else (-r[1] if descending else r[1]), r[0]))
+    for offset, limit in ((0, 20), (190, 30), (1500, 400), (2990, 50), (5000, 5)):
+        got = [tuple(r) for r in M.paged_list(df, "train_mean", descending, limit, offset, shallow=200).collect()]
+        assert got == ordered[offset : offset + limit]
