@@ -15,6 +15,7 @@ from panelyard.session import shared_dir, staged
 from panelyard.sources import exports as X
 from panelyard.sources import panel as SP
 from panelyard.sources import sinks as SK
+from panelyard.sources.store import EventStore
 
 ROLES = C.DistrictRoles(
     agro=("NATION_0", "NATION_5", "NATION_6-Z1", "NATION_16-Z0", "NATION_20"),
@@ -732,6 +733,38 @@ def upsert_events(spark, d):
     return X.upsert_events(events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle), ["user_id", "event_type"], "ts")
 
 
+def stored_events(spark, d):
+    """The event table stored in three batches by day; the second is replayed, and the days of the first are no rows' days too."""
+    events = T.table(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts", F.to_date("ts").alias("date"))
+    events = events.withColumns({"kind": F.col("event_type"), "province": F.lit("all")})
+    store = EventStore(scratch(spark, "store"), ("user_id", "event_type"), "ts", 8)
+    day = F.dayofmonth("date")
+    days = events.select("kind", "province", "date").distinct()
+    for batch, part in enumerate((day <= 10, (day > 10) & (day <= 20), day > 20)):
+        for _ in range(2 if batch == 1 else 1):
+            store.upsert(events.where(part), batch, days.where(part))
+    return store, days
+
+
+@register(
+    "upsert_store",
+    "user_id i, event_type s, event_id i, value 2",
+    "SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM events GROUP BY 1, 2",
+)
+def upsert_store(spark, d):
+    return stored_events(spark, d)[0].rows(spark)
+
+
+@register(
+    "upsert_ledger",
+    "kind s, date d, n i, still_missing i",
+    "SELECT event_type AS kind, CAST(ts AS DATE) AS date, count(*) AS n, 0 AS still_missing FROM events GROUP BY 1, 2",
+)
+def upsert_ledger(spark, d):
+    store, days = stored_events(spark, d)
+    return store.ledger(spark).withColumn("still_missing", F.lit(store.missing(days).count()))
+
+
 @register(
     "fetch_ledger",
     "kind s, province s, date d",

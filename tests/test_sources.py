@@ -2,6 +2,7 @@ import hashlib
 import json
 import os
 import random
+import shutil
 
 import pytest
 from helpers import day, records, series
@@ -11,6 +12,7 @@ from panelyard.operators import marts as M
 from panelyard.sources import exports as X
 from panelyard.sources import panel as P
 from panelyard.sources import sinks as S
+from panelyard.sources.store import EventStore
 
 
 def write(path, text):
@@ -132,3 +134,43 @@ def test_deep_pages_equal_the_sorted_list(spark, descending):
     for offset, limit in ((0, 20), (190, 30), (1500, 400), (2990, 50), (5000, 5)):
         got = [tuple(r) for r in M.paged_list(df, "train_mean", descending, limit, offset, shallow=200).collect()]
         assert got == ordered[offset : offset + limit]
+
+
+def test_a_replayed_batch_changes_nothing_and_fetched_days_are_skipped(spark, tmp_path):
+    schema = "kind string, province string, date date, outage_id int, version int, reason string"
+    first = series(spark, [("k", "P", day("2025-01-01"), 1, 10, "old"), ("k", "P", day("2025-01-01"), 2, 10, "old")], schema)
+    second = series(spark, [("k", "P", day("2025-01-03"), 1, 11, "new"), ("k", "P", day("2025-01-03"), 3, 1, "new"), ("k", "P", day("2025-01-03"), 2, 9, "stale")], schema)
+    place = "kind string, province string, date date"
+    covered = series(spark, [("k", "P", day("2025-01-01")), ("k", "P", day("2025-01-02"))], place)
+    store = EventStore(str(tmp_path / "store"), ("kind", "outage_id"), "version", 4)
+    assert store.rows(spark) is None and store.ledger(spark).count() == 0
+    store.upsert(first, 0, covered)
+    store.upsert(second, 1, second.select("kind", "province", "date"))
+
+    def state():
+        return {r["outage_id"]: r["reason"] for r in store.rows(spark).collect()}, sorted((str(r["date"]), r["n"]) for r in store.ledger(spark).collect())
+
+    want = {1: "new", 2: "old", 3: "new"}, [("2025-01-01", 2), ("2025-01-02", 0), ("2025-01-03", 3)]
+    assert state() == want
+    store.upsert(first, 0, covered)
+    assert state() == want
+    # a crash between the rows and the ledger: the batch runs again as a whole
+    shutil.rmtree(tmp_path / "store" / "ledger" / "batch-1")
+    store.upsert(second, 1, second.select("kind", "province", "date"))
+    assert state() == want
+    wanted = series(spark, [("k", "P", day(f"2025-01-0{i}")) for i in range(1, 6)], place)
+    assert [str(r["date"]) for r in records(store.missing(wanted), "date")] == ["2025-01-04", "2025-01-05"]
+    store.upsert(first.limit(0), 2, wanted.where("date = '2025-01-04'"))
+    assert [str(r["date"]) for r in records(store.missing(wanted), "date")] == ["2025-01-05"] and state()[0] == want[0]
+
+
+def test_a_stream_fills_the_store(spark, tmp_path):
+    schema = "kind string, outage_id int, version int"
+    for n in range(3):
+        series(spark, [("k", i, n) for i in range(n, n + 3)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    store = EventStore(str(tmp_path / "store"), ("kind", "outage_id"), "version", 2)
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = stream.writeStream.foreachBatch(store.sink()).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert {r["outage_id"]: r["version"] for r in store.rows(spark).collect()} == {0: 0, 1: 1, 2: 2, 3: 2, 4: 2}
