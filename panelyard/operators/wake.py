@@ -87,7 +87,11 @@ def seasonal_wake_fit(hist: DataFrame, cutoff: str, params: WakeParams = WakePar
 def seasonal_wake_apply(
     rows: DataFrame, hist: DataFrame, cutoff: str, params: WakeParams = WakeParams(), fitted: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``wake``: expected log level of rows of dormant entities where their cohort woke; NULL elsewhere."""
+    """Add ``wake``: expected log level of rows of dormant entities where their cohort woke; NULL elsewhere.
+
+    The estimate depends on entity, place and month only, so the scopes meet the grid of these, of dormant entities alone;
+    the rows meet one table of its cells.
+    """
     fit = measured(seasonal_wake_fit(hist, cutoff, params) if fitted is None else fitted)
     dormant = dormant_before(hist.where(F.col("date") < day(cutoff)), day(cutoff), params.dormant_window)
 
@@ -101,11 +105,11 @@ def seasonal_wake_apply(
         )
 
     fleet = fit.where("scope = 'fleet'").agg(F.coalesce(F.max("p_level"), F.lit(0.0)).alias("_fleet_pl"))
-    out = rows.withColumn("month", F.month("date"))
-    out = out.join(scope("district", "district"), ["district", "month"], "left")
+    cell = ["entity_id", "district", "province", "month"]
+    grid = rows.withColumn("month", F.month("date")).select(*cell).join(dormant, "entity_id", "left_semi").distinct()
+    out = grid.join(scope("district", "district"), ["district", "month"], "left")
     out = out.join(scope("province", "province"), ["province", "month"], "left")
     out = out.join(scope("entity", "entity_id"), ["entity_id", "month"], "left")
-    out = out.join(dormant.withColumn("_dormant", F.lit(True)), "entity_id", "left")
     out = with_totals(out, fleet)
     base = F.coalesce(
         F.when(F.col("_district_n") >= params.min_district_obs, F.col("_district_pl")),
@@ -115,7 +119,11 @@ def seasonal_wake_apply(
     weight = F.coalesce(F.col("_entity_n") / (F.col("_entity_n") + params.own_weight), F.lit(0.0))
     estimate = clip(weight * F.coalesce("_entity_pl", F.lit(0.0)) + (1.0 - weight) * base, 0.0, params.max_level)
     woke = F.coalesce("_district_p", "_province_p") >= params.min_wake_p
-    return out.withColumn("wake", F.when(F.col("_dormant") & woke, estimate)).select(*rows.columns, "wake")
+    cells = measured(out.where(woke).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(cell)], estimate.alias("wake")))
+    same = F.month("date") == F.col("_c3")
+    for i, c in enumerate(cell[:3]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_c{i}"))
+    return rows.join(cells, same, "left").select(*rows.columns, "wake")
 
 
 def blend_wake(prediction: Column, wake: Column, weight: float = 1.0) -> Column:
