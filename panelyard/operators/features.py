@@ -12,7 +12,7 @@ from panelyard.functions.capacity import capacity_bucket_fixed, daily_limit
 from panelyard.operators import history as H
 from panelyard.operators.profiles import presence_features
 from panelyard.operators.regime import attach_state, detect_regimes, normalize_history
-from panelyard.operators.scale import attach, measured
+from panelyard.operators.scale import measured_together
 
 
 def enrich(panel: DataFrame, weather: DataFrame, holidays: HolidayCalendar = TURKEY) -> DataFrame:
@@ -39,17 +39,20 @@ def attach_features(rows: DataFrame, hist: DataFrame, cutoff: str, presence: boo
     out = out.join(H.month_profile(profiles), ["entity_id", "month"], "left")
     out = out.join(H.weekday_profile(profiles), ["entity_id", "dow"], "left")
     out = out.join(same_day_last_year(hist), ["entity_id", "date"], "left")
-    levels = measured(H.group_levels(hist))
+    groups = measured_together(
+        {"levels": H.group_levels(hist), "medians": H.capacity_medians(hist), "dynamics": H.district_dynamics(hist), "peers": H.peer_benchmarks(hist)}
+    )
+    levels = groups["levels"]
     out = out.join(H.level_table(levels, "district", district_mean="level_mean", district_lf="level_lf"), "district", "left")
     by_month = H.level_table(levels, "district_month", district_moy_mean="level_mean", district_lf_moy="level_lf")
     out = out.join(by_month, ["district", "month"], "left")
     out = out.join(H.level_table(levels, "capacity", cap_mean="level_mean"), "capacity", "left")
     cells = H.level_table(levels, "district_capacity", cell_mean="level_mean", cell_n="level_n")
     out = out.join(cells, ["district", "capacity"], "left")
-    out = attach(out, H.capacity_medians(hist), "capacity")
-    out = attach(out, H.district_dynamics(hist), "district")
+    out = out.join(groups["medians"], "capacity", "left")
+    out = out.join(groups["dynamics"], "district", "left")
     out = out.withColumn("capacity_bucket", capacity_bucket_fixed(F.col("capacity")))
-    out = attach(out, H.peer_benchmarks(hist), ["district", "capacity_bucket"])
+    out = out.join(groups["peers"], ["district", "capacity_bucket"], "left")
 
     # Ordered fallbacks: own level first, then the (district, capacity) cell, then the district.
     out = out.withColumn("seen", F.col("ent_mean").isNotNull().cast("int"))

@@ -28,6 +28,19 @@ def measured(dim: DataFrame) -> DataFrame:
     return staged(dim)
 
 
+def measured_together(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Several reduced tables stored by one write: their aggregates run side by side, and each is read back by itself.
+
+    Each table is a struct column of its own, so a reader touches the columns of its table only.
+    """
+    union = None
+    for name, df in tables.items():
+        part = df.select(F.lit(name).alias("_table"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(f"_{name}"))
+        union = part if union is None else union.unionByName(part, allowMissingColumns=True)
+    stored = staged(union)
+    return {name: stored.where(F.col("_table") == name).select(f"_{name}.*") for name in tables}
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     condition = F.lit(True)
     for key in keys:
