@@ -151,31 +151,31 @@ def classify_load_type(metrics: DataFrame, roles: DistrictRoles) -> DataFrame:
             (zero >= 0.75) | ((mean < 1.0) & (near >= 0.85)),
             INACTIVE,
             either(zero >= 0.90, 0.96, 0.88),
-            F.format_string("zero days %.1f%%, daily mean %.2f kWh", zero * 100, mean),
+            F.format_string("zero days %.1f%%, daily mean %.2f kWh", rounded(zero * 100, 1), rounded(mean, 2)),
         ),
         Rule(
             ((sw >= 2.2) & agro) | ((sw >= 2.8) & ~tour) | ((sw >= 1.75) & agro & (temp > 0.40)),
             IRRIGATION,
             either((sw >= 2.5) & agro, 0.93, 0.86),
-            F.format_string("summer/winter %.2f, temperature correlation %.2f in %s", sw, temp, place),
+            F.format_string("summer/winter %.2f, temperature correlation %.2f in %s", rounded(sw, 2), rounded(temp, 2), place),
         ),
         Rule(
             tour & ((sw >= 1.6) | ((sw >= 1.35) & (weekend >= 1.02))),
             TOURISM,
             either(sw >= 1.8, 0.91, 0.83),
-            F.format_string("coastal %s, summer/winter %.2f, weekend/weekday %.2f", place, sw, weekend),
+            F.format_string("coastal %s, summer/winter %.2f, weekend/weekday %.2f", place, rounded(sw, 2), rounded(weekend, 2)),
         ),
         Rule(
             (cv < 0.20) & even & sunday.between(0.95, 1.05),
             BASE_LOAD,
             F.lit(0.89),
-            F.format_string("flat profile, variation %.2f, weekend/weekday %.2f", cv, weekend),
+            F.format_string("flat profile, variation %.2f, weekend/weekday %.2f", rounded(cv, 2), rounded(weekend, 2)),
         ),
         Rule(
             (sw < 0.70) & even & (temp < -0.30),
             BASE_LOAD,
             F.lit(0.87),
-            F.format_string("winter peak, summer/winter %.2f", sw),
+            F.format_string("winter peak, summer/winter %.2f", rounded(sw, 2)),
             local=LIGHTING_LOCAL,
         ),
         Rule(
@@ -184,19 +184,19 @@ def classify_load_type(metrics: DataFrame, roles: DistrictRoles) -> DataFrame:
             | ((kva >= 630) & (mean >= 4000) & (sunday <= 0.85)),
             INDUSTRY,
             either((lf >= 0.40) & (sunday <= 0.80), 0.92, 0.85),
-            F.format_string("%.0f kVA at load factor %.1f%%, Sunday %.2f, feast %.2f", kva, lf * 100, sunday, feast),
+            F.format_string("%.0f kVA at load factor %.1f%%, Sunday %.2f, feast %.2f", rounded(kva, 0), rounded(lf * 100, 1), rounded(sunday, 2), rounded(feast, 2)),
         ),
         Rule(
             ((sunday <= 0.82) | (weekend <= 0.86)) & (metro | (kva >= 250)),
             COMMERCE,
             either(sunday <= 0.75, 0.87, 0.81),
-            F.format_string("weekday load, Sunday %.2f, summer/winter %.2f", sunday, sw),
+            F.format_string("weekday load, Sunday %.2f, summer/winter %.2f", rounded(sunday, 2), rounded(sw, 2)),
         ),
         Rule(
             F.lit(True),
             RESIDENTIAL,
             F.lit(0.86),
-            F.format_string("balanced seasons %.2f, weekend/weekday %.2f, load factor %.1f%%", sw, weekend, lf * 100),
+            F.format_string("balanced seasons %.2f, weekend/weekday %.2f, load factor %.1f%%", rounded(sw, 2), rounded(weekend, 2), rounded(lf * 100, 1)),
         ),
     ]
     return apply_rules(metrics.where(F.col("days") > 0), rules)

@@ -60,16 +60,9 @@ SELECT *, mean_t / (capacity * 24) AS load_factor, p90_t / (capacity * 24) AS p9
 FROM metrics_base""",
 )
 cte(
-    "load_types",
+    "load_rules",
     f"""
-SELECT entity_id, district, CASE rule WHEN 1 THEN 'Inactive / Standby' WHEN 2 THEN 'Agricultural Irrigation' WHEN 3 THEN 'Tourism & Seasonal Residential'
-         WHEN 4 THEN 'Continuous Base Load & Infrastructure' WHEN 5 THEN 'Continuous Base Load & Infrastructure' WHEN 6 THEN 'Industrial & Manufacturing'
-         WHEN 7 THEN 'Commercial & Services' ELSE 'Urban Residential' END AS load_type,
-       CASE rule WHEN 1 THEN CASE WHEN zero_ratio >= 0.9 THEN 0.96 ELSE 0.88 END WHEN 2 THEN CASE WHEN sw >= 2.5 AND agro THEN 0.93 ELSE 0.86 END
-         WHEN 3 THEN CASE WHEN sw >= 1.8 THEN 0.91 ELSE 0.83 END WHEN 4 THEN 0.89 WHEN 5 THEN 0.87
-         WHEN 6 THEN CASE WHEN load_factor >= 0.4 AND su <= 0.8 THEN 0.92 ELSE 0.85 END WHEN 7 THEN CASE WHEN su <= 0.75 THEN 0.87 ELSE 0.81 END
-         ELSE 0.86 END AS confidence
-FROM (SELECT *, CASE WHEN zero_ratio >= 0.75 OR (mean_t < 1 AND near_zero_ratio >= 0.85) THEN 1
+SELECT *, CASE WHEN zero_ratio >= 0.75 OR (mean_t < 1 AND near_zero_ratio >= 0.85) THEN 1
     WHEN (sw >= 2.2 AND agro) OR (sw >= 2.8 AND NOT tour) OR (sw >= 1.75 AND agro AND temp_corr > 0.4) THEN 2
     WHEN tour AND (sw >= 1.6 OR (sw >= 1.35 AND we >= 1.02)) THEN 3
     WHEN coalesce(cv, 0) < 0.2 AND we BETWEEN 0.95 AND 1.05 AND su BETWEEN 0.95 AND 1.05 THEN 4
@@ -79,7 +72,19 @@ FROM (SELECT *, CASE WHEN zero_ratio >= 0.75 OR (mean_t < 1 AND near_zero_ratio
     WHEN (su <= 0.82 OR we <= 0.86) AND (metro OR capacity >= 250) THEN 7 ELSE 8 END AS rule
   FROM (SELECT * REPLACE (coalesce(temp_corr, 0) AS temp_corr), coalesce(sw_ratio, 1) AS sw, coalesce(we_wd_ratio, 1) AS we, coalesce(sun_wd_ratio, 1) AS su,
                coalesce(feast_ratio, 1) AS fe, district IN ({listed(ROLES.agro)}) AS agro, district IN ({listed(ROLES.tourism)}) AS tour,
-               district IN ({listed(ROLES.industry)}) AS ind, district IN ({listed(ROLES.metro)}) AS metro FROM load_metrics))""",
+               district IN ({listed(ROLES.industry)}) AS ind, district IN ({listed(ROLES.metro)}) AS metro FROM load_metrics)""",
+)
+cte(
+    "load_types",
+    f"""
+SELECT entity_id, district, CASE rule WHEN 1 THEN 'Inactive / Standby' WHEN 2 THEN 'Agricultural Irrigation' WHEN 3 THEN 'Tourism & Seasonal Residential'
+         WHEN 4 THEN 'Continuous Base Load & Infrastructure' WHEN 5 THEN 'Continuous Base Load & Infrastructure' WHEN 6 THEN 'Industrial & Manufacturing'
+         WHEN 7 THEN 'Commercial & Services' ELSE 'Urban Residential' END AS load_type,
+       CASE rule WHEN 1 THEN CASE WHEN zero_ratio >= 0.9 THEN 0.96 ELSE 0.88 END WHEN 2 THEN CASE WHEN sw >= 2.5 AND agro THEN 0.93 ELSE 0.86 END
+         WHEN 3 THEN CASE WHEN sw >= 1.8 THEN 0.91 ELSE 0.83 END WHEN 4 THEN 0.89 WHEN 5 THEN 0.87
+         WHEN 6 THEN CASE WHEN load_factor >= 0.4 AND su <= 0.8 THEN 0.92 ELSE 0.85 END WHEN 7 THEN CASE WHEN su <= 0.75 THEN 0.87 ELSE 0.81 END
+         ELSE 0.86 END AS confidence
+FROM load_rules""",
 )
 
 
@@ -110,7 +115,25 @@ def classify_load_type(spark, d):
     return classified(spark, d)
 
 
-@register("load_type_explanations", "entity_id s, load_type_local s, explanation s")
+def said(name: str, digits: int, factor: str = "") -> str:
+    return f"round(CAST({name}{factor} AS DOUBLE) + {10.0 ** -(digits + 3)!r}, {digits})"
+
+
+EXPLAINED = f"""
+SELECT entity_id, CASE WHEN rule = 5 THEN '{C.LIGHTING_LOCAL}' ELSE CASE load_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.LOCAL_NAMES.items())} END END AS load_type_local,
+  CASE rule
+    WHEN 1 THEN printf('zero days %.1f%%, daily mean %.2f kWh', {said("zero_ratio", 1, " * 100")}, {said("mean_t", 2)})
+    WHEN 2 THEN printf('summer/winter %.2f, temperature correlation %.2f in %s', {said("sw", 2)}, {said("temp_corr", 2)}, upper(district))
+    WHEN 3 THEN printf('coastal %s, summer/winter %.2f, weekend/weekday %.2f', upper(district), {said("sw", 2)}, {said("we", 2)})
+    WHEN 4 THEN printf('flat profile, variation %.2f, weekend/weekday %.2f', {said("coalesce(cv, 0)", 2)}, {said("we", 2)})
+    WHEN 5 THEN printf('winter peak, summer/winter %.2f', {said("sw", 2)})
+    WHEN 6 THEN printf('%.0f kVA at load factor %.1f%%, Sunday %.2f, feast %.2f', {said("capacity", 0)}, {said("load_factor", 1, " * 100")}, {said("su", 2)}, {said("fe", 2)})
+    WHEN 7 THEN printf('weekday load, Sunday %.2f, summer/winter %.2f', {said("su", 2)}, {said("sw", 2)})
+    ELSE printf('balanced seasons %.2f, weekend/weekday %.2f, load factor %.1f%%', {said("sw", 2)}, {said("we", 2)}, {said("load_factor", 1, " * 100")}) END AS explanation
+FROM load_rules JOIN (SELECT entity_id AS e, load_type FROM load_types) t ON t.e = entity_id"""
+
+
+@register("load_type_explanations", "entity_id s, load_type_local s, explanation s", EXPLAINED)
 def load_type_explanations(spark, d):
     return classified(spark, d)
 
