@@ -813,6 +813,30 @@ def source_fingerprint(spark, d):
     return X.source_fingerprints({t: T.table(spark, d, t) for t in CATALOG}).withColumn("digits", F.length("print"))
 
 
+@register(
+    "source_fingerprint_files",
+    "table_name s, files i, rows i, bytes i, steady i, distinct_from_others i",
+    """
+SELECT t.name AS table_name, 1 AS files, count(*) AS rows, sum(octet_length(encode(n_name)) + 1 + t.extra) AS bytes, TRUE AS steady, TRUE AS distinct_from_others
+FROM nation, (VALUES ('plain', 0), ('longer', 1)) t(name, extra) GROUP BY 1""",
+)
+def source_fingerprint_files(spark, d):
+    """Two text files of known size: the bytes seen, whether a second look prints the same, and whether the files print apart."""
+    names = T.table(spark, d, "nation").select(F.col("n_name").alias("value"))
+    folder = scratch(spark, "prints")
+    for name, text in (("plain", F.col("value")), ("longer", F.concat("value", F.lit("!")))):
+        names.select(text.alias("value")).coalesce(1).write.text(f"{folder}/{name}")
+
+    def look():
+        return X.source_fingerprints({name: spark.read.text(f"{folder}/{name}") for name in ("plain", "longer")})
+
+    first = staged(look())
+    again = look().select(F.col("table_name").alias("t"), F.col("print").alias("again"))
+    prints = first.agg(F.count_distinct("print") == 2).scalar()
+    rows = first.join(again, F.col("table_name") == F.col("t"))
+    return rows.withColumns({"steady": (F.col("print") == F.col("again")) & (F.length("print") == 12), "distinct_from_others": prints})
+
+
 @register(
     "write_forecast",
     "entity_id s, date d, value 4",

@@ -196,7 +196,7 @@ def source_fingerprint(spark: SparkSession, path: str) -> str:
 
 
 def source_fingerprints(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(table_name, files, rows, print) of file-backed tables: 12 hex digits of a digest over their files' sizes and times.
+    """(table_name, files, rows, bytes, print) of file-backed tables: 12 hex digits of a digest over their files' sizes and times.
 
     One scan of each table's metadata columns; files are reduced by aggregates, in the order of their paths.
     """
@@ -206,6 +206,6 @@ def source_fingerprints(tables: Mapping[str, DataFrame]) -> DataFrame:
         files = facts.groupBy("path", "size", "time").agg(F.count("*").alias("rows"))
         stamp = F.concat_ws(":", F.col("size").cast("string"), F.unix_micros("time").cast("string"))
         listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", stamp.alias("stamp")))), lambda f: f["stamp"]), "|")
-        row = files.agg(F.lit(name).alias("table_name"), F.count("*").alias("files"), F.sum("rows").alias("rows"), F.substring(F.sha1(listed.cast("binary")), 1, 12).alias("print"))
+        row = files.agg(F.lit(name).alias("table_name"), F.count("*").alias("files"), F.sum("rows").alias("rows"), F.sum("size").alias("bytes"), F.substring(F.sha1(listed.cast("binary")), 1, 12).alias("print"))
         out = row if out is None else out.unionByName(row)
     return out
