@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,28 @@ def test_categories_missing_columns_and_empty_arms(spark):
     with pytest.raises(ValueError):
         B.fit_many(rows, [B.Arm("m", ("a",)), B.Arm("m", ("a",))], "y")
     assert B.fit_many(rows.where("y IS NULL"), [B.Arm("m", ("a",), FULL)], "y")["m"].predict(rows).agg(F.max("pred")).first()[0] == 0.0
+
+
+def test_a_moderate_table_is_spread_over_the_cores(spark):
+    rows = spark.range(40_000).selectExpr("id", "rand(1) AS a", "rand(2) AS y")
+    arms = [B.Arm("m", ("a",))]
+    matrix, tasks, _ = B.binned(rows, arms, B.encode(rows, ["a"], (), "y", 16), "y")
+    cores = spark.sparkContext.defaultParallelism
+    assert tasks == min(4, cores)
+    seen = [c.rows for r in matrix.collect() for c in [B.Chunk([pa.py_buffer(v) for v in r], 1)]]
+    assert sum(seen) == 40_000 and matrix.rdd.getNumPartitions() <= tasks
+
+
+def test_a_bracket_of_one_value_sends_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(B, "SENT", 64)
+    asked = []
+    real = B.starts
+    monkeypatch.setattr(B, "starts", lambda low, high, *rest: asked.append(low == high) or real(low, high, *rest))
+    rows = spark.range(30_000).selectExpr("id", "1.0D AS a", "IF(id % 10 = 0, id / 30000, 0.25D) AS y")
+    model = B.fit_many(rows, [B.Arm("m", ("a",), B.TreeParams(trees=0))], "y")["m"]
+    assert model.trees[0].value[1] == 0.25 and asked and not any(asked)
+
+
+def test_bits_of_doubles_go_back(spark):
+    for x in (0.0, -1.5, 2.25, 1e300, -1e-300):
+        assert B.of_bits(int(B.ordered_bits(np.array([x]))[0])) == x
