@@ -2,7 +2,8 @@
 restates older readings in today's units.
 
 Everything is a window or an aggregate keyed by entity, whose rows are one per day. All windows partition
-by entity (or entity and segment, which the same shuffle satisfies), so detection costs one exchange.
+by entity (or entity and segment, which the same shuffle satisfies), so detection costs one exchange. The exchange has a partition
+per so many rows, so a task needs no more memory for a larger fleet.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.operators.scale import latest_date, nearest_before
+from panelyard.operators.scale import latest_date, nearest_before, spread
 
 # Amplification rates that a change of meter settings can multiply readings by, ascending.
 SCALE_RATES = (
@@ -51,7 +52,7 @@ def window_median_contrast(hist: DataFrame, params: RegimeParams = RegimeParams(
     y = F.col("_log")
     left = F.percentile(y, F.lit(0.5)).over(by_day().rowsBetween(-w, -1))
     right = F.percentile(y, F.lit(0.5)).over(by_day().rowsBetween(0, w - 1))
-    out = hist.withColumn("_log", F.log1p("value")).withColumns(
+    out = spread(hist, "entity_id").withColumn("_log", F.log1p("value")).withColumns(
         {
             "pos": F.row_number().over(by_day()) - 1,
             "n": F.count("*").over(Window.partitionBy("entity_id")),

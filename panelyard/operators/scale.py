@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,24 @@ def with_totals(facts: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
+TASK_ROWS = 1 << 18
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int | None:
+    """Partitions of about ``TASK_ROWS`` rows; None if the session's number of shuffle partitions is enough."""
+    wanted = -(-rows // TASK_ROWS)
+    return wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a stored table by ``keys`` so that a task holds about ``TASK_ROWS`` rows, however many there are.
+
+    Windows and groups on the keys then need no exchange of their own. A small table stays as it is.
+    """
+    tasks = tasks_for(df.sparkSession, df.count())
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
 def latest_date(df: DataFrame, date: str = "date") -> Column:
     """The largest date of the whole table, as a scalar subquery usable in any filter."""
     return df.agg(F.max(date)).scalar()

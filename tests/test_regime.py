@@ -3,6 +3,7 @@ from helpers import days, pandas, records, series
 from pyspark.sql import functions as F
 
 from panelyard.operators import regime as R
+from panelyard.operators import scale as S
 
 SCHEMA = "entity_id string, date date, value double, capacity double"
 
@@ -91,3 +92,13 @@ def test_state_defaults_for_unknown_entities(spark):
     _, state = R.detect_regimes(rows)
     got = records(R.attach_state(series(spark, [("a",), ("new",)], "entity_id string"), state), "entity_id")
     assert got[0]["regime_last_break"] in (1, 2) and got[1]["regime_last_break"] == 0 and got[1]["regime_last_ratio"] == 1.0
+
+
+def test_tasks_grow_with_the_fleet(spark, monkeypatch):
+    rows = spark.range(600).selectExpr("concat('e', id % 30) AS entity_id", "date_add(DATE'2025-01-01', CAST(id DIV 30 AS INT)) AS date", "1.0D AS value", "9.0D AS capacity")
+    small = R.segment_breaks(rows)
+    monkeypatch.setattr(S, "TASK_ROWS", 50)
+    many = R.segment_breaks(rows)
+    assert S.spread(rows, "entity_id").rdd.getNumPartitions() == 12 and S.tasks_for(spark, 200) is None
+    assert "entity_id" in many.columns and many.rdd.getNumPartitions() == 12 > small.rdd.getNumPartitions()
+    assert records(many, "entity_id", "date") == records(small, "entity_id", "date")
