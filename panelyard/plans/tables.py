@@ -29,8 +29,9 @@ RATINGS = (50, 100, 160, 250, 400, 630, 800, 1000, 1250, 1600)
 # Suppliers below this account balance got a new meter at the cutoff: from then on their readings are another entity's,
 # one without history.
 NEW_BALANCE = 1000
-# Days with orders and ends of the span that one task expands to the days between them.
-MARKS = 1 << 17
+# Days with orders and ends of the span that one task expands to the days between them: some millions of days, which
+# windows and joins by entity then sort in memory.
+MARKS = 1 << 14
 FOLDS = (("2000-04-01", "2000-05-01"), ("2000-05-01", "2000-06-15"), ("2000-06-15", END))
 HOLIDAYS = HolidayCalendar(
     fixed=((1, 1), (4, 23), (5, 1), (5, 19), (7, 15), (8, 30), (10, 29)),
@@ -292,12 +293,13 @@ def household(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # Zero days are the gaps between marks (days with orders, and both ends of the span), so only marks are
     # shuffled and every gap is expanded where its mark is. The expansion is several hundredfold, hence the
-    # explicit number of partitions before it, which grows with the marks (counts of stored tables read no rows).
+    # explicit number of partitions before it, which grows with the marks (counts of stored tables read no rows). They are
+    # dealt by entity, so windows and aggregates by entity move no expanded day.
     ends = homes.select("_key", F.explode(F.array(F.date_sub(first, 1), end)).alias("_day"))
     marks = ends.withColumn("_v", F.lit(None).cast("double")).unionByName(bought).join(homes, "_key")
     tasks = max(2 * spark.sparkContext.defaultParallelism, (2 * customer.count() + orders.count()) // MARKS)
-    spread = marks.repartition(tasks, "_key")
-    following = F.lead("_day").over(Window.partitionBy("_key").orderBy("_day"))
+    spread = marks.repartition(tasks, "entity_id")
+    following = F.lead("_day").over(Window.partitionBy("entity_id", "_key").orderBy("_day"))
     gaps = spread.withColumn("_next", following).where("_next IS NOT NULL")
     days = gaps.withColumn("date", F.explode(F.sequence("_day", F.date_sub("_next", 1)))).where(F.col("date") >= first)
     value = F.when(F.col("date") == F.col("_day"), F.coalesce("_v", F.lit(0.0))).otherwise(F.lit(0.0))
