@@ -37,7 +37,14 @@ def regime_shift_features(hist: DataFrame, window_days: int = 60) -> DataFrame:
     def positive_median(condition: Column) -> Column:
         return F.percentile(F.when(condition & (v > 0), v), F.lit(0.5))
 
-    base = hist.groupBy("entity_id").agg(
+    # The trailing streak: readings after the last one that was not elevated. Two windows by entity judge the rows where
+    # they lie, so one aggregate makes everything and a panel dealt by entity is not moved.
+    own = Window.partitionBy("entity_id")
+    limit = 1.5 * F.coalesce(positive_median(F.lit(True)).over(own), F.lit(1.0))
+    judged = hist.withColumn("_recent", recent).withColumn("_calm", F.coalesce(v <= limit, F.lit(False)))
+    judged = judged.withColumn("_last_calm", F.max(F.when(F.col("_calm"), F.col("date"))).over(own))
+    recent, trailing = F.col("_recent"), F.col("_last_calm").isNull() | (F.col("date") > F.col("_last_calm"))
+    base = judged.groupBy("entity_id").agg(
         positive_median(recent).alias("recent_med"),
         positive_median(~recent).alias("older_med"),
         positive_median(F.lit(True)).alias("life_med"),
@@ -45,16 +52,8 @@ def regime_shift_features(hist: DataFrame, window_days: int = 60) -> DataFrame:
         F.stddev_samp(F.when(recent, v)).alias("recent_std"),
         F.avg(v).alias("life_mean"),
         avg_where(v, month.isin(*SUMMER)).alias("summer_mean"),
-        F.count("*").alias("n"),
+        F.sum(trailing.cast("int")).alias("_streak"),
     )
-    # The trailing streak: readings after the last one that was not elevated, by two aggregates over the same key.
-    limit = base.select(F.col("entity_id").alias("_id"), (1.5 * F.coalesce("life_med", F.lit(1.0))).alias("_limit"))
-    judged = hist.join(limit, F.col("entity_id").eqNullSafe(F.col("_id"))).withColumn("_calm", F.coalesce(v <= F.col("_limit"), F.lit(False)))
-    calm = judged.groupBy("_id").agg(F.max(F.when(F.col("_calm"), F.col("date"))).alias("_last_calm"))
-    after = judged.join(calm.withColumnRenamed("_id", "_c"), F.col("_id").eqNullSafe(F.col("_c")))
-    trailing = F.col("_last_calm").isNull() | (F.col("date") > F.col("_last_calm"))
-    streaks = after.groupBy("_id").agg(F.sum(trailing.cast("int")).alias("_streak"))
-    base = base.join(streaks, F.col("entity_id").eqNullSafe(F.col("_id"))).drop("_id")
     streak = F.col("_streak")
     # An entity that never had a positive reading has no level to compare and stays NULL.
     known = F.coalesce(F.col("recent_med") / F.col("older_med"), F.col("recent_med") / F.col("life_med"), F.lit(1.0))
