@@ -88,7 +88,11 @@ def entity_life(hist: DataFrame) -> DataFrame:
 
 def prefix_rates(hist: DataFrame, lengths: Sequence[int] = PREFIX_LENGTHS) -> DataFrame:
     """Dead rate and level per identifier prefix, shrunk to the fleet: columns length, prefix, dead, level, n."""
-    per = entity_life(hist)
+    return life_rates(measured(entity_life(hist)), lengths)
+
+
+def life_rates(per: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """The same from a stored ``entity_life``, so the readings are passed over once."""
     fleet = per.agg(F.avg("dead").alias("fleet_dead"), F.avg("level").alias("fleet_level"))
     prefixes = F.explode(
         F.array(*[F.struct(F.lit(k).alias("length"), F.substring("entity_id", 1, k).alias("prefix")) for k in lengths])
@@ -111,8 +115,9 @@ def prefix_rates(hist: DataFrame, lengths: Sequence[int] = PREFIX_LENGTHS) -> Da
 
 def attach_prefix(rows: DataFrame, hist: DataFrame, lengths: Sequence[int] = PREFIX_LENGTHS) -> DataFrame:
     """Prefix columns on every row; an unknown prefix gets the fleet values and a zero count."""
-    rates = measured(prefix_rates(hist, lengths))
-    fleet = entity_life(hist).agg(F.avg("dead").alias("_fd"), F.avg("level").alias("_fl"))
+    life = measured(entity_life(hist))
+    rates = measured(life_rates(life, lengths))
+    fleet = life.agg(F.avg("dead").alias("_fd"), F.avg("level").alias("_fl"))
     out = with_totals(rows, fleet)
     for k in lengths:
         one = rates.where(F.col("length") == k).select(

@@ -1,5 +1,11 @@
+import re
+
 from pyspark.sql import functions as F
 
+from panelyard.operators import groups as G
+from panelyard.operators.contract import longest_run
+from panelyard.operators.groups import entity_life
+from panelyard.operators.profiles import regime_shift_features
 from panelyard.plans import tables as T
 
 
@@ -18,3 +24,31 @@ def test_household_tasks_grow_with_the_marks(spark, tmp_path, monkeypatch):
     assert many.rdd.getNumPartitions() == 40 > few.rdd.getNumPartitions()
     for rows in (few, many):
         assert rows.agg(F.count("*"), F.count_distinct("entity_id"), F.sum("value")).first()[:] == (280, 40, 120.0)
+
+
+def test_windows_by_entity_do_not_move_the_expanded_days(spark, tmp_path):
+    tables = {
+        "customer": spark.range(1, 5).selectExpr("id AS c_custkey", "0 AS c_nationkey"),
+        "nation": spark.sql("SELECT 0 AS n_nationkey, 'N' AS n_name, 0 AS n_regionkey"),
+        "region": spark.sql("SELECT 0 AS r_regionkey, 'R' AS r_name"),
+        "orders": spark.range(8).selectExpr("1 + id % 4 AS o_custkey", "date_add(DATE'2000-01-01', CAST(id AS INT)) AS o_orderdate", "100.0D AS o_totalprice"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = T.household(spark, str(tmp_path))
+
+    flagged = rows.withColumn("zero", F.col("value") == 0)
+    for df in (longest_run(flagged, ["entity_id"], "date", "zero", "longest"), regime_shift_features(rows), entity_life(rows)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(entity_id.*REPARTITION_BY_NUM", plan)
+        assert not re.search(r"hashpartitioning\(.*entity_id.*ENSURE_REQUIREMENTS", plan)
+
+
+def test_prefix_attach_passes_over_the_readings_once(spark, monkeypatch):
+    life, seen = G.entity_life, []
+    monkeypatch.setattr(G, "entity_life", lambda hist: seen.append(hist) or life(hist))
+    hist = spark.createDataFrame([("aa1", 0.0, 0.0), ("aa1", 1.0, 0.5), ("ab2", 0.0, 0.0)], "entity_id string, value double, log_value double")
+    out = {r["entity_id"]: r for r in G.attach_prefix(spark.createDataFrame([("aa9",), ("zz9",)], "entity_id string"), hist, (1, 2)).collect()}
+    assert len(seen) == 1
+    assert out["aa9"]["pfx1_dead"] == (0.5 * 2 + 0.5 * 5) / 7 and out["aa9"]["pfx2_dead"] == 0.5 * 5 / 6
+    assert out["zz9"]["pfx2_dead"] == 0.5 and out["zz9"]["pfx2_mean"] == 0.125 and out["zz9"]["pfx2_n"] == 0
