@@ -52,3 +52,15 @@ def test_walk_forward_uses_earlier_blocks_only(spark):
         blocks = blocks.unionByName(rows(spark, 200, i).withColumn("block", F.lit(i)))
     out = M.walk_forward(blocks, ["x", "z"], 2, {"a": TINY, "b": M.TreeParams(trees=1, depth=2)})
     assert out.count() == 200 and {r["fold"] for r in out.select("fold").distinct().collect()} == {"2"}
+
+
+def test_the_activity_classifier_runs_in_few_tasks_over_its_inputs_alone(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(M.Pipeline, "fit", lambda self, df: held.append((df.columns, df.rdd.getNumPartitions())))
+    train, cores = rows(spark), spark.sparkContext.defaultParallelism
+    M.fit_activity(train.withColumn("wide", F.lit("x")).repartition(3 * cores))
+    features = M.numeric_features(train, M.ACTIVITY_FEATURES)
+    assert held == [([*features, "label", *[f"{c}__m" for c in features]], cores)]
+    monkeypatch.setattr(M, "ROWS", 1)
+    M.fit_activity(train.repartition(3 * cores))
+    assert held[1][1] == 3 * cores
