@@ -152,3 +152,9 @@ def test_a_bracket_of_one_value_sends_no_rows(spark, monkeypatch):
 def test_bits_of_doubles_go_back(spark):
     for x in (0.0, -1.5, 2.25, 1e300, -1e-300):
         assert B.of_bits(int(B.ordered_bits(np.array([x]))[0])) == x
+
+
+def test_sketches_are_spread_over_the_cores(spark):
+    rows = spark.range(8 * B.LEAST, numPartitions=1)
+    assert B.dealt(rows, 8 * B.LEAST).rdd.getNumPartitions() == 8
+    assert B.dealt(rows, 10).rdd.getNumPartitions() == 1
