@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions.rounding import rounded
 from panelyard.functions.text import day_label
-from panelyard.operators.scale import attach
+from panelyard.operators.scale import TASK_ROWS, attach
 from panelyard.session import staged
 
 META = ("capacity", "location", "province", "region", "district")
@@ -167,15 +167,18 @@ def paged_list(
 ) -> DataFrame:
     """One page in a whitelisted order, NULLs last, ties by id. An unknown key falls back to train_mean.
 
-    The first ``shallow`` places are a top-k. For a deeper page the table is dealt into sorted ranges of about as many rows,
-    the rows of each range are counted, and only the ranges that the page touches are sorted: one task never holds what
-    lies before the page.
+    The first ``shallow`` places are a top-k. For a deeper page the stored table is dealt into sorted ranges of about as many
+    rows, or of ``TASK_ROWS`` where that would be more ranges than the session's shuffle partitions. The rows of each range
+    are counted, and only the ranges that the page touches are sorted: one task never holds what lies before the page.
     """
     key = F.col(sort_by if sort_by in SORTABLE else "train_mean")
     order = [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("entity_id").asc()]
     if offset + limit <= shallow:
         return entities.orderBy(*order).offset(offset).limit(limit)
-    ranges = entities.count() // shallow + 1
+    entities = staged(entities)
+    rows = entities.count()
+    few = max(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS)
+    ranges = min(rows // shallow, few) + 1
     dealt = staged(entities.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
     before, wanted, skipped = 0, [], 0
     for number, rows in sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect()):

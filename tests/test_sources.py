@@ -174,3 +174,13 @@ def test_a_stream_fills_the_store(spark, tmp_path):
         query = stream.writeStream.foreachBatch(store.sink()).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
         query.awaitTermination()
     assert {r["outage_id"]: r["version"] for r in store.rows(spark).collect()} == {0: 0, 1: 1, 2: 2, 3: 2, 4: 2}
+
+
+def test_deep_pages_take_a_bounded_number_of_ranges(spark, monkeypatch):
+    stored, store = [], M.staged
+    monkeypatch.setattr(M, "staged", lambda df: stored.append(store(df)) or stored[-1])
+    rows = spark.range(3000).selectExpr("CAST(id AS STRING) AS entity_id", "CAST(id AS DOUBLE) AS train_mean")
+    page = M.paged_list(rows, "train_mean", False, 3, 1500, shallow=10)
+    assert [r["train_mean"] for r in page.collect()] == [1500.0, 1501.0, 1502.0]
+    limit = int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    assert stored[-1].select("_range").distinct().count() <= limit
