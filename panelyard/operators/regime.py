@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.operators.scale import latest_date, nearest_before, spread
+from panelyard.operators.scale import latest_date, measured, spread
 
 # Amplification rates that a change of meter settings can multiply readings by, ascending.
 SCALE_RATES = (
@@ -50,17 +50,17 @@ def window_median_contrast(hist: DataFrame, params: RegimeParams = RegimeParams(
     """
     w = params.probe
     y = F.col("_log")
-    left = F.percentile(y, F.lit(0.5)).over(by_day().rowsBetween(-w, -1))
-    right = F.percentile(y, F.lit(0.5)).over(by_day().rowsBetween(0, w - 1))
+    # the median of the probe before a row is the one that began there: each median is taken once
     out = spread(hist, "entity_id").withColumn("_log", F.log1p("value")).withColumns(
         {
             "pos": F.row_number().over(by_day()) - 1,
             "n": F.count("*").over(Window.partitionBy("entity_id")),
-            "_gap": F.round(F.abs(right - left), 9),
+            "_right": F.percentile(y, F.lit(0.5)).over(by_day().rowsBetween(0, w - 1)),
         }
     )
+    gap = F.round(F.abs(F.col("_right") - F.lag("_right", w).over(by_day())), 9)
     full = (F.col("pos") >= w) & (F.col("pos") + w <= F.col("n"))
-    return out.withColumn("contrast", F.when(full, F.col("_gap"))).drop("_log", "_gap")
+    return out.withColumn("_gap", gap).withColumn("contrast", F.when(full, F.col("_gap"))).drop("_log", "_right", "_gap")
 
 
 def segment_breaks(hist: DataFrame, params: RegimeParams = RegimeParams()) -> DataFrame:
@@ -215,7 +215,7 @@ def regime_state(segments: DataFrame, cutoff: Column, params: RegimeParams = Reg
 
 def detect_regimes(hist: DataFrame, params: RegimeParams = RegimeParams()) -> tuple[DataFrame, DataFrame]:
     """(segments, state) of strictly pre-cutoff history."""
-    segments = regime_segments(hist, params)
+    segments = measured(regime_segments(hist, params))
     return segments, regime_state(segments, latest_date(hist), params)
 
 
@@ -241,12 +241,15 @@ def attach_state(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 def normalize_history(hist: DataFrame, segments: DataFrame) -> DataFrame:
     """Restate history in current units. ``value`` is replaced and the reading is kept as ``value_raw``."""
-    starts = segments.select("entity_id", F.col("start").alias("date"), "to_current")
-    out = nearest_before(hist, starts, "entity_id", "date", ["to_current"])
-    adjusted = F.col("value_raw") * F.coalesce("to_current", F.lit(1.0))
+    # An entity has few segments: they come as one row per entity, of which a reading takes the last that began by its day.
+    start = F.struct("start", "to_current")
+    starts = measured(segments.groupBy(F.col("entity_id").alias("_entity")).agg(F.array_sort(F.collect_list(start)).alias("_starts")))
+    begun = F.filter("_starts", lambda s: s["start"].isNull() | (s["start"] <= F.col("date")))
+    factor = F.get(begun, F.size(begun) - 1)["to_current"]
     return (
-        out.withColumn("value_raw", F.col("value"))
-        .withColumn("value", adjusted)
+        hist.join(starts, F.col("entity_id").eqNullSafe(F.col("_entity")), "left")
+        .withColumn("value_raw", F.col("value"))
+        .withColumn("value", F.col("value_raw") * F.coalesce(factor, F.lit(1.0)))
         .withColumns({"log_value": F.log1p("value"), "is_pos": (F.col("value") > 0).cast("int")})
-        .drop("to_current")
+        .drop("_entity", "_starts")
     )

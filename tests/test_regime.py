@@ -102,3 +102,23 @@ def test_tasks_grow_with_the_fleet(spark, monkeypatch):
     assert S.spread(rows, "entity_id").rdd.getNumPartitions() == 12 and S.tasks_for(spark, 200) is None
     assert "entity_id" in many.columns and many.rdd.getNumPartitions() == 12 > small.rdd.getNumPartitions()
     assert records(many, "entity_id", "date") == records(small, "entity_id", "date")
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_reading_meets_its_segment_without_a_window(spark):
+    rows = panel(spark, 100.0, "a").union(panel(spark, 1.8, "b", 90, 1))
+    segments, _ = R.detect_regimes(rows)
+    out = R.normalize_history(rows, segments)
+    assert "Window" not in executed(out)
+    found = {(s["entity_id"], s["start"]): s["to_current"] for s in records(segments)}
+    for r in records(out):
+        began = max(start for entity, start in found if entity == r["entity_id"] and start <= r["date"])
+        assert np.isclose(r["value"], r["value_raw"] * found[r["entity_id"], began])
+
+
+def test_each_median_is_taken_once(spark):
+    plan = R.window_median_contrast(panel(spark, 100.0))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("percentile(") == 1
