@@ -90,7 +90,7 @@ def seasonal_wake_apply(
     """Add ``wake``: expected log level of rows of dormant entities where their cohort woke; NULL elsewhere.
 
     The estimate depends on entity, place and month only, so the scopes meet the grid of these, of dormant entities alone;
-    the rows meet one table of its cells.
+    the rows meet one row per entity that holds its cells, so rows dealt by entity are not moved.
     """
     fit = measured(seasonal_wake_fit(hist, cutoff, params) if fitted is None else fitted)
     dormant = dormant_before(hist.where(F.col("date") < day(cutoff)), day(cutoff), params.dormant_window)
@@ -120,10 +120,13 @@ def seasonal_wake_apply(
     estimate = clip(weight * F.coalesce("_entity_pl", F.lit(0.0)) + (1.0 - weight) * base, 0.0, params.max_level)
     woke = F.coalesce("_district_p", "_province_p") >= params.min_wake_p
     cells = measured(out.where(woke).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(cell)], estimate.alias("wake")))
-    same = F.month("date") == F.col("_c3")
-    for i, c in enumerate(cell[:3]):
-        same = same & F.col(c).eqNullSafe(F.col(f"_c{i}"))
-    return rows.join(cells, same, "left").select(*rows.columns, "wake")
+    woken = cells.groupBy("_c0").agg(F.collect_list(F.struct("_c1", "_c2", "_c3", "wake")).alias("_cells"))
+
+    def same(c: Column) -> Column:
+        return (c["_c3"] == F.month("date")) & c["_c1"].eqNullSafe(F.col("district")) & c["_c2"].eqNullSafe(F.col("province"))
+
+    found = rows.join(woken.hint("shuffle_hash"), F.col("entity_id") == F.col("_c0"), "left")
+    return found.select(*rows.columns, F.get(F.filter("_cells", same), F.lit(0))["wake"].alias("wake"))
 
 
 def blend_wake(prediction: Column, wake: Column, weight: float = 1.0) -> Column:

@@ -51,3 +51,17 @@ def test_dormancy_windows_differ_by_one_day(spark):
     assert before == {"b"} and until == {"a"}
     flags = {r["entity_id"]: r["prior_active"] for r in records(W.dormancy_flags(rows, CUT))}
     assert flags == {"a": True}
+
+
+def test_rows_dealt_by_entity_are_not_moved(spark):
+    hist = spark.sql("SELECT concat('e', e) AS entity_id, 'd' AS district, 'p' AS province, date_add(DATE '2024-01-01', x) AS date, 0.0D AS value FROM (SELECT explode(sequence(0, 2)) AS e), (SELECT explode(sequence(0, 400)) AS x)")
+    rows = hist.where("date < DATE '2024-03-01'").repartition(3, "entity_id")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = W.seasonal_wake_apply(rows, hist, "2025-02-01", W.WakeParams(min_wake_p=0.0))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 180 and plan.count("hashpartitioning") == plan.count("hashpartitioning(entity_id") + plan.count("hashpartitioning(_c0") and "month(" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+        assert {r["wake"] for r in out.collect()} == {0.0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
