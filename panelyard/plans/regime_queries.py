@@ -211,4 +211,4 @@ LEFT JOIN weather_basic w ON w.district = p.district AND w.date = p.date""",
 def horizon_block(spark, d):
     rows = enriched(spark, d)
     history = H.before_cutoff(rows, T.CUT).where(~F.col("is_new")).withColumn("value", F.round(F.col("value") * F.expr(PLANT), 2))
-    return FT.horizon_block(staged(history), H.target_window(rows, T.CUT, T.END), T.CUT, regime=True)
+    return FT.horizon_block(staged(history.select(*FT.HISTORY)), H.target_window(rows, T.CUT, T.END), T.CUT, regime=True)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from panelyard.functions.capacity import capacity_bucket_fixed, hurdle_dampen
 from panelyard.operators import features as FT
 from panelyard.operators import groups as G
+from panelyard.operators import history as H
 from panelyard.operators import profiles as PR
 
 SCHEMA = "entity_id string, date date, value double, capacity double, province string, region string, district string"
@@ -86,3 +87,10 @@ def test_prefix_falls_back_to_the_fleet(spark):
     got = {r["entity_id"]: r for r in G.attach_prefix(series(spark, [("abc9",), ("new",)], "entity_id string"), rows).collect()}
     assert got["abc9"]["pfx3_dead"] == pytest.approx((1 + 5 / 3) / 7) and got["new"]["pfx3_dead"] == pytest.approx(1 / 3)
     assert got["new"]["pfx3_n"] == 0.0
+
+
+def test_months_and_weekdays_come_as_one_row_per_entity(spark):
+    profiles = spark.createDataFrame([("a", 3, None, 1.0), ("a", None, 0, 2.0), ("a", None, 6, 3.0), ("b", 12, None, 4.0)], "entity_id string, month int, dow int, level double")
+    got = {r["entity_id"]: (r["_months"], r["_weekdays"]) for r in H.profile_arrays(profiles).collect()}
+    assert got["a"] == ([None, None, 1.0] + [None] * 9, [2.0] + [None] * 5 + [3.0])
+    assert got["b"] == ([None] * 11 + [4.0], [None] * 7)

@@ -52,3 +52,21 @@ def test_prefix_attach_passes_over_the_readings_once(spark, monkeypatch):
     assert len(seen) == 1
     assert out["aa9"]["pfx1_dead"] == (0.5 * 2 + 0.5 * 5) / 7 and out["aa9"]["pfx2_dead"] == 0.5 * 5 / 6
     assert out["zz9"]["pfx2_dead"] == 0.5 and out["zz9"]["pfx2_mean"] == 0.125 and out["zz9"]["pfx2_n"] == 0
+
+
+def test_weather_takes_a_stored_panel(spark, tmp_path, monkeypatch):
+    tables = {
+        "lineitem": spark.range(40).selectExpr(
+            "1 + id % 3 AS l_suppkey", "date_add(DATE'2000-01-01', CAST(id % 7 AS INT)) AS l_shipdate", "id % 4 AS l_linenumber", "1 + id % 9 AS l_quantity",
+            "100.0D * id AS l_extendedprice", "0.05D AS l_discount", "0.02D AS l_tax", "'N' AS l_returnflag",
+        ),
+        "supplier": spark.range(1, 4).selectExpr("id AS s_suppkey", "id % 2 AS s_nationkey", "5000.0D AS s_acctbal"),
+        "nation": spark.range(2).selectExpr("id AS n_nationkey", "concat('N', id) AS n_name", "id AS n_regionkey"),
+        "region": spark.range(2).selectExpr("id AS r_regionkey", "concat('R', id) AS r_name"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = T.panel(spark, str(tmp_path))
+    expected = sorted(map(str, T.weather(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(T, "panel", None)
+    assert expected and sorted(map(str, T.weather(spark, str(tmp_path), rows).collect())) == expected
