@@ -158,3 +158,56 @@ def test_sketches_are_spread_over_the_cores(spark):
     rows = spark.range(8 * B.LEAST, numPartitions=1)
     assert B.dealt(rows, 8 * B.LEAST).rdd.getNumPartitions() == 8
     assert B.dealt(rows, 10).rdd.getNumPartitions() == 1
+
+
+def test_thresholds_are_exact_on_few_rows_and_close_on_many(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    frame = pd.DataFrame({"a": rng.normal(0, 1, 4000).round(2), "b": np.where(rng.uniform(size=4000) < 0.3, np.nan, rng.integers(0, 9, 4000))})
+    frame.loc[5, "a"] = np.inf
+    rows, shares = spark.createDataFrame(frame).repartition(3), [k / 15 for k in range(1, 15)]
+    found = B.quantiles(rows.withColumn("none", F.lit(None).cast("int")), ["a", "b", "none"], shares)
+    assert sorted(found) == [0, 1]
+    for k, c in enumerate("ab"):
+        x = np.sort(frame[c][np.isfinite(frame[c])].to_numpy())
+        assert found[k].tolist() == [x[int(np.ceil(p * len(x))) - 1] for p in shares]
+        assert found[k].tolist() == rows.agg(F.percentile_approx(F.when(F.abs(c) < float("inf"), F.col(c)), F.array(*[F.lit(p) for p in shares]), 10_000)).first()[0]
+    monkeypatch.setattr(B, "POINTS", 500)
+    monkeypatch.setattr(B, "HELD", 2000)
+    many = spark.range(60_000, numPartitions=4).selectExpr("(id * 7919) % 60000 / 60000 AS x")
+    assert B.quantiles(many, ["x"], shares)[0] == pytest.approx(shares, abs=0.02)
+
+
+def test_few_histograms_are_summed_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(B, "LEAST", 100)
+    rows, arms = spark_table(spark, table()), [B.Arm("m", tuple("abcd"), FULL), B.Arm("n", ("a", "c"), FULL, seed=3)]
+    shuffled, real = [], B.best_splits
+
+    def counted(matrix, plan):
+        assert plan.tasks > 1
+        before = {f.__name__: f for f in (B.keep_best,)}
+        monkeypatch.setattr(B, "keep_best", lambda *x: shuffled.append(0) or before["keep_best"](*x))
+        try:
+            return real(matrix, plan)
+        finally:
+            monkeypatch.setattr(B, "keep_best", before["keep_best"])
+
+    monkeypatch.setattr(B, "best_splits", counted)
+    here = B.fit_many(rows, arms, "y")
+    assert shuffled  # the driver summed them
+    monkeypatch.setattr(B, "best_splits", real)
+    monkeypatch.setattr(B, "TOLD", 0)
+    there = B.fit_many(rows, arms, "y")
+    for name in here:
+        for t, u in zip(here[name].trees, there[name].trees, strict=True):
+            assert (t.feature == u.feature).all() and (t.split == u.split).all() and (t.value == u.value).all()
+
+
+def test_leaves_that_fit_one_round_together_take_one_round(spark, monkeypatch):
+    frame = table(2000)
+    monkeypatch.setattr(B, "SENT", 2600)  # 2,000 residuals fit, but the largest leaf has more than an equal share
+    asked, real = [], B.starts
+    rows = spark_table(spark, frame)
+    monkeypatch.setattr(B, "starts", lambda low, high, turn, *rest: asked.append(turn) or real(low, high, turn, *rest))
+    B.fit_many(rows, [B.Arm("m", tuple("abc"), FULL)], "y")
+    # the first and the last leaf, of unknown size, are counted once each; those of the trees are sent at once
+    assert asked == [0, 0]
