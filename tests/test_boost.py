@@ -211,3 +211,30 @@ def test_leaves_that_fit_one_round_together_take_one_round(spark, monkeypatch):
     B.fit_many(rows, [B.Arm("m", tuple("abc"), FULL)], "y")
     # the first and the last leaf, of unknown size, are counted once each; those of the trees are sent at once
     assert asked == [0, 0]
+
+
+def test_only_the_smaller_child_of_a_node_is_counted(spark, monkeypatch):
+    rows = spark_table(spark, table(1500))
+    deep = B.TreeParams(trees=2, depth=4, step=0.4, subsample=0.7, bins=16, columns=0.8, least=5)
+    arms = [B.Arm("m", tuple("abcd"), deep), B.Arm("n", ("a", "c"), FULL, seed=3), B.Arm("o", ("b",), deep, rows=F.col("block") < 2)]
+    asked, real = [], B.histograms
+    monkeypatch.setattr(B, "histograms", lambda matrix, plan: asked.append(plan.nodes) or real(matrix, plan))
+    held = B.fit_many(rows, arms, "y")
+    nodes = [n.tolist() for level in asked for n in level if len(n)]
+    assert any(max(n) >= 8 for n in nodes)
+    assert not [n for n in nodes if n != [1] and any(node ^ 1 in n for node in n)]
+    # the same trees where the driver may hold no level and every node is counted
+    asked.clear()
+    monkeypatch.setattr(B, "KEPT", 0)
+    counted = B.fit_many(rows, arms, "y")
+    assert not asked
+    for name in held:
+        for t, u in zip(held[name].trees, counted[name].trees, strict=True):
+            assert (t.feature == u.feature).all() and (t.split == u.split).all() and (t.value == u.value).all()
+
+
+def test_tasks_fill_whole_rounds_of_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(B, "ROWS", 1000)
+    monkeypatch.setattr(B, "LEAST", 10)
+    rows, cores = spark.range(1), spark.sparkContext.defaultParallelism
+    assert [B.tasks_of(rows, n) for n in (0, 25, 1000 * cores, 1000 * cores + 1)] == [1, 2, cores, 2 * cores]
