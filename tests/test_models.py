@@ -4,7 +4,11 @@ import pytest
 from helpers import days, records
 from pyspark.sql import functions as F
 
+from panelyard.operators import boost as B
+from panelyard.operators import features as FT
+from panelyard.operators import history as H
 from panelyard.operators import models as M
+from panelyard.operators.boost import predict
 
 TINY = M.TreeParams(trees=3, depth=3, step=0.3)
 
@@ -64,3 +68,32 @@ def test_the_activity_classifier_runs_in_few_tasks_over_its_inputs_alone(spark,
     monkeypatch.setattr(M, "ROWS", 1)
     M.fit_activity(train.repartition(3 * cores))
     assert held[1][1] == 3 * cores
+
+
+def test_predictions_move_only_the_kept_columns_and_the_inputs(spark):
+    train = rows(spark, 300)
+    model = M.fit_forecaster(train, ["x", "z"], params=TINY)
+    both = predict(train, {"pred": model, "raw": model}, {"raw": None}, ["entity_id", "date"])
+    assert both.columns == ["entity_id", "date", "pred", "raw"]
+    whole = model.predict(train).select("entity_id", "date", "pred")
+    assert sorted(map(tuple, both.select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    assert both.where("pred <> greatest(raw, 0D)").count() == 0
+
+
+def test_the_reduced_sets_take_the_thresholds_of_the_full_one(spark, monkeypatch):
+    encoded, real = [], B.encode
+    monkeypatch.setattr(B, "encode", lambda *x: encoded.append(x[1]) or real(*x))
+    M.rank_features(rows(spark), rows(spark, seed=3), ["x", "z"], (0, 1), TINY).collect()
+    assert len(encoded) == 1
+
+
+def test_stored_blocks_equal_those_in_memory_and_are_read_by_folder(spark, monkeypatch):
+    panel = rows(spark, 400)
+    monkeypatch.setattr(FT, "snapshot_block", lambda rows, cut, start, end: H.target_window(rows, start, end).withColumn("cut", F.lit(cut)))
+    first, last = (d for d in panel.agg(F.min("date"), F.max("date")).first())
+    middle = first + (last - first) / 2
+    cuts = [(str(a), str(a), str(b)) for a, b in ((first, middle), (middle, last))]
+    stored, kept = FT.blocks_by_cut(panel, cuts, stored=True), FT.blocks_by_cut(panel, cuts)
+    assert stored.dtypes == kept.dtypes and kept.count() > 0
+    assert sorted(map(str, stored.collect())) == sorted(map(str, kept.collect()))
+    assert all("block=" in f for f in stored.inputFiles())
