@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.operators.profiles import clip
@@ -37,19 +37,37 @@ def dormant_until(hist: DataFrame, when: Column, window: int = 28) -> DataFrame:
     return recent.groupBy("entity_id").agg(F.max("value").alias("_max")).where(F.col("_max") == 0).select("entity_id")
 
 
-def wake_cohort(hist: DataFrame, cutoff: str, params: WakeParams = WakeParams()) -> DataFrame:
-    """Rows that show what dormant entities did next.
+def cohort_cells(hist: DataFrame, cutoff: str, params: WakeParams = WakeParams()) -> DataFrame:
+    """Entity x month cells of the rows that show what dormant entities did next: rows, active ones and the sum of their levels.
 
     Those dormant one season before the cutoff, observed from there on; if nobody was, the entities that
-    are dormant now.
+    are dormant now. Both cohorts and who belongs to them come from one pass over the history.
     """
-    h = hist.where(F.col("date") < day(cutoff))
-    reference = F.date_sub(day(cutoff), params.lookback_days)
-    then = h.where(F.col("date") >= reference).join(
-        dormant_before(h, reference, params.dormant_window), "entity_id", "left_semi"
+    when = day(cutoff)
+    reference = F.date_sub(when, params.lookback_days)
+    since, active = F.col("date") >= reference, F.col("value") > 0
+
+    def sums(rows: Column) -> Column:
+        return F.struct(
+            F.count(F.when(rows, 1)).alias("n"),
+            F.count(F.when(rows & active, 1)).alias("active"),
+            F.sum(F.when(rows & active, F.log1p("value")).otherwise(0.0)).alias("levels"),
+        )
+
+    def highest(end: Column) -> Column:
+        return F.max(F.when((F.col("date") < end) & (F.col("date") >= F.date_sub(end, params.dormant_window)), F.col("value")))
+
+    rows = hist.where((F.col("date") < when) & F.col("entity_id").isNotNull())
+    cells = rows.groupBy("entity_id", "district", "province", F.month("date").alias("month")).agg(
+        sums(since).alias("then"), sums(F.lit(True)).alias("now"), highest(reference).alias("_then"), highest(when).alias("_now")
     )
-    now = h.join(dormant_before(h, day(cutoff), params.dormant_window), "entity_id", "left_semi")
-    any_then = then.agg((F.count("*") > 0).alias("any")).select("any").scalar()
+    entity = Window.partitionBy("entity_id")
+    asleep = {c: F.coalesce(F.max(c).over(entity) == 0, F.lit(False)) for c in ("_then", "_now")}
+    cells = measured(cells.withColumns(asleep).where("_then OR _now"))
+    watched = F.col("_then") & (F.col("then.n") > 0)
+    any_then = cells.agg(F.count_if(watched) > 0).scalar()
+    place = [c for c in cells.columns if c not in ("then", "now", "_then", "_now")]
+    then, now = cells.where(watched).select(*place, "then.*"), cells.where("_now").select(*place, "now.*")
     return then.unionByName(now.where(~any_then))
 
 
@@ -59,13 +77,7 @@ def seasonal_wake_fit(hist: DataFrame, cutoff: str, params: WakeParams = WakePar
     Scopes are entity, district, province and fleet. Rows collapse to entity x month first, so the wider
     scopes are sums over cells and a province holding most rows costs no more than its entities.
     """
-    rows = wake_cohort(hist, cutoff, params)
-    active = F.col("value") > 0
-    cells = rows.groupBy("entity_id", "district", "province", F.month("date").alias("month")).agg(
-        F.count("*").alias("n"),
-        F.count(F.when(active, 1)).alias("active"),
-        F.sum(F.when(active, F.log1p("value")).otherwise(0.0)).alias("levels"),
-    )
+    cells = cohort_cells(hist, cutoff, params)
     scopes = F.array(
         F.struct(F.lit("entity").alias("scope"), F.col("entity_id").alias("key"), F.col("month").alias("month")),
         F.struct(F.lit("district").alias("scope"), F.col("district").alias("key"), F.col("month").alias("month")),

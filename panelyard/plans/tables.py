@@ -313,10 +313,9 @@ def household(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def household_split(spark: SparkSession, sf_dir: str, stored: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(before the cutoff, from it on); from a stored table for queries that read the rows more than once."""
+def household_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(before the cutoff, from it on)."""
     rows = household(spark, sf_dir)
-    rows = staged(rows) if stored else rows
     cut = F.to_date(F.lit(CUT))
     return rows.where(F.col("date") < cut), rows.where(F.col("date") >= cut)
 

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 from helpers import day, days, records, series
+from pyspark.sql import functions as F
 
 from panelyard.operators import wake as W
 
@@ -65,3 +66,20 @@ def test_rows_dealt_by_entity_are_not_moved(spark):
         assert {r["wake"] for r in out.collect()} == {0.0}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_the_fit_passes_the_history_once(spark, tmp_path):
+    for silent in (True, False):
+        odd = [(None, day("2025-03-20"), 0.0, "P", "D"), ("n", day("2025-03-20"), None, "P", "D"), ("n", day("2025-07-01"), 9.0, "P", None), ("e0", day("2025-08-01"), None, "P", None)]
+        path = f"{tmp_path}/{silent}"
+        fleet(spark, silent).unionByName(series(spark, odd, SCHEMA)).write.parquet(path)
+        hist = spark.read.parquet(path)
+        fit = W.seasonal_wake_fit(hist, CUT)
+        assert not [f for f in fit.inputFiles() if path in f]  # only cells are read again
+        then = W.dormant_before(hist, F.lit("2025-04-01").cast("date"))
+        rows = hist.where("date >= DATE '2025-04-01' AND date < DATE '2026-04-01'").join(then, "entity_id", "left_semi").toPandas()
+        assert rows.entity_id.notna().all() and len(rows)
+        fleetwide = next(r for r in records(fit) if r["scope"] == "fleet")
+        assert (fleetwide["n"], fleetwide["p"]) == (len(rows), (rows.value > 0).sum() / len(rows))
+        months = rows.groupby(["entity_id", rows.date.map(lambda d: d.month)]).value.agg(["size", lambda v: (v > 0).mean()])
+        assert {(r["key"], r["month"]): (r["n"], r["p"]) for r in records(fit) if r["scope"] == "entity"} == {k: tuple(v) for k, v in zip(months.index, months.to_numpy().tolist())}
