@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -87,13 +89,15 @@ def test_the_reduced_sets_take_the_thresholds_of_the_full_one(spark, monkeypatch
     assert len(encoded) == 1
 
 
-def test_stored_blocks_equal_those_in_memory_and_are_read_by_folder(spark, monkeypatch):
-    panel = rows(spark, 400)
-    monkeypatch.setattr(FT, "snapshot_block", lambda rows, cut, start, end: H.target_window(rows, start, end).withColumn("cut", F.lit(cut)))
-    first, last = (d for d in panel.agg(F.min("date"), F.max("date")).first())
-    middle = first + (last - first) / 2
-    cuts = [(str(a), str(a), str(b)) for a, b in ((first, middle), (middle, last))]
-    stored, kept = FT.blocks_by_cut(panel, cuts, stored=True), FT.blocks_by_cut(panel, cuts)
-    assert stored.dtypes == kept.dtypes and kept.count() > 0
-    assert sorted(map(str, stored.collect())) == sorted(map(str, kept.collect()))
-    assert all("block=" in f for f in stored.inputFiles())
+def test_blocks_are_made_side_by_side(spark, monkeypatch):
+    panel, together = rows(spark, 400), threading.Barrier(2, timeout=60)
+
+    def block(panel, cut, start, end):
+        together.wait()  # fails unless both are under way
+        return H.target_window(panel, start, end).withColumn("cut", F.lit(cut))
+
+    monkeypatch.setattr(FT, "snapshot_block", block)
+    cuts = [("2025-01-01", "2025-01-01", "2025-01-11"), ("2025-01-11", "2025-01-11", "2025-02-01")]
+    out = FT.blocks_by_cut(panel, cuts)
+    found = {(r["block"], r["cut"]): r["n"] for r in out.groupBy("block", "cut").agg(F.count("*").alias("n")).collect()}
+    assert found == {(i, cut): H.target_window(panel, start, end).count() for i, (cut, start, end) in enumerate(cuts)}
